@@ -1,4 +1,3 @@
-from .octets import big_endian, octets
 from .rates import average_packet_size, duration_seconds, per_second
 from .text import (
     ethertype_text,
@@ -12,13 +11,11 @@ from .text import (
 
 __all__ = [
     "average_packet_size",
-    "big_endian",
     "duration_seconds",
     "ethertype_text",
     "ipv4_text",
     "ipv6_text",
     "mac_text",
-    "octets",
     "per_second",
     "six_digit_text",
     "six_digits",

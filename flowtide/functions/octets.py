@@ -1,37 +1,26 @@
-"""Integers out of binary columns, with built-in expressions only."""
+"""Integers out of a binary column, as SQL text of built-in functions.
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+SQL text, not Column objects: a decoder needs dozens of these, and each
+``selectExpr`` then crosses from Python to the JVM once per output column.
+"""
 
 
-def octets(data: Column, offset: Column | int, count: int) -> Column:
+def octets(data: str, offset: int | str, count: int) -> str:
     """``count`` raw bytes starting at 0-based ``offset``."""
-    start = offset + 1 if isinstance(offset, int) else offset + F.lit(1)
-    return F.substring(data, start, count)
+    return f"substring({data}, {offset} + 1, {count})"
 
 
-def big_endian(data: Column, offset: Column | int, count: int) -> Column:
+def big_endian(data: str, offset: int | str, count: int) -> str:
     """Unsigned big-endian integer of up to 7 bytes as bigint.
 
-    NULL when the bytes start past the end of ``data``. Slicing before
-    ``hex`` keeps the text short; of the built-in ways to read a byte this
-    measured fastest.
+    NULL when the bytes start past the end of ``data``. Slicing before ``hex``
+    keeps the text short; of the built-in ways to read a byte this measured
+    fastest.
     """
-    return F.conv(F.hex(octets(data, offset, count)), 16, 10).cast("bigint")
+    return f"CAST(conv(hex({octets(data, offset, count)}), 16, 10) AS BIGINT)"
 
 
-def big_endian_pair(data: Column, offset: Column | int) -> Column:
-    """Two adjacent 32-bit words packed into one (signed) bigint.
-
-    Split it with :func:`high_word` / :func:`low_word`; one conversion
-    instead of two.
-    """
-    return F.conv(F.hex(octets(data, offset, 8)), 16, -10).cast("bigint")
-
-
-def high_word(pair: Column) -> Column:
-    return F.shiftrightunsigned(pair, 32)
-
-
-def low_word(pair: Column) -> Column:
-    return pair.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
+def word_pair(data: str, offset: int | str) -> str:
+    """Two adjacent 32-bit words packed into one (signed) bigint: one
+    conversion instead of two. Split it by ``>>> 32`` and ``& 4294967295``."""
+    return f"CAST(conv(hex({octets(data, offset, 8)}), 16, -10) AS BIGINT)"

@@ -16,7 +16,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def mac_text(mac: Column) -> Column:
     """``aa:bb:cc:dd:ee:ff``."""
-    return F.regexp_replace(F.lower(F.hex(mac)), "(..)(?!$)", "$1:")
+    digits = F.lower(F.hex(mac))
+    pair = lambda i: F.substring(digits, 2 * i + 1, 2)
+    return F.concat(pair(0), *[part for i in range(1, 6) for part in (F.lit(":"), pair(i))])
 
 
 def ethertype_text(ether_type: Column) -> Column:
@@ -70,7 +72,7 @@ def ipv6_text(address: Column) -> Column:
             (F.substring(address, 1, 12) == zeros(12)) & (F.substring(address, 13, 2) != zeros(2)),
             F.concat(F.lit("::"), tail),
         )
-        .otherwise(let(joined, compress))
+        .when(address.isNotNull(), let(joined, compress))
     )
 
 

@@ -5,32 +5,24 @@ not fit in the captured bytes leaves its own layer and all above it empty; the
 frame itself is never dropped.
 """
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.octets import big_endian, big_endian_pair, high_word, low_word, octets
+from ..functions.octets import big_endian, octets, word_pair
 
-# Fixed values of the published protocols.
-ETHERNET_BYTES = 14
-IPV4_MIN_BYTES = 20
-IPV6_BYTES = 40
-TCP_MIN_BYTES = 20
-UDP_BYTES = 8
-ICMP_BYTES = 8
-ETHERTYPE_IPV4 = b"\x08\x00"
-ETHERTYPE_IPV6 = b"\x86\xdd"
-PROTOCOL_ICMP = b"\x01"
-PROTOCOL_TCP = b"\x06"
-PROTOCOL_UDP = b"\x11"
-PROTOCOL_ICMPV6 = b"\x3a"
-
-
-def _byte_1(word: Column) -> Column:
-    return F.shiftright(word, 8).cast("int")
-
-
-def _byte_0(word: Column) -> Column:
-    return word.bitwiseAND(F.lit(0xFF)).cast("int")
+# Fixed values of the published protocols: header sizes in bytes, EtherTypes
+# and protocol numbers as they stand on the wire.
+ETHERNET = 14
+IPV4_MIN = 20
+IPV6 = 40
+TCP_MIN = 20
+UDP = 8
+ICMP = 8
+TYPE_IPV4 = "X'0800'"
+TYPE_IPV6 = "X'86DD'"
+NUMBER_ICMP = "X'01'"
+NUMBER_TCP = "X'06'"
+NUMBER_UDP = "X'11'"
+NUMBER_ICMPV6 = "X'3A'"
 
 
 def decode_packets(frames: DataFrame) -> DataFrame:
@@ -44,88 +36,59 @@ def decode_packets(frames: DataFrame) -> DataFrame:
     on them is pushed down to the scan with its whole definition, and this
     keeps that definition small and cheap.
     """
-    frame, size, l4, following = (F.col(c) for c in ("frame", "_size", "_l4", "_next"))
-    has_ipv4, has_ipv6, has_transport = (
-        F.col(c) for c in ("has_ipv4", "has_ipv6", "has_transport")
-    )
-    rest = size - l4
     kept = [c for c in frames.columns if c != "frame"]
-
-    def holds(test: Column) -> Column:
-        return F.coalesce(test, F.lit(False))
-
-    options_end = big_endian(frame, ETHERNET_BYTES, 1).bitwiseAND(F.lit(15)) * 4 + ETHERNET_BYTES
-    network = (
-        frames.select(*kept, "frame", F.coalesce(F.length(frame), F.lit(0)).alias("_size"))
-        .select(
-            "*",
-            holds(
-                (octets(frame, 12, 2) == F.lit(ETHERTYPE_IPV4))
-                & (size >= ETHERNET_BYTES + IPV4_MIN_BYTES)
-                & (size >= options_end)
-            ).alias("has_ipv4"),
-            holds(
-                (octets(frame, 12, 2) == F.lit(ETHERTYPE_IPV6))
-                & (size >= ETHERNET_BYTES + IPV6_BYTES)
-            ).alias("has_ipv6"),
-        )
-        .select(
-            "*",
-            F.when(has_ipv4, octets(frame, 23, 1))
-            .when(has_ipv6, octets(frame, 20, 1))
-            .alias("_next"),
-            F.when(has_ipv4, options_end.cast("int"))
-            .when(has_ipv6, F.lit(ETHERNET_BYTES + IPV6_BYTES))
-            .alias("_l4"),
-        )
+    # The low half of the first IPv4 byte counts 32-bit header words.
+    options_end = f"({big_endian('frame', ETHERNET, 1)} & 15) * 4 + {ETHERNET}"
+    sized = frames.selectExpr(*kept, "frame", "coalesce(length(frame), 0) AS _size")
+    network = sized.selectExpr(
+        "*",
+        f"""coalesce({octets('frame', 12, 2)} = {TYPE_IPV4} AND _size >= {ETHERNET + IPV4_MIN}
+                     AND _size >= {options_end}, false) AS has_ipv4""",
+        f"""coalesce({octets('frame', 12, 2)} = {TYPE_IPV6}
+                     AND _size >= {ETHERNET + IPV6}, false) AS has_ipv6""",
     )
-    upper = network.select(
+    located = network.selectExpr(
         "*",
-        holds(
-            ((following == F.lit(PROTOCOL_TCP)) & (rest >= TCP_MIN_BYTES))
-            | ((following == F.lit(PROTOCOL_UDP)) & (rest >= UDP_BYTES))
-        ).alias("has_transport"),
-        holds(
-            has_ipv4 & (following == F.lit(PROTOCOL_ICMP)) & (rest >= ICMP_BYTES)
-        ).alias("has_icmp"),
-        holds(
-            has_ipv6 & (following == F.lit(PROTOCOL_ICMPV6)) & (rest >= ICMP_BYTES)
-        ).alias("has_icmpv6"),
+        f"""CASE WHEN has_ipv4 THEN {octets('frame', 23, 1)}
+                 WHEN has_ipv6 THEN {octets('frame', 20, 1)} END AS _next""",
+        f"""CASE WHEN has_ipv4 THEN CAST({options_end} AS INT)
+                 WHEN has_ipv6 THEN {ETHERNET + IPV6} END AS _l4""",
+    )
+    upper = located.selectExpr(
+        "*",
+        f"""coalesce((_next = {NUMBER_TCP} AND _size - _l4 >= {TCP_MIN})
+                     OR (_next = {NUMBER_UDP} AND _size - _l4 >= {UDP}), false) AS has_transport""",
+        f"coalesce(has_ipv4 AND _next = {NUMBER_ICMP} AND _size - _l4 >= {ICMP}, false) AS has_icmp",
+        f"coalesce(has_ipv6 AND _next = {NUMBER_ICMPV6} AND _size - _l4 >= {ICMP}, false) AS has_icmpv6",
     )
     # Neighbouring fields are converted in one go and split by shifts below.
-    numbers = upper.select(
+    numbers = upper.selectExpr(
         "*",
         # IPv4 stores TTL then protocol, IPv6 next header then hop limit.
-        F.when(has_ipv4, big_endian(frame, 22, 2))
-        .when(has_ipv6, big_endian(frame, 20, 2))
-        .otherwise(F.lit(0).cast("bigint"))
-        .alias("_hop"),
-        F.when(has_ipv4, big_endian_pair(frame, 26)).alias("_addresses"),
-        F.when(has_transport, big_endian(frame, l4, 4)).alias("_ports"),
-        F.when(F.col("has_icmp") | F.col("has_icmpv6"), big_endian(frame, l4, 2)).alias("_message"),
-    )
-    whole = size >= ETHERNET_BYTES
-    hop, addresses, ports, message = (
-        F.col(c) for c in ("_hop", "_addresses", "_ports", "_message")
+        f"""CASE WHEN has_ipv4 THEN {big_endian('frame', 22, 2)}
+                 WHEN has_ipv6 THEN {big_endian('frame', 20, 2)} ELSE 0L END AS _hop""",
+        f"CASE WHEN has_ipv4 THEN {word_pair('frame', 26)} END AS _addresses",
+        f"CASE WHEN has_transport THEN {big_endian('frame', '_l4', 4)} END AS _ports",
+        f"CASE WHEN has_icmp OR has_icmpv6 THEN {big_endian('frame', '_l4', 2)} END AS _message",
     )
-    return numbers.select(
+    return numbers.selectExpr(
         *kept,
-        F.when(whole, octets(frame, 6, 6)).alias("src_mac"),
-        F.when(whole, octets(frame, 0, 6)).alias("dst_mac"),
-        F.when(whole, big_endian(frame, 12, 2)).otherwise(F.lit(0)).cast("int").alias("ether_type"),
-        has_ipv4,
-        high_word(addresses).alias("src_ip"),
-        low_word(addresses).alias("dst_ip"),
-        F.when(has_ipv6, _byte_1(hop)).otherwise(_byte_0(hop)).alias("protocol"),
-        F.when(has_ipv6, _byte_0(hop)).otherwise(_byte_1(hop)).alias("ttl"),
-        has_transport,
-        F.shiftright(ports, 16).cast("int").alias("src_port"),
-        ports.bitwiseAND(F.lit(0xFFFF)).cast("int").alias("dst_port"),
+        f"CASE WHEN _size >= {ETHERNET} THEN {octets('frame', 6, 6)} END AS src_mac",
+        f"CASE WHEN _size >= {ETHERNET} THEN {octets('frame', 0, 6)} END AS dst_mac",
+        f"CAST(CASE WHEN _size >= {ETHERNET} THEN {big_endian('frame', 12, 2)} ELSE 0 END AS INT) AS ether_type",
+        "has_ipv4",
+        "shiftrightunsigned(_addresses, 32) AS src_ip",
+        "_addresses & 4294967295 AS dst_ip",
+        "CAST(CASE WHEN has_ipv6 THEN shiftright(_hop, 8) ELSE _hop & 255 END AS INT) AS protocol",
+        "CAST(CASE WHEN has_ipv6 THEN _hop & 255 ELSE shiftright(_hop, 8) END AS INT) AS ttl",
+        "has_transport",
+        "CAST(shiftright(_ports, 16) AS INT) AS src_port",
+        "CAST(_ports & 65535 AS INT) AS dst_port",
         "has_icmp",
         "has_icmpv6",
-        _byte_1(message).alias("icmp_type"),
-        _byte_0(message).alias("icmp_code"),
-        has_ipv6,
-        F.when(has_ipv6, octets(frame, 22, 16)).alias("src_ip6"),
-        F.when(has_ipv6, octets(frame, 38, 16)).alias("dst_ip6"),
+        "CAST(shiftright(_message, 8) AS INT) AS icmp_type",
+        "CAST(_message & 255 AS INT) AS icmp_code",
+        "has_ipv6",
+        f"CASE WHEN has_ipv6 THEN {octets('frame', 22, 16)} END AS src_ip6",
+        f"CASE WHEN has_ipv6 THEN {octets('frame', 38, 16)} END AS dst_ip6",
     )

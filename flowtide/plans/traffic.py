@@ -16,7 +16,7 @@ import struct
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import shared_folder
@@ -26,129 +26,101 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def instant(ts: Column) -> Column:
-    """A zone-less time read as UTC, whatever the session time zone."""
-    since = ts - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
-    part = lambda unit: F.extract(F.lit(unit), since)
-    minutes = (part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")
-    micros = (part("SECOND") * 1_000_000).cast("bigint")
-    return F.timestamp_micros(minutes.cast("bigint") * 60_000_000 + micros)
-
-
-def _hex(value: Column, digits: int) -> Column:
-    return F.lpad(F.hex(value), digits, "0")
-
-
-class _Shape:
-    """What each event looks like on the wire; used by both forms below."""
-
-    def __init__(self):
-        user, event = F.col("user_id"), F.col("event_id")
-        flowless, variant, v6 = F.col("event_type") == "error", event % 4, user % 3 == 0
-        self.user, self.event = user, event
-        self.flowless, self.variant, self.v6 = flowless, variant, v6
-        self.foreign = flowless & variant.isin(1, 2)
-        self.protocol = (
-            F.when(~flowless, F.when(user % 2 == 0, 6).otherwise(17))
-            .when(variant == 0, F.when(v6, 58).otherwise(1))
-            .otherwise(F.when(v6, 0).otherwise(47))
-        )
-        self.ether_type = (
-            F.when(flowless & (variant == 1), 0x0806)
-            .when(flowless & (variant == 2), 0x8100)
-            .when(v6, 0x86DD)
-            .otherwise(0x0800)
-        )
-        self.hop = 32 + event % 200
-        self.src_ip = 167772160 + user
-        self.dst_ip = F.lit(167837696).cast("bigint")
-        self.src_port = 1024 + user % 50000
-        self.dst_port = F.when(user % 2 == 0, 443).otherwise(53)
-        self.icmp_type = event % 256
-        self.icmp_code = event % 16
-        self.src_ip6_hex = F.concat(F.lit("20010DB80000000000000000"), _hex(user, 8))
-        self.dst_ip6_hex = F.concat(
-            F.lit("FE8000000000"), _hex(1 + user % 65535, 4), F.lit("0" * 12), _hex(user % 7, 4)
-        )
-        self.src_mac_hex = F.concat(F.lit("0200"), _hex(user, 8))
-        self.dst_mac_hex = F.concat(F.lit("0201"), _hex(event, 8))
-        self.arrival = (
-            (user % 8).cast("string").alias("capture_id"),
-            event.alias("seq"),
-            instant(F.col("ts")).alias("ts"),
-        )
-        self.wire_len = 74 + event % 1447
+# A zone-less time read as UTC, whatever the session time zone.
+_SINCE = "(ts - TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+_MINUTES = f"((extract(DAY FROM {_SINCE}) * 24L + extract(HOUR FROM {_SINCE})) * 60 + extract(MINUTE FROM {_SINCE}))"
+_INSTANT = (
+    f"timestamp_micros({_MINUTES} * 60000000 + CAST(extract(SECOND FROM {_SINCE}) * 1000000 AS BIGINT))"
+)
+
+
+def _hex(value: str, digits: int) -> str:
+    return f"lpad(hex({value}), {digits}, '0')"
+
+
+# What each event looks like on the wire; used by both forms below.
+_SHAPE = (
+    "*",
+    "event_type = 'error' AS flowless",
+    "event_id % 4 AS variant",
+    "user_id % 3 = 0 AS v6",
+    "user_id % 2 = 0 AS even",
+    "32 + event_id % 200 AS hop",
+    "167772160 + user_id AS ip",
+    "1024 + user_id % 50000 AS port",
+    "event_id % 256 AS message_type",
+    "event_id % 16 AS message_code",
+    f"concat('20010DB80000000000000000', {_hex('user_id', 8)}) AS src6",
+    f"concat('FE8000000000', {_hex('1 + user_id % 65535', 4)}, '000000000000', {_hex('user_id % 7', 4)}) AS dst6",
+    f"concat('0200', {_hex('user_id', 8)}) AS src_hw",
+    f"concat('0201', {_hex('event_id', 8)}) AS dst_hw",
+)
+_NUMBERS = (
+    "*",
+    "flowless AND variant IN (1, 2) AS no_ip",
+    """CASE WHEN NOT flowless THEN IF(even, 6, 17) WHEN variant = 0 THEN IF(v6, 58, 1)
+            ELSE IF(v6, 0, 47) END AS number""",
+    """CASE WHEN flowless AND variant = 1 THEN 2054 WHEN flowless AND variant = 2 THEN 33024
+            WHEN v6 THEN 34525 ELSE 2048 END AS kind""",
+    "CAST(IF(v6, 0, event_id % 3) AS INT) AS option_words",
+    "IF(even, 443, 53) AS service",
+)
+_ARRIVAL = (
+    "CAST(user_id % 8 AS STRING) AS capture_id",
+    "event_id AS seq",
+    f"{_INSTANT} AS ts",
+    "74 + event_id % 1447 AS len",
+)
+
+
+def _shaped(events: DataFrame) -> DataFrame:
+    return events.selectExpr(*_SHAPE).selectExpr(*_NUMBERS)
 
 
 def event_frames(events: DataFrame) -> DataFrame:
     """``events`` as frames in the :data:`flowtide.schema.FRAMES` layout."""
-    s = _Shape()
-    zeros = lambda digits: F.lit("0" * digits)
-    option_words = F.when(s.v6, 0).otherwise(s.event % 3).cast("int")
-    ip4 = F.concat(
-        F.lit("4"),
-        F.hex(5 + option_words),
-        zeros(14),
-        _hex(s.hop, 2),
-        _hex(s.protocol, 2),
-        zeros(4),
-        _hex(s.src_ip, 8),
-        _hex(s.dst_ip, 8),
-        F.repeat(F.lit("01010101"), option_words),
-    )
-    ip6 = F.concat(
-        F.lit("600000000000"), _hex(s.protocol, 2), _hex(s.hop, 2), s.src_ip6_hex, s.dst_ip6_hex
-    )
-    ports = F.concat(_hex(s.src_port, 4), _hex(s.dst_port, 4))
-    upper = (
-        F.when(s.flowless, F.concat(_hex(s.icmp_type, 2), _hex(s.icmp_code, 2), zeros(12)))
-        .when(s.user % 2 == 0, F.concat(ports, zeros(32)))
-        .otherwise(F.concat(ports, zeros(8)))
-    )
-    frame = F.unhex(
-        F.concat(
-            s.dst_mac_hex,
-            s.src_mac_hex,
-            _hex(s.ether_type, 4),
-            F.when(s.v6, ip6).otherwise(ip4),
-            upper,
+    ip4 = f"""concat('4', hex(5 + option_words), '00000000000000', {_hex('hop', 2)}, {_hex('number', 2)},
+        '0000', {_hex('ip', 8)}, '0A010000', repeat('01010101', option_words))"""
+    ip6 = f"concat('600000000000', {_hex('number', 2)}, {_hex('hop', 2)}, src6, dst6)"
+    message = f"concat({_hex('message_type', 2)}, {_hex('message_code', 2)}, '000000000000')"
+    ports = f"concat({_hex('port', 4)}, {_hex('service', 4)}, IF(even, repeat('0', 32), '00000000'))"
+    return (
+        _shaped(events)
+        .selectExpr(
+            *_ARRIVAL,
+            f"""unhex(concat(dst_hw, src_hw, {_hex('kind', 4)}, IF(v6, {ip6}, {ip4}),
+                             IF(flowless, {message}, {ports}))) AS frame""",
         )
-    )
-    return events.select(*s.arrival, s.wire_len.alias("len"), frame.alias("frame")).select(
-        "capture_id", "seq", "ts", F.length("frame").alias("caplen"), "len", "frame"
+        .selectExpr("capture_id", "seq", "ts", "length(frame) AS caplen", "len", "frame")
     )
 
 
 def event_packets(events: DataFrame) -> DataFrame:
     """``events`` as decoded packets, by arithmetic, without the byte form.
 
-    Equal to ``decode_packets(event_frames(events))``; the flow queries start
-    here so that their plans show flow work only.
+    Equal to ``decode_packets(event_frames(events))`` but for ``caplen``; the
+    flow queries start here so that their plans show flow work only.
     """
-    s = _Shape()
-    ip4, ip6 = ~s.foreign & ~s.v6, ~s.foreign & s.v6
-    flow, icmp = ~s.flowless, s.flowless & (s.variant == 0)
-    return events.select(
-        *s.arrival,
-        s.wire_len.alias("len"),
-        F.unhex(s.src_mac_hex).alias("src_mac"),
-        F.unhex(s.dst_mac_hex).alias("dst_mac"),
-        s.ether_type.alias("ether_type"),
-        ip4.alias("has_ipv4"),
-        F.when(ip4, s.src_ip).alias("src_ip"),
-        F.when(ip4, s.dst_ip).alias("dst_ip"),
-        F.when(s.foreign, 0).otherwise(s.protocol).alias("protocol"),
-        F.when(s.foreign, 0).otherwise(s.hop.cast("int")).alias("ttl"),
-        flow.alias("has_transport"),
-        F.when(flow, s.src_port.cast("int")).alias("src_port"),
-        F.when(flow, s.dst_port).alias("dst_port"),
-        (icmp & ~s.v6).alias("has_icmp"),
-        (icmp & s.v6).alias("has_icmpv6"),
-        F.when(icmp, s.icmp_type.cast("int")).alias("icmp_type"),
-        F.when(icmp, s.icmp_code.cast("int")).alias("icmp_code"),
-        ip6.alias("has_ipv6"),
-        F.when(ip6, F.unhex(s.src_ip6_hex)).alias("src_ip6"),
-        F.when(ip6, F.unhex(s.dst_ip6_hex)).alias("dst_ip6"),
+    return _shaped(events).selectExpr(
+        *_ARRIVAL,
+        "unhex(src_hw) AS src_mac",
+        "unhex(dst_hw) AS dst_mac",
+        "kind AS ether_type",
+        "NOT no_ip AND NOT v6 AS has_ipv4",
+        "IF(no_ip OR v6, NULL, ip) AS src_ip",
+        "IF(no_ip OR v6, NULL, 167837696L) AS dst_ip",
+        "IF(no_ip, 0, number) AS protocol",
+        "CAST(IF(no_ip, 0, hop) AS INT) AS ttl",
+        "NOT flowless AS has_transport",
+        "CAST(IF(flowless, NULL, port) AS INT) AS src_port",
+        "IF(flowless, NULL, service) AS dst_port",
+        "flowless AND variant = 0 AND NOT v6 AS has_icmp",
+        "flowless AND variant = 0 AND v6 AS has_icmpv6",
+        "CAST(IF(flowless AND variant = 0, message_type, NULL) AS INT) AS icmp_type",
+        "CAST(IF(flowless AND variant = 0, message_code, NULL) AS INT) AS icmp_code",
+        "NOT no_ip AND v6 AS has_ipv6",
+        "IF(NOT no_ip AND v6, unhex(src6), NULL) AS src_ip6",
+        "IF(NOT no_ip AND v6, unhex(dst6), NULL) AS dst_ip6",
     )
 
 
@@ -169,11 +141,11 @@ def text_frames(documents: DataFrame) -> DataFrame:
 def address_patterns(events: DataFrame) -> DataFrame:
     """One 16-byte address per event: bit ``i`` of ``event_id`` zeroes group
     ``i``, so that every pattern of zero groups occurs."""
-    event = F.col("event_id")
-    group = lambda i: F.when(F.shiftright(event, i).bitwiseAND(F.lit(1)) == 1, F.lit("0000")).otherwise(
-        _hex(1 + (event * 31 + i * 7) % 65535, 4)
+    groups = ", ".join(
+        f"IF(shiftright(event_id, {i}) & 1 = 1, '0000', {_hex(f'1 + (event_id * 31 + {i * 7}) % 65535', 4)})"
+        for i in range(8)
     )
-    return events.select("event_id", F.unhex(F.concat(*[group(i) for i in range(8)])).alias("address"))
+    return events.selectExpr("event_id", f"unhex(concat({groups})) AS address")
 
 
 _stored: dict[tuple, str] = {}
@@ -185,7 +157,9 @@ def stored_frames(spark: SparkSession, sf_dir: str) -> str:
     known = (spark.sparkContext.applicationId, sf_dir)
     if known not in _stored:
         folder = shared_folder(spark, "frames")
-        event_frames(table(spark, sf_dir, "events")).write.parquet(folder)
+        frames = event_frames(table(spark, sf_dir, "events"))
+        tasks = spark.sparkContext.defaultParallelism
+        frames.repartitionByRange(tasks, "seq").write.parquet(folder)
         _stored[known] = folder
     return _stored[known]
 
