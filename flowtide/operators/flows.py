@@ -54,19 +54,17 @@ PIECE_MEASURES = (
 )
 
 
-def is_eligible() -> Column:
-    """Only TCP and UDP over IP make flows."""
-    return (F.col("has_ipv4") | F.col("has_ipv6")) & F.col("has_transport")
+#: Only TCP and UDP over IP make flows.
+ELIGIBLE = "(has_ipv4 OR has_ipv6) AND has_transport"
 
 
 def eligible(packets: DataFrame) -> DataFrame:
-    return packets.filter(is_eligible())
+    return packets.filter(ELIGIBLE)
 
 
 def with_flow_key(packets: DataFrame) -> DataFrame:
     """Add ``ip_version``, the one key column a packet does not carry itself."""
-    version = F.when(F.col("has_ipv6"), F.lit(6)).when(F.col("has_ipv4"), F.lit(4))
-    return packets.withColumn("ip_version", version)
+    return packets.selectExpr("*", "CASE WHEN has_ipv6 THEN 6 WHEN has_ipv4 THEN 4 END AS ip_version")
 
 
 def flow_key(packets: DataFrame) -> DataFrame:
@@ -100,26 +98,32 @@ def packet_totals() -> list[Column]:
     """Aggregates over the packets of one flow; all fixed width, so they stay
     in a hash aggregate with a map-side partial step."""
     return [
-        F.count(F.lit(1)).alias("packets"),
-        F.sum("len").alias("bytes"),
-        F.min("seq").alias("first_seq"),
-        F.max("seq").alias("last_seq"),
-        F.min_by("ts", "seq").alias("first_seen"),
-        F.max_by("ts", "seq").alias("last_seen"),
-        F.max_by("len", "seq").alias("last_len"),
+        F.expr(total)
+        for total in (
+            "count(1) AS packets",
+            "sum(len) AS bytes",
+            "min(seq) AS first_seq",
+            "max(seq) AS last_seq",
+            "min_by(ts, seq) AS first_seen",
+            "max_by(ts, seq) AS last_seen",
+            "max_by(len, seq) AS last_len",
+        )
     ]
 
 
 def _piece_totals() -> list[Column]:
     return [
-        F.sum("packets").alias("packets"),
-        F.sum("bytes").alias("bytes"),
-        F.min_by("first_seen", "first_seq").alias("first_seen"),
-        F.max_by("last_seen", "last_seq").alias("last_seen"),
-        F.max_by("last_len", "last_seq").alias("last_len"),
-        F.min("first_seq").alias("first_seq"),
-        F.max("last_seq").alias("last_seq"),
-        F.min("entered").alias("entered"),
+        F.expr(total)
+        for total in (
+            "sum(packets) AS packets",
+            "sum(bytes) AS bytes",
+            "min(first_seq) AS first_seq",
+            "max(last_seq) AS last_seq",
+            "min_by(first_seen, first_seq) AS first_seen",
+            "max_by(last_seen, last_seq) AS last_seen",
+            "max_by(last_len, last_seq) AS last_len",
+            "min(entered) AS entered",
+        )
     ]
 
 
@@ -131,20 +135,19 @@ def eager_pieces(
     The partial aggregate keeps one row per key and second, so a hot key
     reaches the shuffle already reduced, and is spread over its slices there.
     """
-    second = F.unix_seconds("ts")
     return (
         with_flow_key(eligible(packets))
-        .select(
+        .selectExpr(
             *FLOW_KEY,
             "seq",
             "ts",
             "len",
-            second.alias("sec"),
-            F.timestamp_seconds(second).alias("second"),
-            F.floor(second / F.lit(slice_seconds)).cast("bigint").alias("unit"),
+            "unix_seconds(ts) AS sec",
+            "timestamp_seconds(unix_seconds(ts)) AS second",
+            f"CAST(floor(unix_seconds(ts) / {slice_seconds}) AS BIGINT) AS unit",
         )
         .groupBy(*FLOW_KEY, "unit", F.session_window("second", session_gap(idle_seconds)))
-        .agg(*packet_totals(), F.min("sec").alias("entered"), F.max("sec").alias("last_sec"))
+        .agg(*packet_totals(), F.expr("min(sec) AS entered"), F.expr("max(sec) AS last_sec"))
         .select(*FLOW_KEY, "unit", *PIECE_MEASURES)
     )
 
@@ -166,16 +169,15 @@ def arrival_pieces(
     ``clock`` (``capture_id, clock``) is the reading at which an earlier run
     over the same captures stopped.
     """
-    in_key = [F.col(c) for c in FLOW_KEY if c != "capture_id"]
-    block = F.floor(F.col("seq") / F.lit(block_packets)).cast("bigint")
-    rows = with_flow_key(packets).select(
+    in_key = [c for c in FLOW_KEY if c != "capture_id"]
+    rows = with_flow_key(packets).selectExpr(
         "capture_id",
         "seq",
         "ts",
         "len",
-        F.unix_seconds("ts").alias("sec"),
-        block.alias("unit"),
-        F.coalesce(is_eligible(), F.lit(False)).alias("eligible"),
+        "unix_seconds(ts) AS sec",
+        f"CAST(floor(seq / {block_packets}) AS BIGINT) AS unit",
+        f"coalesce({ELIGIBLE}, false) AS eligible",
         *in_key,
     )
     peaks = rows.groupBy("capture_id", "unit").agg(F.max("sec").alias("sec"))
@@ -214,7 +216,7 @@ def arrival_pieces(
         .withColumn("opens", opens.cast("int"))
         .withColumn("piece", F.sum("opens").over(per_key.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("capture_id", "unit", *in_key, "piece")
-        .agg(*packet_totals(), F.min("entered").alias("entered"), F.max_by("sec", "seq").alias("last_sec"))
+        .agg(*packet_totals(), F.expr("min(entered) AS entered"), F.expr("max_by(sec, seq) AS last_sec"))
         .select(*FLOW_KEY, "unit", *PIECE_MEASURES)
     )
 
@@ -267,8 +269,8 @@ def mark_closed(flows: DataFrame, clock: DataFrame, idle_seconds: int) -> DataFr
     execution broadcasts it when its measured size allows, and otherwise splits
     a capture that holds most of the flows.
     """
-    return flows.join(clock, "capture_id").withColumn(
-        "is_closed", F.col("clock") - F.col("last_sec") >= idle_seconds
+    return flows.join(clock, "capture_id").selectExpr(
+        *FLOW_KEY, *PIECE_MEASURES, f"clock - last_sec >= {idle_seconds} AS is_closed"
     )
 
 
@@ -295,6 +297,7 @@ def build_flows(
 
 
 def flow_columns(flows: DataFrame) -> DataFrame:
+    """The flow row users see."""
     return flows.select(
         *FLOW_KEY,
         "packets",

@@ -24,7 +24,7 @@ from ..operators import (
     throughput,
     with_flow_key,
 )
-from ..operators.flows import is_eligible
+from ..operators.flows import ELIGIBLE
 from ..schema import FLOW_KEY
 from ..sources.captures import read_captures
 from ..sources.frames import stream_frames, with_snaplen
@@ -215,7 +215,7 @@ def frames_per_capture(spark, sf_dir):
 def flow_eligibility(spark, sf_dir):
     return (
         _packets(spark, sf_dir)
-        .groupBy("capture_id", is_eligible().alias("eligible"), "protocol")
+        .groupBy("capture_id", F.expr(ELIGIBLE).alias("eligible"), "protocol")
         .agg(F.count(F.lit(1)).alias("frames"))
     )
 

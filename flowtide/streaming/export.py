@@ -4,9 +4,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.rates import duration_seconds
 from ..operators.features import flow_features
-from ..operators.flows import IDLE_SECONDS, is_eligible, packet_totals, session_gap, with_flow_key
+from ..operators.flows import (
+    ELIGIBLE,
+    IDLE_SECONDS,
+    flow_columns,
+    packet_totals,
+    session_gap,
+    with_flow_key,
+)
 from ..schema import FLOW_KEY
 
 
@@ -29,24 +35,11 @@ def stream_flows(
     ).withWatermark("second", delay)
     # The optimizer moves filters that do not mention the event time below the
     # watermark, where frames without a flow would no longer advance the clock.
-    flow_packets = clocked.filter(
-        F.when(F.col("second").isNull(), F.lit(False)).otherwise(is_eligible())
-    )
-    return (
+    flow_packets = clocked.filter(f"CASE WHEN second IS NULL THEN false ELSE {ELIGIBLE} END")
+    return flow_columns(
         flow_packets.groupBy(*FLOW_KEY, F.session_window("second", session_gap(idle_seconds)))
         .agg(*packet_totals())
-        .select(
-            *FLOW_KEY,
-            "packets",
-            "bytes",
-            "last_len",
-            "first_seq",
-            "last_seq",
-            "first_seen",
-            "last_seen",
-            duration_seconds(F.col("first_seen"), F.col("last_seen")).alias("duration"),
-            F.lit(True).alias("is_closed"),
-        )
+        .withColumn("is_closed", F.lit(True))
     )
 
 
