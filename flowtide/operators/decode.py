@@ -32,34 +32,38 @@ def decode_packets(frames: DataFrame) -> DataFrame:
     ``protocol`` and ``ttl``, which are 0. Frames are taken as they are: no
     version, fragment or checksum test, no VLAN or extension-header walk.
 
-    The presence flags compare raw bytes instead of decoded numbers. A filter
-    on them is pushed down to the scan with its whole definition, and this
-    keeps that definition small and cheap.
+    The presence flags compare raw bytes and are written straight on the frame.
+    A filter on them is pushed down to the scan with its whole definition; kept
+    small like this, scan, filter and projections stay one compiled method.
     """
     kept = [c for c in frames.columns if c != "frame"]
+    ether = octets("frame", 12, 2)
     # The low half of the first IPv4 byte counts 32-bit header words.
     options_end = f"({big_endian('frame', ETHERNET, 1)} & 15) * 4 + {ETHERNET}"
+    # Bytes behind the network header and the protocol number in it.
+    behind = f"""CASE {ether} WHEN {TYPE_IPV4} THEN IF(_size >= {ETHERNET + IPV4_MIN}, _size - ({options_end}), -1)
+                              WHEN {TYPE_IPV6} THEN _size - {ETHERNET + IPV6} ELSE -1 END"""
+    number = f"substring(frame, IF({ether} = {TYPE_IPV4}, 24, 21), 1)"
     sized = frames.selectExpr(*kept, "frame", "coalesce(length(frame), 0) AS _size")
-    network = sized.selectExpr(
+    upper = sized.selectExpr(
         "*",
-        f"""coalesce({octets('frame', 12, 2)} = {TYPE_IPV4} AND _size >= {ETHERNET + IPV4_MIN}
-                     AND _size >= {options_end}, false) AS has_ipv4""",
-        f"""coalesce({octets('frame', 12, 2)} = {TYPE_IPV6}
-                     AND _size >= {ETHERNET + IPV6}, false) AS has_ipv6""",
-    )
-    located = network.selectExpr(
-        "*",
-        f"""CASE WHEN has_ipv4 THEN {octets('frame', 23, 1)}
-                 WHEN has_ipv6 THEN {octets('frame', 20, 1)} END AS _next""",
-        f"""CASE WHEN has_ipv4 THEN CAST({options_end} AS INT)
-                 WHEN has_ipv6 THEN {ETHERNET + IPV6} END AS _l4""",
-    )
-    upper = located.selectExpr(
+        f"{ether} = {TYPE_IPV4} AND {behind} >= 0 AS _v4",
+        f"{ether} = {TYPE_IPV6} AND _size >= {ETHERNET + IPV6} AS _v6",
+        f"""{behind} >= CASE {number} WHEN {NUMBER_TCP} THEN {TCP_MIN}
+                                      WHEN {NUMBER_UDP} THEN {UDP} END AS _ports_fit""",
+        f"""{behind} >= {ICMP} AND {number} = IF({ether} = {TYPE_IPV4}, {NUMBER_ICMP}, {NUMBER_ICMPV6}) AS _message_fits""",
+    ).selectExpr(
+        *kept,
+        "frame",
+        "_size",
+        "coalesce(_v4, false) AS has_ipv4",
+        "coalesce(_v6, false) AS has_ipv6",
+        "coalesce(_ports_fit, false) AS has_transport",
+        "coalesce(_v4 AND _message_fits, false) AS has_icmp",
+        "coalesce(_v6 AND _message_fits, false) AS has_icmpv6",
+    ).selectExpr(
         "*",
-        f"""coalesce((_next = {NUMBER_TCP} AND _size - _l4 >= {TCP_MIN})
-                     OR (_next = {NUMBER_UDP} AND _size - _l4 >= {UDP}), false) AS has_transport""",
-        f"coalesce(has_ipv4 AND _next = {NUMBER_ICMP} AND _size - _l4 >= {ICMP}, false) AS has_icmp",
-        f"coalesce(has_ipv6 AND _next = {NUMBER_ICMPV6} AND _size - _l4 >= {ICMP}, false) AS has_icmpv6",
+        f"CAST(IF(has_ipv4, {options_end}, {ETHERNET + IPV6}) AS INT) AS _l4",
     )
     # Neighbouring fields are converted in one go and split by shifts below.
     numbers = upper.selectExpr(
