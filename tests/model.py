@@ -84,6 +84,8 @@ def packets_df(spark, packets):
         "capture_id", "seq", "timestamp_micros(us) AS ts", "len", "has_ipv4", "has_ipv6", "has_transport",
         "src_ip", "IF(has_ipv4, 7L, NULL) AS dst_ip", "src_ip6", "src_ip6 AS dst_ip6", "src_port",
         "IF(has_transport, 443, NULL) AS dst_port", "IF(has_transport, 6, 0) AS protocol",
+        "X'000000000001' AS src_mac", "X'000000000002' AS dst_mac", "2048 AS ether_type", "64 AS ttl",
+        "false AS has_icmp", "false AS has_icmpv6", "CAST(NULL AS INT) AS icmp_type", "CAST(NULL AS INT) AS icmp_code",
     )
 
 
