@@ -89,10 +89,10 @@ def packets_df(spark, packets):
     )
 
 
-def flow_rows(df):
+def flow_rows(df, *more):
     got = df.selectExpr(
         "capture_id", "src_port - 1000 AS key", "packets", "bytes", "first_seq", "last_seq",
-        "unix_micros(first_seen)", "unix_micros(last_seen)", "last_len",
+        "unix_micros(first_seen)", "unix_micros(last_seen)", "last_len", *more,
     ).collect()
     return sorted(tuple(r) for r in got)
 
