@@ -41,12 +41,9 @@ def ipv6_text(address: Column) -> Column:
     part before the last 32 bits is all zeros, or all zeros but a final
     ``ffff``, those 32 bits are written as a dotted quad.
     """
-    groups = F.transform(
-        F.sequence(F.lit(0), F.lit(7)),
-        lambda i: F.lower(F.conv(F.hex(F.substring(address, i * 2 + 1, F.lit(2))), 16, 16)),
-    )
     # ":a:b:...:h:" lets one search find a run of whole groups.
-    joined = F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
+    padded = F.regexp_replace(F.lower(F.hex(address)), "(....)", ":$1")
+    joined = F.concat(F.regexp_replace(padded, ":0{1,3}", ":"), F.lit(":"))
 
     def compress(text: Column) -> Column:
         run = F.coalesce(*[_position(text, ":0" * n + ":") for n in range(8, 1, -1)])
