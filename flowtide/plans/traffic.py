@@ -15,10 +15,10 @@ over ``events`` can tell the expected result.
 import struct
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import locate
 from ..sources.scratch import shared_folder
 
 
@@ -169,7 +169,7 @@ def _write_captures(folder: str):
 
     def write(batches):
         target = None
-        system, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        system, root = locate(folder)
         current = name = None
         written = 0
         for batch in batches:

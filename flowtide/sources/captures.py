@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import FRAMES
+from .files import locate
 from .frames import SNAPLEN
 from .scratch import shared_folder
 
@@ -54,11 +54,7 @@ class _Capture:
     """One open capture file."""
 
     def __init__(self, path: str):
-        # Spark lists "file:/x" and "s3a://b/x" where Arrow wants the usual forms.
-        uri = path.replace("s3a://", "s3://", 1)
-        if uri.startswith("file:/") and not uri.startswith("file://"):
-            uri = "file://" + uri[len("file:") :]
-        system, name = fs.FileSystem.from_uri(uri)
+        system, name = locate(path)
         self.file = system.open_input_file(name)
         head = self.file.read_at(FILE_HEADER, 0)
         if len(head) < FILE_HEADER:

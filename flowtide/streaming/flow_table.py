@@ -92,17 +92,18 @@ def start_flow_table(
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        before = clocks_before = None
+        clocks_before = None
         if batch_id > 0:
             clocks_before = spark.read.schema(CLOCKS).parquet(slot(batch_id - 1, "clocks"))
-            before = spark.read.parquet(slot(batch_id - 1, "open"))
         if mode == "eager":
             pieces = eager_pieces(batch, idle_seconds)
         else:
             pieces = arrival_pieces(batch, idle_seconds, clock=clocks_before)
-        if before is not None:
-            # In a unit of its own an open flow is never an inner piece.
-            pieces = pieces.unionByName(before.withColumn("unit", F.lit(None).cast("bigint")))
+        if batch_id > 0:
+            # In a unit of its own (NULL) an open flow is never an inner piece.
+            layout = pieces.select(*FLOW_KEY, *PIECE_MEASURES).schema
+            before = spark.read.schema(layout).parquet(slot(batch_id - 1, "open"))
+            pieces = pieces.unionByName(before, allowMissingColumns=True)
         clocks = _advance(clocks_before, batch, batch_id)
         clocks.write.mode("overwrite").parquet(slot(batch_id, "clocks"))
         clocks = spark.read.schema(CLOCKS).parquet(slot(batch_id, "clocks"))

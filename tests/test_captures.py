@@ -44,8 +44,8 @@ def want(name, records, first=0):
 @pytest.mark.parametrize("kind", HEADS)
 def test_byte_orders_and_clock_units(spark, tmp_path, kind):
     records = make(20)
-    (tmp_path / "x.pcap").write_bytes(pcap(records, kind))
-    assert rows(read_captures(spark, str(tmp_path))) == want("x.pcap", records)
+    (tmp_path / "x y%20#.pcap").write_bytes(pcap(records, kind))
+    assert rows(read_captures(spark, str(tmp_path))) == want("x y%20#.pcap", records)
 
 
 def test_files_without_packets_and_cut_records(spark, tmp_path):
