@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship_package
 from ..sources.files import locate
 from ..sources.scratch import shared_folder
 
@@ -196,6 +197,7 @@ def _write_captures(folder: str):
 def write_capture_files(frames: DataFrame, folder: str) -> int:
     """Write frames as capture files, a sub-folder per capture and files that
     continue each other in name order. Returns the number of frames."""
+    ship_package(frames.sparkSession)
     ordered = frames.select(
         "capture_id", "seq", F.unix_micros("ts").alias("us"), "len", "frame"
     )

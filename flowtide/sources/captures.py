@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import FRAMES
+from ..ship import ship_package
 from .files import locate
 from .frames import SNAPLEN
 from .scratch import shared_folder
@@ -229,6 +230,7 @@ def read_captures(
     """
     if capture_by not in ("file", "directory"):
         raise ValueError(f"unknown capture_by {capture_by!r}: use 'file' or 'directory'")
+    ship_package(spark)
     folder = F.regexp_replace("path", "/[^/]*$", "")
     files = capture_files(spark, path)
     if capture_by == "directory":
@@ -274,6 +276,7 @@ def stream_captures(
 ) -> DataFrame:
     """Frames of capture files as they appear in ``path``, one task per file
     and one capture per file."""
+    ship_package(spark)
     reader = spark.readStream.format("binaryFile").schema(
         spark.read.format("binaryFile").load(path).schema
     )
