@@ -152,6 +152,19 @@ def eager_pieces(
     )
 
 
+def _block(block_packets: int) -> str:
+    return f"CAST(floor(seq / {block_packets}) AS BIGINT)"
+
+
+def block_peaks(frames: DataFrame, block_packets: int = BLOCK_PACKETS) -> DataFrame:
+    """Latest whole second in each block of arrival positions."""
+    return (
+        frames.selectExpr("capture_id", f"{_block(block_packets)} AS unit", "unix_seconds(ts) AS sec")
+        .groupBy("capture_id", "unit")
+        .agg(F.expr("max(sec) AS sec"))
+    )
+
+
 def arrival_pieces(
     packets: DataFrame,
     idle_seconds: int = IDLE_SECONDS,
@@ -176,11 +189,11 @@ def arrival_pieces(
         "ts",
         "len",
         "unix_seconds(ts) AS sec",
-        f"CAST(floor(seq / {block_packets}) AS BIGINT) AS unit",
+        f"{_block(block_packets)} AS unit",
         f"coalesce({ELIGIBLE}, false) AS eligible",
         *in_key,
     )
-    peaks = rows.groupBy("capture_id", "unit").agg(F.max("sec").alias("sec"))
+    peaks = block_peaks(packets, block_packets)
     if clock is not None:
         # NULL sorts first: the earlier reading precedes every block.
         peaks = peaks.unionByName(
@@ -288,12 +301,15 @@ def build_flows(
     """
     if mode == "eager":
         pieces = eager_pieces(packets, idle_seconds, slice_seconds)
+        clock = capture_clock(packets)
     elif mode == "arrival":
         pieces = arrival_pieces(packets, idle_seconds, block_packets)
+        # The same block maxima as above: their shuffle is planned once.
+        peaks = block_peaks(packets, block_packets)
+        clock = peaks.groupBy("capture_id").agg(F.expr("max(sec) AS clock"))
     else:
         raise ValueError(f"unknown mode {mode!r}: use 'eager' or 'arrival'")
-    flows = stitch(pieces, idle_seconds, mode)
-    return flow_columns(mark_closed(flows, capture_clock(packets), idle_seconds))
+    return flow_columns(mark_closed(stitch(pieces, idle_seconds, mode), clock, idle_seconds))
 
 
 def flow_columns(flows: DataFrame) -> DataFrame:
