@@ -1,9 +1,18 @@
 """The registered queries of this subpackage and their SQL twins."""
 
-from . import substrings
+from . import contamination, jaccard, licenses, mixing, substrings
 
 QUERIES = {
     "op2_substring_dedup": substrings.op2_substring_dedup,
+    "op3_pareto_mix": mixing.op3_pareto_mix,
+    "op8_license_scan": licenses.op8_license_scan,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
+    "op10_containment": contamination.op10_containment,
 }
 
-ORACLE: dict[str, str] = {}
+#: Where SQL can state the result; the others are tested against brute force.
+ORACLE = {
+    "op3_pareto_mix": mixing.OP3_SQL,
+    "op8_license_scan": licenses.op8_sql(),
+    "op10_containment": contamination.OP10_SQL,
+}
