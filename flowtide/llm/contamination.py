@@ -48,10 +48,12 @@ def sketches(items: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> D
     sized = _with_hashes(items.select("item", "text"), n).select("item", F.array_distinct("hashes").alias("hashes"))
     most = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("hashes").cast("double"))))
     least = F.floor(most * F.lit(1 - threshold) + F.lit(1e-9)).cast("int") + 1
+    # explode_outer here and below: the filter that Spark derives from explode would be
+    # pushed to the scan with the whole definition of its array in it.
     return (
-        sized.where(F.size("hashes") > 0)
-        .select("item", F.slice(F.sort_array("hashes"), F.lit(1), least).alias("sketch"))
-        .select("item", F.explode("sketch").alias("hash"))
+        sized.select("item", F.slice(F.sort_array("hashes"), F.lit(1), least).alias("sketch"))
+        .select("item", F.explode_outer("sketch").alias("hash"))
+        .where("hash is not null")
     )
 
 
@@ -70,7 +72,7 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = GRAM, threshold:
         "items",
     )
     probes = stored(sketches(known, n, threshold), "sketches")
-    streamed = _with_hashes(texts.select("rid", "text"), n).select("rid", F.explode("hashes").alias("hash"))
+    streamed = _with_hashes(texts.select("rid", "text"), n).select("rid", F.explode_outer("hashes").alias("hash"))
     pairs = stored(streamed.join(probes, "hash").select("rid", "item").distinct(), "pairs")
     item_grams = known.withColumn("words", _words("text")).select(
         "item", "item_id", F.array_distinct(_gram_texts("words", n)).alias("item_grams")

@@ -119,7 +119,7 @@ def op8_sql() -> str:
 WITH templates(name, grams) AS (VALUES {values}),
 docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (
-  SELECT rid, list_filter(string_split(regexp_replace(lower(line), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), x -> x <> '') AS w
+  SELECT rid, list_filter(string_split(regexp_replace(lower(line), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
   FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM docs)
 ), grams AS (
   SELECT rid, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS g FROM lines WHERE len(w) BETWEEN 2 AND 200
