@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL twins."""
 
-from . import contamination, jaccard, licenses, mixing, substrings
+from . import contamination, jaccard, licenses, line_rules, mixing, substrings
 
 QUERIES = {
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_pareto_mix": mixing.op3_pareto_mix,
+    "op4_line_rules": line_rules.op4_line_rules,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_containment": contamination.op10_containment,
@@ -13,6 +14,7 @@ QUERIES = {
 #: Where SQL can state the result; the others are tested against brute force.
 ORACLE = {
     "op3_pareto_mix": mixing.OP3_SQL,
+    "op4_line_rules": line_rules.op4_sql(),
     "op8_license_scan": licenses.op8_sql(),
     "op10_containment": contamination.OP10_SQL,
 }
