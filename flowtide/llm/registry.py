@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL twins."""
 
-from . import contamination, jaccard, licenses, line_rules, mixing, substrings
+from . import contamination, jaccard, licenses, line_rules, mixing, substrings, toxicity
 
 QUERIES = {
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_pareto_mix": mixing.op3_pareto_mix,
     "op4_line_rules": line_rules.op4_line_rules,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_containment": contamination.op10_containment,
