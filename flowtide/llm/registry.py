@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL twins."""
 
-from . import contamination, jaccard, licenses, line_rules, mixing, substrings, toxicity
+from . import contamination, hidden_markov, jaccard, licenses, line_rules, mixing, substrings, toxicity
 
 QUERIES = {
+    "op1_hidden_markov": hidden_markov.op1_hidden_markov,
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_pareto_mix": mixing.op3_pareto_mix,
     "op4_line_rules": line_rules.op4_line_rules,
