@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     )
     sets = (
         texts.select("rid", "text")
-        .join(placed, "rid")
+        .join(placed.hint("merge"), "rid")  # one plan at every size
         .mapInArrow(lambda it: _sets(it, n), "rid long, component long, blocks int, block int, grams binary")
     )
     others = F.expr("transform(sequence(0, blocks - 1), x -> named_struct('i', least(x, block), 'j', greatest(x, block)))")
