@@ -1,12 +1,14 @@
 """The registered queries of this subpackage and their SQL twins."""
 
-from . import contamination, hidden_markov, jaccard, licenses, line_rules, mixing, substrings, toxicity
+from . import contamination, hidden_markov, jaccard, licenses, line_rules, mixing, ordinal, substrings, token_counts, toxicity
 
 QUERIES = {
     "op1_hidden_markov": hidden_markov.op1_hidden_markov,
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_pareto_mix": mixing.op3_pareto_mix,
     "op4_line_rules": line_rules.op4_line_rules,
+    "op5_edit_counts": token_counts.op5_edit_counts,
+    "op6_ordinal_quality": ordinal.op6_ordinal_quality,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_jaccard_join": jaccard.op9_jaccard_join,

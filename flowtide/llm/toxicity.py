@@ -312,3 +312,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         F.when(F.col("score") >= CUT, 1).otherwise(0).cast("int").alias("predicted"),
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """``docs`` without the documents of a score of ``cut`` or more."""
+    return score(docs, train(docs, labels)).where(F.col("score") < cut).select("doc.*")
