@@ -5,6 +5,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..ship import ship_package
 from ..sources.scratch import shared_folder
@@ -36,6 +37,11 @@ def packed(docs: DataFrame) -> DataFrame:
     return numbered(docs, F.coalesce("text", F.lit("")).alias("text"), F.struct("*").alias("doc"))
 
 
+def doc_and(rows: DataFrame, more: str) -> T.StructType:
+    """Schema of the ``doc`` struct of ``rows`` and more columns (DDL)."""
+    return T.StructType([rows.schema["doc"], *T.StructType.fromDDL(more).fields])
+
+
 def python_tasks(spark: SparkSession) -> None:
     """Make this package importable in the Python workers."""
     ship_package(spark)

@@ -34,8 +34,9 @@ TAILS = 1 << 10
 HEADS = (1 << 16) - TAILS
 STATES, ROUNDS = 8, 5
 SEGMENT, TOGETHER = 512, 512
-#: Tokens whose worth the overall class shares add to each state.
-PRIOR = 200.0
+#: A state's counts are smoothed with the overall shares of the classes, to the weight
+#: of this many tokens for each class seen in it, and of ``PRIOR`` tokens at least.
+NEW, PRIOR = 1.5, 200.0
 #: Cells of a padded batch of texts in the forward recursion.
 CELLS = 4_000_000
 BLOCK = 1 << 10
@@ -138,13 +139,15 @@ class Parameters:
     @classmethod
     def estimated(cls, counts: dict[int, np.ndarray], shares: np.ndarray, states: int) -> "Parameters":
         """From expected counts: emissions by block, then (block -1) starts, carries and moves."""
-        emits = PRIOR * np.repeat(shares[:, None], states, 1)
+        emits = np.zeros((len(shares), states))
         for block, values in counts.items():
             if block >= 0:
                 part = values.reshape(-1, states)
-                emits[block * BLOCK : block * BLOCK + len(part)] += part
-        rest = counts[-1].reshape(states + 2, states) + 0.1
+                emits[block * BLOCK : block * BLOCK + len(part)] = part
+        rest = counts.get(-1, np.zeros((states + 2, states))).reshape(states + 2, states) + 0.1
         normal = rest / rest.sum(1, keepdims=True)
+        types = (emits > 0.5).sum(0)
+        emits += np.maximum(PRIOR, NEW * types) * shares[:, None]
         return cls(normal[0], emits.sum(0) / emits.sum(), normal[2:], emits / emits.sum(0))
 
 

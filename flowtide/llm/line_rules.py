@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, packed, python_tasks, table, texts_of
+from .common import chunks, doc_and, packed, python_tasks, table, texts_of
 
 #: A line may end a sentence with these.
 ENDS = ".!?…:;\"'”’»)"
@@ -152,10 +152,9 @@ def clean_lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """
     python_tasks(docs.sparkSession)
     rows = packed(docs).drop("rid")
-    kind = rows.schema["doc"].dataType.simpleString()
     names = {pa.int64(): "long", pa.bool_(): "boolean", pa.string(): "string"}
-    ddl = f"doc {kind}, " + ", ".join(f"{name} {names[t]}" for name, t in FACTS)
-    return rows.mapInArrow(lambda it: _examined(it, with_text), ddl)
+    out = doc_and(rows, ", ".join(f"{name} {names[t]}" for name, t in FACTS))
+    return rows.mapInArrow(lambda it: _examined(it, with_text), out)
 
 
 def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

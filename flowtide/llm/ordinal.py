@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, packed, python_tasks, stored, table, texts_of
+from .common import chunks, doc_and, packed, python_tasks, stored, table, texts_of
 
 BUCKETS = 1 << 14
 #: Rated documents that the regression is fitted on at most, by hash of their id.
@@ -222,9 +222,8 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
     """
     python_tasks(docs.sparkSession)
     rows = packed(docs).drop("rid")
-    kind = rows.schema["doc"].dataType.simpleString()
     weights = docs.sparkSession.sparkContext.broadcast(model.weights)
-    out = rows.mapInArrow(lambda it: _axis(it, weights.value), f"doc {kind}, axis double")
+    out = rows.mapInArrow(lambda it: _axis(it, weights.value), doc_and(rows, "axis double"))
     tails = [1 / (1 + F.exp(-(F.col("axis") - F.lit(float(c))))) for c in model.cuts]
     expected = sum(tails[1:], tails[0])
     return out.select("doc", expected.alias("expected_grade"), *(p.alias(f"p_ge_{k + 1}") for k, p in enumerate(tails)))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, packed, python_tasks, stored, texts_of
+from .common import chunks, doc_and, packed, python_tasks, stored, texts_of
 from .words import Vocabulary, mixed, rolled, runs
 
 GRAM = 10
@@ -350,7 +350,7 @@ def _cleaned(batches: Iterable[pa.RecordBatch], min_words: int, with_text: bool)
                 column.append(value)
         arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, DIGEST)]
         names = [name for name, _ in DIGEST]
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc"), *arrays], names=["rid", "doc", *names])
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), *arrays], names=["doc", *names])
 
 
 def remove_repeated(docs: DataFrame, min_words: int = 20, with_text: bool = True, shard: int = SHARD) -> DataFrame:
@@ -373,9 +373,8 @@ def remove_repeated(docs: DataFrame, min_words: int = 20, with_text: bool = True
     joined = rows.join(by_doc, "rid", "left").select(
         "rid", "doc", "text", F.col("spans.start").alias("starts"), F.col("spans.n").alias("lengths")
     )
-    kind = rows.schema["doc"].dataType.simpleString()
-    ddl = f"rid long, doc {kind}, n_words long, n_removed long, kept_words_sha256 string, kept_text string"
-    return joined.mapInArrow(lambda it: _cleaned(it, min_words, with_text), ddl).drop("rid")
+    out = doc_and(rows, "n_words long, n_removed long, kept_words_sha256 string, kept_text string")
+    return joined.mapInArrow(lambda it: _cleaned(it, min_words, with_text), out)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,10 +15,10 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, numbered, python_tasks, table
+from .common import chunks, doc_and, packed, python_tasks, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how byte-level BPE vocabularies of this kind cut a text.
@@ -168,6 +168,7 @@ def edit(text: str, tree: Tree, start: int, length: int, new: str, enc: Encoder)
 
 
 TREE = "chars array<int>, tokens array<int>"
+EDITS = "array<struct<start:int,length:int,text:string>>"
 _INTS = pa.list_(pa.int32())
 
 
@@ -176,17 +177,22 @@ def _built(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
     for batch in chunks(batches):
         cut = [enc.pieces(t or "") for t in batch.column("text").to_pylist()]
         arrays = [pa.array([c for c, _ in cut], _INTS), pa.array([t for _, t in cut], _INTS)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, "chars", "tokens"])
+        names = ["doc", "edits", "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *arrays], names=[*names, "chars", "tokens"])
 
 
-def build_trees(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """``docs`` (with ``text``) and the leaves of their trees: ``chars``, ``tokens`` of each pre-token.
+def build_trees(docs: DataFrame, edits: Column | None = None, path: str = TOKENIZER) -> DataFrame:
+    """The struct ``doc`` with all columns of ``docs``, ``edits``, ``text`` and the leaves of its tree.
 
-    Null and empty texts have no pre-token.
+    ``chars`` and ``tokens`` belong to each pre-token; ``edits`` (a column of ``docs``,
+    by default none) wait for :func:`apply_edits`. Null and empty texts have no pre-token.
     """
     python_tasks(docs.sparkSession)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(lambda it: _built(it, path), f"{ddl}, {TREE}")
+    edits = F.lit(None) if edits is None else edits
+    rows = packed(docs.withColumn("__edits", edits.cast(EDITS))).select(
+        F.col("doc").dropFields("__edits").alias("doc"), F.col("doc.__edits").alias("edits"), "text"
+    )
+    return rows.mapInArrow(lambda it: _built(it, path), doc_and(rows, f"edits {EDITS}, text string, {TREE}"))
 
 
 def _edited(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -202,32 +208,26 @@ def _edited(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             rows.append((text, *tree.pieces(), before, tree.total[1], anew, len(edits or ())))
         kinds = (pa.string(), _INTS, _INTS, pa.int64(), pa.int64(), pa.int64(), pa.int64())
         names = ["text", "chars", "tokens", "n_tokens_before", "n_tokens", "n_pieces_cut", "n_edits"]
-        others = [n for n in batch.schema.names if n not in ("text", "chars", "tokens", "edits")]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(n) for n in others), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[*others, *names]
-        )
+        arrays = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), *arrays], names=["doc", *names])
 
 
 def apply_edits(trees: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """Trees after their ``edits``: an array of (start, length, text) in characters, applied in order.
 
-    Takes the columns of :func:`build_trees` and ``edits``; returns the edited ``text``,
+    Takes the columns of :func:`build_trees`; returns ``doc``, the edited ``text``,
     its leaves, ``n_tokens_before``, ``n_tokens``, ``n_pieces_cut`` (pre-tokens cut
     anew) and ``n_edits``. Places beyond the text are its end; null parts are 0 or
     empty; null edits are none.
     """
     python_tasks(trees.sparkSession)
-    ddl = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in trees.schema if f.name not in ("text", "chars", "tokens", "edits")
-    )
-    return trees.mapInArrow(
-        lambda it: _edited(it, path),
-        f"{ddl}, text string, {TREE}, n_tokens_before long, n_tokens long, n_pieces_cut long, n_edits long",
-    )
+    counts = "n_tokens_before long, n_tokens long, n_pieces_cut long, n_edits long"
+    return trees.mapInArrow(lambda it: _edited(it, path), doc_and(trees, f"text string, {TREE}, {counts}"))
 
 
-def sample_edits(text: str = "text", seed: str = "doc_id") -> F.Column:
+def sample_edits(text: str = "text", seed: str = "doc_id") -> Column:
     """Three edits that follow from the text and ``seed``: a deletion, an insertion and a replacement."""
+    text = f"coalesce({text}, '')"
     n, h = f"length({text})", f"xxhash64({seed})"
     return F.expr(
         f"""array(
@@ -238,10 +238,9 @@ def sample_edits(text: str = "text", seed: str = "doc_id") -> F.Column:
 
 
 def op5_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = numbered(table(spark, sf_dir, "documents"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    trees = build_trees(docs.withColumn("edits", sample_edits()))
-    return apply_edits(trees).select(
-        "doc_id",
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return apply_edits(build_trees(docs, sample_edits())).select(
+        "doc.doc_id",
         "n_tokens_before",
         "n_tokens",
         "n_edits",

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, id_text, packed, python_tasks, stored, table, texts_of
+from .common import chunks, doc_and, id_text, packed, python_tasks, stored, table, texts_of
 
 #: Characters and the letters they are used for.
 LOOKS_LIKE = {
@@ -291,10 +291,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     python_tasks(docs.sparkSession)
     rows = packed(docs).drop("rid")
-    kind = rows.schema["doc"].dataType.simpleString()
     decoder, weights, coefficients = model.decoder, model.weights, [float(c) for c in model.coefficients]
     summed = rows.mapInArrow(
-        lambda it: _with_sums(it, decoder, weights), f"doc {kind}, found double, density double, strongest double"
+        lambda it: _with_sums(it, decoder, weights), doc_and(rows, "found double, density double, strongest double")
     )
     linear = F.lit(coefficients[0])
     for name, weight in zip(("found", "density", "strongest"), coefficients[1:]):
