@@ -38,6 +38,8 @@ SLICE_SECONDS = 3600
 #: Arrival positions per ``arrival`` block; ``seq`` is unique in a capture, so
 #: this bounds the rows of a block.
 BLOCK_PACKETS = 1 << 18
+#: Blocks whose clock readings are strung together at a time.
+RUN_BLOCKS = 1 << 12
 
 #: Measures of a (partial) flow. ``entered`` is the clock reading the previous
 #: piece is compared with, ``last_sec`` the second the idle time counts from.
@@ -144,7 +146,7 @@ def eager_pieces(
             "len",
             "unix_seconds(ts) AS sec",
             "timestamp_seconds(unix_seconds(ts)) AS second",
-            f"CAST(floor(unix_seconds(ts) / {slice_seconds}) AS BIGINT) AS unit",
+            f"{_unit('unix_seconds(ts)', slice_seconds)} AS unit",
         )
         .groupBy(*FLOW_KEY, "unit", F.session_window("second", session_gap(idle_seconds)))
         .agg(*packet_totals(), F.expr("min(sec) AS entered"), F.expr("max(sec) AS last_sec"))
@@ -152,8 +154,14 @@ def eager_pieces(
     )
 
 
+def _unit(position: str, size: int) -> str:
+    """Which run of ``size`` positions a position is in; whole numbers throughout,
+    so it is right for every bigint, negative ones included."""
+    return f"({position} - pmod({position}, {size}L)) DIV {size}L"
+
+
 def _block(block_packets: int) -> str:
-    return f"CAST(floor(seq / {block_packets}) AS BIGINT)"
+    return _unit("seq", block_packets)
 
 
 def block_peaks(frames: DataFrame, block_packets: int = BLOCK_PACKETS) -> DataFrame:
@@ -165,11 +173,38 @@ def block_peaks(frames: DataFrame, block_packets: int = BLOCK_PACKETS) -> DataFr
     )
 
 
+def peaks_before(peaks: DataFrame, clock: DataFrame | None = None) -> DataFrame:
+    """``capture_id, unit, sec``: the latest second before each block of its capture.
+
+    Blocks are taken ``RUN_BLOCKS`` at a time: one window runs over the maxima of
+    the runs, one over the blocks of a run, so that no task meets all blocks of a
+    capture, however thinly ``seq`` is spread. ``clock`` precedes every block.
+    """
+    runs = peaks.withColumn("run", F.expr(_unit("unit", RUN_BLOCKS)))
+    per_run = runs.groupBy("capture_id", "run").agg(F.max("sec").alias("sec"))
+    if clock is not None:
+        # NULL sorts first: the earlier reading precedes every run.
+        per_run = per_run.unionByName(
+            clock.select("capture_id", F.col("clock").alias("sec")), allowMissingColumns=True
+        )
+    over_runs = Window.partitionBy("capture_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    over_blocks = Window.partitionBy("capture_id", "run").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
+    before_run = per_run.select(
+        F.col("capture_id").alias("of"), F.col("run").alias("in_run"), F.max("sec").over(over_runs).alias("before")
+    )
+    within = runs.withColumn("within", F.max("sec").over(over_blocks))
+    same = F.col("capture_id").eqNullSafe(F.col("of")) & (F.col("run") == F.col("in_run"))
+    return within.join(before_run, same).select(
+        "capture_id", "unit", F.greatest("within", "before").alias("sec")
+    )
+
+
 def arrival_pieces(
     packets: DataFrame,
     idle_seconds: int = IDLE_SECONDS,
     block_packets: int = BLOCK_PACKETS,
     clock: DataFrame | None = None,
+    peaks: DataFrame | None = None,
 ) -> DataFrame:
     """Partial flows per key and block of arrival positions.
 
@@ -193,26 +228,17 @@ def arrival_pieces(
         f"coalesce({ELIGIBLE}, false) AS eligible",
         *in_key,
     )
-    peaks = block_peaks(packets, block_packets)
-    if clock is not None:
-        # NULL sorts first: the earlier reading precedes every block.
-        peaks = peaks.unionByName(
-            clock.select("capture_id", F.col("clock").alias("sec")), allowMissingColumns=True
-        )
-    before = (
-        Window.partitionBy("capture_id")
-        .orderBy("unit")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    peaks = block_peaks(packets, block_packets) if peaks is None else peaks
     seeds = (
-        peaks.select(
+        peaks_before(peaks, clock)
+        .select(
             "capture_id",
             "unit",
-            (F.col("unit") * block_packets - 1).alias("seq"),
-            F.max("sec").over(before).alias("sec"),
+            F.expr(f"unit * {block_packets}L - 1").alias("seq"),
+            "sec",
             F.lit(False).alias("eligible"),
         )
-        .filter("sec IS NOT NULL AND unit IS NOT NULL")
+        .filter("sec IS NOT NULL")
     )
     so_far = (
         Window.partitionBy("capture_id", "unit")
@@ -278,11 +304,12 @@ def stitch(
 def mark_closed(flows: DataFrame, clock: DataFrame, idle_seconds: int) -> DataFrame:
     """Add ``is_closed``: did the capture's clock run past the idle time?
 
-    ``clock`` has one row per capture. It is joined without a hint: adaptive
+    Flows of the NULL capture meet its clock like all others. ``clock`` has one row per capture. It is joined without a hint: adaptive
     execution broadcasts it when its measured size allows, and otherwise splits
     a capture that holds most of the flows.
     """
-    return flows.join(clock, "capture_id").selectExpr(
+    clock = clock.select(F.col("capture_id").alias("clock_of"), "clock")
+    return flows.join(clock, F.col("capture_id").eqNullSafe(F.col("clock_of"))).selectExpr(
         *FLOW_KEY, *PIECE_MEASURES, f"clock - last_sec >= {idle_seconds} AS is_closed"
     )
 
@@ -293,19 +320,23 @@ def build_flows(
     idle_seconds: int = IDLE_SECONDS,
     slice_seconds: int = SLICE_SECONDS,
     block_packets: int = BLOCK_PACKETS,
+    ticks: DataFrame | None = None,
 ) -> DataFrame:
     """All flows of ``packets``, closed and open.
 
     ``packets`` must hold every captured frame, not only the eligible ones:
-    each of them moves the clock.
+    each of them moves the clock. ``ticks`` may give the clock a lighter reading
+    of the same frames (``capture_id, seq, ts``), where scanning ``packets`` twice
+    is dear: for capture files, ``read_captures(..., headers_only=True)``.
     """
+    ticks = packets if ticks is None else ticks
     if mode == "eager":
         pieces = eager_pieces(packets, idle_seconds, slice_seconds)
-        clock = capture_clock(packets)
+        clock = capture_clock(ticks)
     elif mode == "arrival":
-        pieces = arrival_pieces(packets, idle_seconds, block_packets)
-        # The same block maxima as above: their shuffle is planned once.
-        peaks = block_peaks(packets, block_packets)
+        peaks = block_peaks(ticks, block_packets)
+        # The same block maxima here and there: their shuffle is planned once.
+        pieces = arrival_pieces(packets, idle_seconds, block_packets, peaks=peaks)
         clock = peaks.groupBy("capture_id").agg(F.expr("max(sec) AS clock"))
     else:
         raise ValueError(f"unknown mode {mode!r}: use 'eager' or 'arrival'")

@@ -110,11 +110,10 @@ def packet_details(packets: DataFrame) -> DataFrame:
 def latest_packet(packets: DataFrame) -> DataFrame:
     """Details of the last flow packet of each capture.
 
-    Text is made after the aggregate, for one row per capture.
+    The last position of each capture comes from a hash aggregate over two
+    columns; the packets that stand there are then looked up.
     """
-    newest = (
-        eligible(packets)
-        .groupBy("capture_id")
-        .agg(F.max_by(F.struct(*[c for c in packets.columns if c != "capture_id"]), "seq").alias("p"))
-    )
-    return packet_details(newest.select("capture_id", "p.*"))
+    last = eligible(packets).groupBy("capture_id").agg(F.max("seq").alias("last"))
+    last = last.withColumnRenamed("capture_id", "of")
+    there = F.col("capture_id").eqNullSafe(F.col("of")) & (F.col("seq") == F.col("last"))
+    return packet_details(packets.join(last, there, "left_semi"))

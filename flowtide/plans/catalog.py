@@ -26,7 +26,7 @@ from ..operators import (
 )
 from ..operators.flows import ELIGIBLE
 from ..schema import FLOW_KEY
-from ..sources.captures import read_captures
+from ..sources.captures import read_captures, stream_captures
 from ..sources.frames import stream_frames, with_snaplen
 from ..sources.scratch import shared_folder
 from ..sources.sinks import read_features_csv, write_features_csv, write_features_parquet
@@ -47,6 +47,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Idle times that fit the pace of ``events`` (a user acts every few hours).
 DAY = 86_400
 HALF_HOUR = 1_800
+#: Arrival positions beyond the whole numbers of a double.
+FAR = 4097 << 42
 #: Moment of the snapshot queries.
 AS_OF = "2024-01-15 12:00:00+00:00"
 
@@ -152,7 +154,11 @@ def snaplen(spark, sf_dir):
 def capture_files(spark, sf_dir):
     folder = shared_folder(spark, "captures")
     write_capture_files(spark.read.parquet(stored_frames(spark, sf_dir)), folder)
-    return read_captures(spark, folder, capture_by="directory", split_bytes=1 << 16).select(
+    return _digests(read_captures(spark, folder, capture_by="directory", split_bytes=1 << 16))
+
+
+def _digests(frames: DataFrame) -> DataFrame:
+    return frames.select(
         F.substring_index("capture_id", "/", -1).alias("capture"),
         F.unix_micros("ts").alias("us"),
         "caplen",
@@ -161,6 +167,15 @@ def capture_files(spark, sf_dir):
     )
 
 
+def stream_capture_files(spark, sf_dir):
+    folder = shared_folder(spark, "stream-captures")
+    write_capture_files(spark.read.parquet(stored_frames(spark, sf_dir)), f"{folder}/in")
+    stream_captures(spark, f"{folder}/in", capture_by="directory").writeStream.format("parquet").option(
+        "path", f"{folder}/frames"
+    ).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _digests(spark.read.parquet(f"{folder}/frames"))
+
+
 # Text ---------------------------------------------------------------------
 
 
@@ -252,6 +267,23 @@ def flows_one_capture(spark, sf_dir):
     return portable(build_flows(packets, "arrival", HALF_HOUR, block_packets=1 << 12))
 
 
+def flows_far_positions(spark, sf_dir):
+    packets = _packets(spark, sf_dir).withColumn("seq", F.col("seq") + F.lit(FAR))
+    return portable(build_flows(packets, "arrival", HALF_HOUR))
+
+
+def _some_null(packets: DataFrame) -> DataFrame:
+    return packets.withColumn("capture_id", F.nullif("capture_id", F.lit("3")))
+
+
+def flows_null_captures(spark, sf_dir):
+    return portable(build_flows(_some_null(_packets(spark, sf_dir)), "arrival", HALF_HOUR))
+
+
+def flows_null_captures_eager(spark, sf_dir):
+    return portable(build_flows(_some_null(_packets(spark, sf_dir)), "eager", HALF_HOUR))
+
+
 def flow_features_closed(spark, sf_dir):
     return flow_features(build_flows(_packets(spark, sf_dir), "eager", DAY))
 
@@ -323,7 +355,7 @@ def _packet_stream(spark, sf_dir):
 
 def stream_features(spark, sf_dir):
     folder = shared_folder(spark, "stream-features")
-    features = stream_flow_features(_one_capture(_packet_stream(spark, sf_dir)), DAY)
+    features = stream_flow_features(_one_capture(_packet_stream(spark, sf_dir)), "0 seconds", DAY)
     start_export(
         features, f"{folder}/data", f"{folder}/checkpoint", trigger={"availableNow": True}
     ).awaitTermination()
@@ -373,6 +405,9 @@ QUERIES: dict[str, Query] = {
         flows_arrival,
         flows_arrival_half_hour,
         flows_one_capture,
+        flows_far_positions,
+        flows_null_captures,
+        flows_null_captures_eager,
         flow_features_closed,
         flow_features_all,
         frames_to_features,
@@ -385,6 +420,7 @@ QUERIES: dict[str, Query] = {
         csv_roundtrip,
         csv_compat_roundtrip,
         parquet_roundtrip,
+        stream_capture_files,
         stream_features,
         stream_table_features,
         stream_active_flows,

@@ -7,6 +7,8 @@ Nothing is decoded or streamed here: the expected result follows from
 DAY = 86_400
 HALF_HOUR = 1_800
 AS_OF = "2024-01-15 12:00:00"
+FAR = 4097 << 42
+SOME_NULL = "CASE WHEN user_id % 8 <> 3 THEN CAST(user_id % 8 AS VARCHAR) END"
 
 KEY = "capture_id, ip_version, src_ip, dst_ip, src_ip6, dst_ip6, src_port, dst_port, protocol"
 
@@ -80,11 +82,11 @@ def flows(mode: str, idle: int, **shape: str) -> str:
         arg_max(len, seq) AS last_len, min(seq) AS first_seq, max(seq) AS last_seq,
         arg_min(us, seq) AS first_seen, arg_max(us, seq) AS last_seen
       FROM numbered GROUP BY {KEY}, flow_no),
-    ends AS (SELECT capture_id, max(sec) AS final FROM packets GROUP BY capture_id),
+    ends AS (SELECT capture_id AS ended, max(sec) AS final FROM packets GROUP BY capture_id),
     flows AS (
       SELECT grouped.*, (last_seen - first_seen) / CAST(1e6 AS DOUBLE) AS duration,
         final - last_seen // 1000000 >= {idle} AS is_closed
-      FROM grouped JOIN ends USING (capture_id))"""
+      FROM grouped JOIN ends ON grouped.capture_id IS NOT DISTINCT FROM ended)"""
 
 
 def features(where: str) -> str:
@@ -221,6 +223,11 @@ ORACLE: dict[str, str] = {
     "flows_arrival_half_hour": f"WITH {flows('arrival', HALF_HOUR)} SELECT {FLOW_COLUMNS} FROM flows",
     "flows_one_capture": f"""WITH {flows('arrival', HALF_HOUR, capture="'all'")}
         SELECT {FLOW_COLUMNS} FROM flows""",
+    "flows_far_positions": f"""WITH {flows('arrival', HALF_HOUR)}
+        SELECT * REPLACE (first_seq + {FAR} AS first_seq, last_seq + {FAR} AS last_seq)
+        FROM (SELECT {FLOW_COLUMNS} FROM flows)""",
+    "flows_null_captures": f"WITH {flows('arrival', HALF_HOUR, capture=SOME_NULL)} SELECT {FLOW_COLUMNS} FROM flows",
+    "flows_null_captures_eager": f"WITH {flows('eager', HALF_HOUR, capture=SOME_NULL)} SELECT {FLOW_COLUMNS} FROM flows",
     "flow_features_closed": f"WITH {flows('eager', DAY)} {features('is_closed')}",
     "flow_features_all": f"WITH {flows('arrival', DAY)} {features('TRUE')}",
     "frames_to_features": f"WITH {flows('arrival', DAY)} {features('is_closed')}",
@@ -248,3 +255,4 @@ ORACLE: dict[str, str] = {
     "stream_table_features": f"WITH {flows('eager', DAY)} {features('is_closed')}",
     "stream_active_flows": f"WITH {flows('arrival', DAY)} {ACTIVE}",
 }
+ORACLE["stream_capture_files"] = ORACLE["capture_files"]

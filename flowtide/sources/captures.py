@@ -8,10 +8,14 @@ Larger ones are cut all the same:
    of plausible record headers, and walks from there to its end;
 2. a split is right when its first record is where the split before it stopped.
    The first split of a file starts at a known place, so if all agree, all are
-   right. A split that does not agree is walked again from that place.
+   right. A guessed chain that breaks proves nothing and is dropped;
+3. a file with a split that does not agree is gone through once more, in order,
+   by one task: splits that fit are skipped, the others walked from their true
+   start. So there are two rounds at most.
 
 The walk also counts records, which gives every record its exact position in
-the file. The result does not depend on the guesses; only the time does.
+the file. The result does not depend on the guesses; only the time does. A chain
+that breaks after a known start is damage, and fails with file and offset.
 """
 
 import struct
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import FRAMES
@@ -29,8 +33,10 @@ from .frames import SNAPLEN
 from .scratch import shared_folder
 
 SPLIT_BYTES = 128 << 20
-#: Positions reserved per file when a folder is one capture.
-FILE_STRIDE = 1 << 42
+#: Tasks that a read is dealt to at most; a task reads several splits if need be.
+MOST_TASKS = 1 << 14
+#: Positions between files of a streamed folder, for each millisecond between them.
+STREAM_STRIDE = 1 << 20
 
 _CHUNK = 4 << 20
 _BATCH_BYTES = 8 << 20
@@ -55,6 +61,7 @@ class _Capture:
     """One open capture file."""
 
     def __init__(self, path: str):
+        self.path = path
         system, name = locate(path)
         self.file = system.open_input_file(name)
         head = self.file.read_at(FILE_HEADER, 0)
@@ -85,7 +92,7 @@ class _Capture:
             while start + at < stop and at + RECORD_HEADER <= len(chunk):
                 sec, fraction, caplen, wire = self.header.unpack_from(chunk, at)
                 if caplen > self.limit:
-                    raise ValueError(f"record at {start + at} claims {caplen} bytes")
+                    raise ValueError(f"{self.path}: record at {start + at} claims {caplen} bytes")
                 body = at + RECORD_HEADER
                 if body + caplen > len(chunk):
                     break
@@ -115,26 +122,48 @@ class _Capture:
         return None
 
 
-def _walk_splits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fill ``start, next, records`` of splits marked ``stale``."""
+def _walk(capture: _Capture, start: int, stop: int) -> tuple[int, int]:
+    """Where the records of ``[start, stop)`` end, and how many there are."""
+    end, records = start, 0
+    for record in capture.records(start, stop):
+        end, records = record[0], records + 1
+    return end, records
+
+
+def _guess_splits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fill ``start, next, records``; -1 where a guess leads nowhere."""
     for batch in batches:
         rows = batch.to_dict("records")
         for row in rows:
-            if not row["stale"]:
-                continue
             with _Capture(row["path"]) as capture:
-                if row["start"] < 0:
-                    found = capture.guess(int(row["split_start"]))
-                    row["start"] = -1 if found is None else found
-                row["next"], row["records"] = row["start"], 0
-                if row["start"] >= 0:
-                    for record in capture.records(int(row["start"]), int(row["split_stop"])):
-                        row["next"] = record[0]
-                        row["records"] += 1
+                known = row["split"] == 0
+                found = FILE_HEADER if known else capture.guess(int(row["split_start"]))
+                row["start"], row["next"], row["records"] = -1, -1, 0
+                if found is None:
+                    continue
+                try:
+                    row["next"], row["records"] = _walk(capture, found, int(row["split_stop"]))
+                    row["start"] = found
+                except ValueError:
+                    if known:
+                        raise
         yield pd.DataFrame(rows, columns=batch.columns)
 
 
-def _read_splits(snaplen: int):
+def _mend_file(splits: pd.DataFrame) -> pd.DataFrame:
+    """All splits of one file, those that do not follow on walked again."""
+    rows = splits.sort_values("split").to_dict("records")
+    expected = FILE_HEADER
+    with _Capture(rows[0]["path"]) as capture:
+        for row in rows:
+            if row["start"] != expected:
+                row["start"] = expected
+                row["next"], row["records"] = _walk(capture, expected, int(row["split_stop"]))
+            expected = row["next"]
+    return pd.DataFrame(rows, columns=splits.columns)
+
+
+def _read_splits(snaplen: int | None, headers_only: bool = False):
     schema = pa.schema(
         [
             ("capture_id", pa.string()),
@@ -153,7 +182,7 @@ def _read_splits(snaplen: int):
                 pa.array([name] * len(rows), pa.string()),
                 pa.array(range(first, first + len(rows)), pa.int64()),
                 pa.array(micros, pa.int64()).cast(schema.field("ts").type),
-                pa.array([len(f) for f in frames], pa.int32()),
+                pa.array([None if f is None else len(f) for f in frames], pa.int32()),
                 pa.array(wires, pa.int64()),
                 pa.array(frames, pa.binary()),
             ],
@@ -169,9 +198,9 @@ def _read_splits(snaplen: int):
                     for _, sec, fraction, _, wire, body in capture.records(
                         split["start"], split["split_stop"]
                     ):
-                        body = bytes(body[:snaplen])
+                        body = None if headers_only else bytes(body[:snaplen])
                         rows.append((sec * 1_000_000 + fraction // per_micro, wire, body))
-                        held += len(body)
+                        held += len(body or b"")
                         if len(rows) == _BATCH_RECORDS or held >= _BATCH_BYTES:
                             yield emit(split["capture_id"], seq, rows)
                             seq, rows, held = seq + len(rows), [], 0
@@ -184,23 +213,31 @@ def _read_splits(snaplen: int):
 def _index(spark: SparkSession, splits: DataFrame, tasks: int) -> DataFrame:
     """Verified ``start`` and record count of each split, as a stored table."""
     in_file = Window.partitionBy("path").orderBy("split")
-    layout = "path string, length bigint, split bigint, split_start bigint, split_stop bigint, " \
-        "start bigint, next bigint, records bigint, stale boolean"
-    pending = splits.selectExpr(
-        "path", "length", "split", "split_start", "split_stop",
-        f"IF(split = 0, {FILE_HEADER}L, -1L) AS start", "-1L AS next", "0L AS records", "true AS stale",
+    layout = "path string, split bigint, split_start bigint, split_stop bigint, start bigint, next bigint, records bigint"
+    fresh = splits.selectExpr(
+        "path", "split", "split_start", "split_stop", "-1L AS start", "-1L AS next", "0L AS records"
     )
-    while True:
+
+    def kept(index: DataFrame) -> DataFrame:
         table = shared_folder(spark, "capture-index")
-        pending.repartition(tasks).mapInPandas(_walk_splits, layout).write.parquet(table)
-        expected = F.lag("next").over(in_file)
-        checked = spark.read.schema(layout).parquet(table).withColumn("expected", expected)
-        wrong = (F.col("split") > 0) & (F.col("start") != F.col("expected"))
-        if checked.filter(wrong).isEmpty():
-            return checked
-        pending = checked.withColumns(
-            {"stale": wrong, "start": F.when(wrong, F.col("expected")).otherwise(F.col("start"))}
-        ).drop("expected")
+        index.write.parquet(table)
+        return spark.read.schema(layout).parquet(table)
+
+    guessed = kept(fresh.repartition(tasks).mapInPandas(_guess_splits, layout))
+    follows = F.col("start") == F.coalesce(F.lag("next").over(in_file), F.lit(FILE_HEADER))
+    wrong = guessed.withColumn("follows", follows & (F.col("start") >= 0)).where("NOT follows").select("path").distinct()
+    if wrong.isEmpty():
+        return guessed
+    mended = guessed.join(wrong, "path", "left_semi").groupBy("path").applyInPandas(_mend_file, layout)
+    return kept(guessed.join(wrong, "path", "left_anti").unionByName(mended))
+
+
+def natural_order(path: str = "path") -> Column:
+    """A text that sorts names by the numbers in them: ``x.2`` before ``x.10``."""
+    return F.expr(
+        f"""array_join(transform(regexp_extract_all({path}, '([0-9]+|[^0-9]+)', 1),
+        part -> IF(part RLIKE '^[0-9]' AND length(part) < 24, lpad(part, 24, '0'), part)), '')"""
+    )
 
 
 def capture_files(spark: SparkSession, path: str) -> DataFrame:
@@ -213,50 +250,66 @@ def capture_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def plan_splits(files: DataFrame, capture_by: str, split_bytes: int) -> DataFrame:
+    """The splits of ``files`` (``path, length``), with the position their file starts at.
+
+    Files of a folder that is one capture are strung together in natural order. A
+    file gets as many positions as it can hold records, by its length, so positions
+    never meet and stay below a sixteenth of the bytes.
+    """
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    if capture_by == "directory":
+        room = F.expr(f"greatest(length - {FILE_HEADER}, 0) DIV {RECORD_HEADER} + 1")
+        before = Window.partitionBy(folder).orderBy(natural_order(), "path").rowsBetween(Window.unboundedPreceding, -1)
+        files = files.withColumn("base", F.coalesce(F.sum(room).over(before), F.lit(0).cast("bigint")))
+    else:
+        files = files.withColumn("base", F.lit(0).cast("bigint"))
+    last = F.expr(f"(greatest(length, 1) - 1) DIV {split_bytes}")
+    return (
+        files.withColumn("capture_id", folder if capture_by == "directory" else F.col("path"))
+        .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("split"))
+        .withColumns(
+            {
+                "split_start": F.col("split") * F.lit(split_bytes),
+                "split_stop": F.least("length", (F.col("split") + 1) * F.lit(split_bytes)),
+            }
+        )
+    )
+
+
 def read_captures(
     spark: SparkSession,
     path: str,
-    snaplen: int = SNAPLEN,
+    snaplen: int | None = SNAPLEN,
     capture_by: str = "file",
     split_bytes: int = SPLIT_BYTES,
+    headers_only: bool = False,
+    most_tasks: int = MOST_TASKS,
 ) -> DataFrame:
     """Frames of all capture files below ``path``.
 
     Both byte orders, microsecond and nanosecond files. A last record cut short
-    by the end of its file is left out.
+    by the end of its file is left out. At most ``snaplen`` bytes of a frame are
+    kept, 2048 by default; ``None`` keeps them all.
 
     ``capture_by="file"`` makes each file one capture; ``"directory"`` reads the
-    files of a folder, in name order, as one capture in rotated files.
+    files of a folder, in the natural order of their names, as one capture in
+    rotated files.
+
+    ``headers_only`` leaves ``caplen`` and ``frame`` NULL: enough for the clock of
+    :func:`~flowtide.operators.flows.build_flows`, without moving frames.
     """
     if capture_by not in ("file", "directory"):
         raise ValueError(f"unknown capture_by {capture_by!r}: use 'file' or 'directory'")
     ship_package(spark)
-    folder = F.regexp_replace("path", "/[^/]*$", "")
-    files = capture_files(spark, path)
-    if capture_by == "directory":
-        rank = F.row_number().over(Window.partitionBy(folder).orderBy("path")) - 1
-        files = files.withColumn("base", rank.cast("bigint") * F.lit(FILE_STRIDE))
-    else:
-        files = files.withColumn("base", F.lit(0).cast("bigint"))
-    named = files.withColumn("capture_id", folder if capture_by == "directory" else F.col("path"))
-    splits = named.select(
-        "*",
-        F.explode(
-            F.sequence(F.lit(0).cast("bigint"), F.floor((F.greatest("length", F.lit(1)) - 1) / split_bytes))
-        ).alias("split"),
-    ).withColumns(
-        {
-            "split_start": F.col("split") * F.lit(split_bytes),
-            "split_stop": F.least("length", (F.col("split") + 1) * F.lit(split_bytes)),
-        }
-    )
+    splits = plan_splits(capture_files(spark, path), capture_by, split_bytes)
     sizes = splits.agg(F.count(F.lit(1)).alias("splits"), F.max("split").alias("last")).first()
-    tasks = max(sizes["splits"], 1)
+    tasks = min(max(sizes["splits"], 1), most_tasks)
     if sizes["last"]:
         before = (
             Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
         )
-        index = _index(spark, splits.select("path", "length", "split", "split_start", "split_stop"), tasks)
+        index = _index(spark, splits.select("path", "split", "split_start", "split_stop"), tasks)
         located = index.select(
             "path", "split", "start", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("skipped")
         )
@@ -265,28 +318,42 @@ def read_captures(
     else:
         splits = splits.withColumn("start", F.lit(FILE_HEADER).cast("bigint"))
         seq = F.col("base")
-    # A task per split; the explicit number keeps adaptive execution from
-    # merging these tiny rows, each of which stands for a lot of reading.
+    # The explicit number of tasks keeps adaptive execution from merging these
+    # tiny rows, each of which stands for a lot of reading.
     work = splits.select("path", "capture_id", "start", "split_stop", seq.alias("seq"))
-    return work.repartition(tasks).mapInArrow(_read_splits(snaplen), FRAMES)
+    return work.repartition(tasks).mapInArrow(_read_splits(snaplen, headers_only), FRAMES)
 
 
 def stream_captures(
-    spark: SparkSession, path: str, snaplen: int = SNAPLEN, max_files_per_trigger: int | None = None
+    spark: SparkSession,
+    path: str,
+    snaplen: int | None = SNAPLEN,
+    max_files_per_trigger: int | None = None,
+    capture_by: str = "file",
 ) -> DataFrame:
-    """Frames of capture files as they appear in ``path``, one task per file
-    and one capture per file."""
+    """Frames of capture files as they appear in ``path``, one task per file.
+
+    ``snaplen`` is as in :func:`read_captures`. ``capture_by="directory"`` makes the
+    rotated files of a folder one capture: positions follow the time a file was
+    last written, ``STREAM_STRIDE`` for each millisecond, so a file may hold that
+    many records for each millisecond until the next one.
+    """
+    if capture_by not in ("file", "directory"):
+        raise ValueError(f"unknown capture_by {capture_by!r}: use 'file' or 'directory'")
     ship_package(spark)
-    reader = spark.readStream.format("binaryFile").schema(
-        spark.read.format("binaryFile").load(path).schema
+    reader = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("recursiveFileLookup", True)
     )
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    one = capture_by == "directory"
     files = reader.load(path).select(
         "path",
-        F.col("path").alias("capture_id"),
+        (F.regexp_replace("path", "/[^/]*$", "") if one else F.col("path")).alias("capture_id"),
         F.lit(FILE_HEADER).cast("bigint").alias("start"),
         F.col("length").alias("split_stop"),
-        F.lit(0).cast("bigint").alias("seq"),
+        (F.unix_millis("modificationTime") * F.lit(STREAM_STRIDE) if one else F.lit(0).cast("bigint")).alias("seq"),
     )
     return files.mapInArrow(_read_splits(snaplen), FRAMES)

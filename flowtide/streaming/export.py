@@ -17,15 +17,15 @@ from ..schema import FLOW_KEY
 
 
 def stream_flows(
-    packets: DataFrame, idle_seconds: int = IDLE_SECONDS, delay: str = "0 seconds"
+    packets: DataFrame, delay: str, idle_seconds: int = IDLE_SECONDS
 ) -> DataFrame:
     """Closed flows of a packet stream, each emitted once, in append mode.
 
     Event-time (``eager``) sessions. The watermark is the clock: it follows the
     whole seconds of *every* frame, so a flow is emitted once any frame is
-    ``idle_seconds`` past it. A larger ``delay`` waits for frames that arrive
-    out of order; a frame later than that is dropped by the watermark and
-    counted in the query progress.
+    ``idle_seconds`` past it. ``delay`` is how long to wait for frames that arrive
+    out of order: ``"0 seconds"`` is right for ordered input only. A frame later than
+    that is dropped by the watermark and counted in the query progress.
 
     The watermark is one clock for the whole query. Run one query per capture
     when the captures' clocks differ.
@@ -44,9 +44,9 @@ def stream_flows(
 
 
 def stream_flow_features(
-    packets: DataFrame, idle_seconds: int = IDLE_SECONDS, delay: str = "0 seconds"
+    packets: DataFrame, delay: str, idle_seconds: int = IDLE_SECONDS
 ) -> DataFrame:
-    return flow_features(stream_flows(packets, idle_seconds, delay))
+    return flow_features(stream_flows(packets, delay, idle_seconds))
 
 
 def start_export(

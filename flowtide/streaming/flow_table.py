@@ -11,6 +11,7 @@ overwrites slot ``n % 2``, so a batch that is run again finds its input intact
 and replaces its own output.
 """
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -33,7 +34,9 @@ from ..operators.views import describe_open, latest_packet
 from ..schema import FLOW_KEY
 
 #: Dashboard refresh interval (fixed value).
-REFRESH = "200 milliseconds"
+REFRESH_SECONDS = 0.2
+#: How often new packets are taken in by default.
+INGEST = "1 second"
 
 CLOCKS = T.StructType(
     [
@@ -75,12 +78,17 @@ def start_flow_table(
     idle_seconds: int = IDLE_SECONDS,
     publish: Callable[[Tick], None] | None = None,
     trigger: dict | None = None,
+    refresh_seconds: float = 0.0,
+    now: Callable[[], float] = time.monotonic,
 ) -> StreamingQuery:
     """Keep the flow table of a packet stream.
 
     Features of flows that ended in batch ``n`` go to
-    ``location/features/batch_id=n``. ``publish`` is called once per batch with
-    the open flows, frame totals and latest packet; see also
+    ``location/features/batch_id=n``; a batch in which none ended writes nothing
+    (but the first, which sets the layout). ``publish`` is called with the open
+    flows, frame totals and latest packet of a batch, if ``refresh_seconds`` have
+    passed since the last call: :data:`REFRESH_SECONDS` suits a display. Flows are
+    kept up to date with every batch all the same; see also
     :func:`read_active_flows`. ``location`` must be shared by all executors.
     """
     if mode not in ("eager", "arrival"):
@@ -89,9 +97,18 @@ def start_flow_table(
     def slot(batch_id: int, name: str) -> str:
         return f"{location}/state/{batch_id % 2}/{name}"
 
+    shown: list[float] = []
+
     def step(batch: DataFrame, batch_id: int) -> None:
+        held = [batch.persist()]
+        try:
+            advance(held, batch, batch_id)
+        finally:
+            for df in held:
+                df.unpersist()
+
+    def advance(held: list[DataFrame], batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
         clocks_before = None
         if batch_id > 0:
             clocks_before = spark.read.schema(CLOCKS).parquet(slot(batch_id - 1, "clocks"))
@@ -112,13 +129,16 @@ def start_flow_table(
             clocks.select("capture_id", "clock"),
             idle_seconds,
         ).persist()
-        flow_features(flow_columns(flows)).write.mode("overwrite").parquet(
-            f"{location}/features/batch_id={batch_id}"
-        )
+        held.append(flows)
+        if batch_id == 0 or not flows.filter("is_closed").isEmpty():
+            flow_features(flow_columns(flows)).write.mode("overwrite").parquet(
+                f"{location}/features/batch_id={batch_id}"
+            )
         flows.filter("NOT is_closed").select(*FLOW_KEY, *PIECE_MEASURES).write.mode(
             "overwrite"
         ).parquet(slot(batch_id, "open"))
-        if publish is not None:
+        if publish is not None and (not shown or now() - shown[-1] >= refresh_seconds):
+            shown[:] = [now()]
             publish(
                 Tick(
                     batch_id,
@@ -127,13 +147,11 @@ def start_flow_table(
                     latest_packet(batch),
                 )
             )
-        flows.unpersist()
-        batch.unpersist()
 
     return (
         packets.writeStream.foreachBatch(step)
         .option("checkpointLocation", f"{location}/checkpoint")
-        .trigger(**(trigger or {"processingTime": REFRESH}))
+        .trigger(**(trigger or {"processingTime": INGEST}))
         .start()
     )
 

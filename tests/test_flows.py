@@ -41,6 +41,37 @@ def test_against_one_packet_at_a_time(spark, mode, disorder):
     check(spark, packets, 15, mode)
 
 
+@pytest.mark.parametrize("first", [2047 << 42, 2048 << 42, 4097 << 42, (4097 << 42) + 12, -(4097 << 42) - 5])
+def test_far_positions(spark, first):
+    """Blocks are whole-number runs, beyond what a double can hold and below zero."""
+    packets = [p | dict(seq=p["seq"] + first) for p in traffic(7, 200, 900, 20)]
+    check(spark, packets, 15, "arrival", block_packets=16)
+    # The last positions of a block, a clock at 100 and a packet after it.
+    end = first - first % 16 + 16
+    tail = [packet(end - 4, 0), packet(end - 3, 100, key=None), packet(end - 2, 101), packet(end, 102)]
+    check(spark, tail, 30, "arrival", block_packets=16)
+
+
+def test_thinly_spread_positions(spark):
+    """Positions like time stamps: a block for each packet, many runs of blocks."""
+    packets = [p | dict(seq=p["seq"] * 987_654_321_987) for p in traffic(8, 200, 900, 20)]
+    check(spark, packets, 15, "arrival")
+
+
+@pytest.mark.parametrize("mode", ["eager", "arrival"])
+def test_null_capture(spark, mode):
+    packets = [p | dict(capture=None if p["capture"] == "b" else "a") for p in traffic(9, 200, 900, 20)]
+    flows = build_flows(model.packets_df(spark, packets), mode, 15)
+    closed, still_open = (model.arrival if mode == "arrival" else model.eager)(packets, 15)
+    assert flows.count() == len(closed) + len(still_open)
+    assert flows.filter("is_closed AND capture_id IS NULL").count() == sum(f["capture"] is None for f in closed)
+
+
+def test_latest_packet_sorts_no_packets(spark):
+    plan = latest_packet(model.packets_df(spark, [packet(0, 0)]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 @pytest.mark.parametrize("mode", ["eager", "arrival"])
 def test_flow_over_many_units(spark, mode):
     """One key in every unit, with and without ends inside them."""

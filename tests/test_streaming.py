@@ -55,7 +55,7 @@ def live(spark, request):
 
 
 def run(feed, live, batches, **options):
-    query, drain = live(stream_flows(feed.stream(), **options))
+    query, drain = live(stream_flows(feed.stream(), options.pop("delay", "0 seconds"), **options))
     seen = []
     for batch in batches:
         feed.add(batch)
@@ -101,7 +101,7 @@ def test_export_equals_batch(spark, feed, tmp_path):
         feed.add(packets[i : i + 75])
     target = str(tmp_path / "out")
     start_export(
-        stream_flow_features(feed.stream()), target, str(tmp_path / "cp"), trigger={"availableNow": True}
+        stream_flow_features(feed.stream(), "0 seconds"), target, str(tmp_path / "cp"), trigger={"availableNow": True}
     ).awaitTermination()
     batch = flow_features(build_flows(model.packets_df(spark, packets), "eager"))
     assert features(spark.read.parquet(target)) == features(batch)
@@ -156,3 +156,42 @@ def test_restart_goes_on_where_it_stopped(spark, feed, tmp_path):
         start_flow_table(feed.stream(), place, trigger={"availableNow": True}).awaitTermination()
     flows = build_flows(model.packets_df(spark, packets), "arrival")
     assert features(spark.read.parquet(place + "/features").drop("batch_id")) == features(flow_features(flows))
+
+
+def test_display_is_refreshed_apart_from_the_flows(spark, feed, tmp_path):
+    """Batches come every second, the display asks for every third."""
+    for i in range(6):
+        feed.add([packet(10 * i, 10 * i), packet(10 * i + 1, 10 * i, key=i)])
+    ticks, seconds = [], iter(range(1000))
+    place = str(tmp_path / "table")
+    start_flow_table(
+        feed.stream(), place, publish=lambda t: ticks.append(t.batch_id), trigger={"availableNow": True},
+        refresh_seconds=5, now=lambda: next(seconds),
+    ).awaitTermination()
+    assert 1 < len(ticks) < 6
+    assert sum(r["packets"] for r in read_active_flows(spark, place, 5).collect()) + sum(
+        r["packets"] for r in spark.read.parquet(place + "/features").collect()
+    ) == 12
+
+
+def test_failing_display_leaves_nothing_cached(spark, feed, tmp_path):
+    feed.add([packet(0, 0)])
+
+    def fail(tick):
+        raise RuntimeError("no display")
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    query = start_flow_table(feed.stream(), str(tmp_path / "t"), publish=fail, trigger={"availableNow": True})
+    with pytest.raises(Exception, match="no display"):
+        query.awaitTermination()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+@pytest.mark.parametrize("capture", [None, "a"])
+def test_null_capture_in_stream_and_batch(spark, feed, live, capture):
+    packets = [packet(0, 0, capture=capture), packet(1, 100, key=2, capture=capture)]
+    _, seen = run(feed, live, [packets[:1], packets[1:]])
+    assert seen[-1] == [(1, 1)]
+    for mode in ("eager", "arrival"):
+        flows = build_flows(model.packets_df(spark, packets), mode)
+        assert sorted((r["src_port"], r["is_closed"]) for r in flows.collect()) == [(1001, True), (1002, False)]
