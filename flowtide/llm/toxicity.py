@@ -170,12 +170,12 @@ def features(readings: list[str]) -> tuple[str, ...]:
 def _document_features(batches: Iterable[pa.RecordBatch], decoder: Decoder) -> Iterator[pa.RecordBatch]:
     words = Words(decoder, features)
     for batch in chunks(batches):
-        found, toxic = [], []
-        for text, label in zip(texts_of(batch.column("text")), batch.column("toxic").to_pylist()):
+        found, kinds = [], []
+        for text, toxic, part in zip(texts_of(batch.column("text")), batch.column("toxic").to_pylist(), batch.column("part").to_pylist()):
             own = set().union(*set(words.of(text or b"")[1]))
             found.extend(own)
-            toxic.extend([label] * len(own))
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(toxic, pa.int32())], names=["feature", "toxic"])
+            kinds.extend([2 * part + toxic] * len(own))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(kinds, pa.int32())], names=["feature", "kind"])
 
 
 def _sums(n_words: int, values: list[float]) -> tuple[float, float, float]:
@@ -220,12 +220,16 @@ class Model:
         self.decoder, self.weights, self.coefficients = decoder, weights, coefficients
 
 
-def _weights(counts: DataFrame, toxic: int, other: int, least: int = 3, sure: float = 3.0) -> dict[str, float]:
-    """Log ratios of the features that stand out in toxic documents."""
-    p, q = (F.col("in_toxic") + 0.5) / (toxic + 1), (F.col("in_other") + 0.5) / (other + 1)
-    error = F.sqrt(1 / (F.col("in_toxic") + 0.5) + 1 / (F.col("in_other") + 0.5))
+def _weights(counts: DataFrame, totals: dict[int, int], parts: tuple[int, ...], least: int = 3, sure: float = 3.0) -> dict[str, float]:
+    """Log ratios of the features that stand out in the toxic documents of ``parts``."""
+    toxic, other = (sum(totals.get(2 * part + kind, 0) for part in parts) for kind in (1, 0))
+    if not toxic or not other:
+        return {}
+    in_toxic, in_other = (sum(F.col(f"n{2 * part + kind}") for part in parts) for kind in (1, 0))
+    p, q = (in_toxic + 0.5) / (toxic + 1), (in_other + 0.5) / (other + 1)
+    error = F.sqrt(1 / (in_toxic + 0.5) + 1 / (in_other + 0.5))
     strong = (
-        counts.where(F.col("in_toxic") >= least)
+        counts.where(in_toxic >= least)
         .withColumn("weight", F.log(p / q))
         .where((F.col("weight") >= 1) & (F.col("weight") / error >= sure))
         .orderBy(F.desc(F.col("weight") / error), "feature")
@@ -237,8 +241,9 @@ def _weights(counts: DataFrame, toxic: int, other: int, least: int = 3, sure: fl
 def train(docs: DataFrame, labels: DataFrame, most_docs: int = TRAINING_DOCS) -> Model:
     """Fit on labelled documents whose ``crc32(doc_id) mod 3`` is not 1.
 
-    ``most_docs`` of them at most, the first by hash of the id: half find the
-    features, half fit the regression. Null labels and ids are left out; a document with
+    ``most_docs`` of them at most, the first by hash of the id. Each half gives the
+    features that the other half is summed up by, and the regression is fitted on
+    those sums; the final features come from both. Null labels and ids are left out; a document with
     two labels counts as toxic if one says so. The character model takes all texts.
     Without both kinds of labels every score is the share of toxic ones (0 if none).
     """
@@ -260,22 +265,26 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = TRAINING_DOCS) ->
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").repartition("doc_id"),
         "toxic-texts",
     )
-    totals = {r.part: (r.toxic, r.n - r.toxic) for r in sample.groupBy("part").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).collect()}
-    toxic, other = totals.get(0, (0, 0))
-    counts = (
-        sample.where("part = 0")
-        .select("text", "toxic")
-        .mapInArrow(lambda it: _document_features(it, decoder), "feature string, toxic int")
+    kind = 2 * F.col("part") + F.col("toxic")
+    totals = {r.kind: r.n for r in sample.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = stored(
+        sample.select("text", "toxic", "part")
+        .mapInArrow(lambda it: _document_features(it, decoder), "feature string, kind int")
         .groupBy("feature")
-        .agg(F.sum("toxic").alias("in_toxic"), F.sum(1 - F.col("toxic")).alias("in_other"))
-    )
-    weights = _weights(counts, toxic, other) if toxic and other else {}
-    rows = (
-        sample.where("part = 1")
-        .select("text", "toxic")
-        .mapInArrow(lambda it: _with_sums(it, decoder, weights), "toxic int, found double, density double, strongest double")
-        .collect()
+        .agg(*(F.count_if(F.col("kind") == k).alias(f"n{k}") for k in range(4)))
+        .where(F.col("n1") + F.col("n3") > 1),
+        "toxic-features",
     )
+    halves = {part: _weights(counts, totals, (1 - part,)) for part in (0, 1)}
+    weights = _weights(counts, totals, (0, 1))
+
+    def summed(part: int) -> DataFrame:
+        rows = sample.where(F.col("part") == part).select("text", "toxic")
+        return rows.mapInArrow(
+            lambda it: _with_sums(it, decoder, halves[part]), "toxic int, found double, density double, strongest double"
+        )
+
+    rows = summed(0).union(summed(1)).collect()  # the bounded sample, four numbers each
     data = np.array([tuple(r) for r in rows], float).reshape(-1, 4)
     y = data[:, 0]
     if 0 < y.sum() < len(y):
