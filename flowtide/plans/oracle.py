@@ -201,11 +201,13 @@ ORACLE: dict[str, str] = {
         printf('0x%04x', ether_type) AS ether_type_text,
         CASE WHEN src_ip IS NOT NULL THEN {dotted('src_ip')} END AS src_ip_text,
         {address6('src_ip6')} AS src_ip6_text FROM packets""",
-    "ipv6_zero_runs": f"""WITH digits AS (SELECT event_id, {" || ".join(
+    "ipv6_zero_runs": f"""WITH digits AS (SELECT event_id, CASE WHEN event_id % 97 = 0
+          THEN '00000000000000000000FFFF' || printf('%08X', event_id * 7919) ELSE {" || ".join(
           f"CASE WHEN (event_id // {2 ** i}) % 2 = 1 THEN '0000' ELSE printf('%04X', 1 + (event_id * 31 + {i * 7}) % 65535) END"
-          for i in range(8))} AS h FROM events),
+          for i in range(8))} END AS h FROM events),
         quads AS (SELECT *, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS low FROM digits)
-        SELECT event_id, CASE WHEN substr(h, 1, 24) = '000000000000000000000000' AND substr(h, 25, 4) <> '0000'
+        SELECT event_id, CASE WHEN substr(h, 1, 24) = '00000000000000000000FFFF' THEN '::ffff:' || {dotted('low')}
+            WHEN substr(h, 1, 24) = '000000000000000000000000' AND substr(h, 25, 4) <> '0000'
             THEN '::' || {dotted('low')} ELSE {address6('h')} END AS address_text FROM quads""",
     "time_of_day_text": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_text FROM events",
     "six_digit_format": f"""WITH v AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ship_package
 from ..sources.files import locate
-from ..sources.scratch import shared_folder
+from ..sources.scratch import named_here, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,12 +141,14 @@ def text_frames(documents: DataFrame) -> DataFrame:
 
 def address_patterns(events: DataFrame) -> DataFrame:
     """One 16-byte address per event: bit ``i`` of ``event_id`` zeroes group
-    ``i``, so that every pattern of zero groups occurs."""
+    ``i``, so that every pattern of zero groups occurs; every 97th address is an
+    IPv4 one in IPv6 form."""
     groups = ", ".join(
         f"IF(shiftright(event_id, {i}) & 1 = 1, '0000', {_hex(f'1 + (event_id * 31 + {i * 7}) % 65535', 4)})"
         for i in range(8)
     )
-    return events.selectExpr("event_id", f"unhex(concat({groups})) AS address")
+    mapped = f"concat(repeat('0', 20), 'FFFF', {_hex('event_id * 7919', 8)})"
+    return events.selectExpr("event_id", f"unhex(IF(event_id % 97 = 0, {mapped}, concat({groups}))) AS address")
 
 
 _stored: dict[tuple, str] = {}
@@ -156,7 +158,7 @@ def stored_frames(spark: SparkSession, sf_dir: str) -> str:
     """Folder of Parquet frame files made from ``events``, written once per
     application. Byte frames normally come from storage; this is that storage."""
     known = (spark.sparkContext.applicationId, sf_dir)
-    if known not in _stored:
+    if not named_here(spark, _stored.get(known)):
         folder = shared_folder(spark, "frames")
         frames = event_frames(table(spark, sf_dir, "events"))
         tasks = spark.sparkContext.defaultParallelism

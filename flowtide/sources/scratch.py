@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 _own: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -27,4 +28,25 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new, unused folder name below :func:`shared_root`."""
-    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def named_here(spark: SparkSession, folder: str | None) -> bool:
+    """Whether ``folder`` is one of this application's that has not been cleared."""
+    return folder in _made.get(spark.sparkContext.applicationId, [])
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the folders that :func:`shared_folder` named for this application.
+
+    Call it when the results that read them have been written; returns how many
+    were there. Other applications' folders stay.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    for folder in _made.pop(spark.sparkContext.applicationId, []):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone

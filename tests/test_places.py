@@ -30,3 +30,14 @@ def test_only_a_local_session_gets_its_own():
 @pytest.mark.parametrize("path", ["/tmp/a b%#.pcap", "file:/tmp/a b%#.pcap", "file:///tmp/a b%#.pcap"])
 def test_local_paths(path):
     assert locate(path)[1] == "/tmp/a b%#.pcap"
+
+
+def test_scratch_is_cleared_for_this_application_only(spark, tmp_path):
+    other = Session("spark://h:1", str(tmp_path))
+    theirs = scratch.shared_folder(other, "x")
+    mine = scratch.shared_folder(spark, "x")
+    spark.range(3).write.parquet(mine)
+    assert scratch.named_here(spark, mine) and scratch.clear_scratch(spark) >= 1
+    assert not scratch.named_here(spark, mine) and scratch.named_here(other, theirs)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(mine)
