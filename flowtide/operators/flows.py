@@ -26,6 +26,9 @@ one capture, in one task:
    at most two rows per key and unit, and finished pieces are spread by unit.
 """
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,10 +99,23 @@ def session_gap(idle_seconds: int) -> str:
     return f"{idle_seconds * 1_000_000 - 1} microseconds"
 
 
-def packet_totals() -> list[Column]:
+@dataclass(frozen=True)
+class Measure:
+    """One more number of a flow: ``agg`` (``sum``, ``min`` or ``max``) of an SQL
+    expression over packet columns. Partial flows merge by the same ``agg``."""
+
+    name: str
+    packet: str
+    agg: str
+
+    def total(self) -> Column:
+        return F.expr(f"{self.agg}({self.name}) AS {self.name}")
+
+
+def packet_totals(more: Sequence[Measure] = ()) -> list[Column]:
     """Aggregates over the packets of one flow; all fixed width, so they stay
     in a hash aggregate with a map-side partial step."""
-    return [
+    return [m.total() for m in more] + [
         F.expr(total)
         for total in (
             "count(1) AS packets",
@@ -113,8 +129,8 @@ def packet_totals() -> list[Column]:
     ]
 
 
-def _piece_totals() -> list[Column]:
-    return [
+def _piece_totals(more: Sequence[Measure] = ()) -> list[Column]:
+    return [m.total() for m in more] + [
         F.expr(total)
         for total in (
             "sum(packets) AS packets",
@@ -130,7 +146,10 @@ def _piece_totals() -> list[Column]:
 
 
 def eager_pieces(
-    packets: DataFrame, idle_seconds: int = IDLE_SECONDS, slice_seconds: int = SLICE_SECONDS
+    packets: DataFrame,
+    idle_seconds: int = IDLE_SECONDS,
+    slice_seconds: int = SLICE_SECONDS,
+    more: Sequence[Measure] = (),
 ) -> DataFrame:
     """Partial flows per key and slice of event time.
 
@@ -147,10 +166,11 @@ def eager_pieces(
             "unix_seconds(ts) AS sec",
             "timestamp_seconds(unix_seconds(ts)) AS second",
             f"{_unit('unix_seconds(ts)', slice_seconds)} AS unit",
+            *(f"{m.packet} AS {m.name}" for m in more),
         )
         .groupBy(*FLOW_KEY, "unit", F.session_window("second", session_gap(idle_seconds)))
-        .agg(*packet_totals(), F.expr("min(sec) AS entered"), F.expr("max(sec) AS last_sec"))
-        .select(*FLOW_KEY, "unit", *PIECE_MEASURES)
+        .agg(*packet_totals(more), F.expr("min(sec) AS entered"), F.expr("max(sec) AS last_sec"))
+        .select(*FLOW_KEY, "unit", *PIECE_MEASURES, *(m.name for m in more))
     )
 
 
@@ -205,6 +225,7 @@ def arrival_pieces(
     block_packets: int = BLOCK_PACKETS,
     clock: DataFrame | None = None,
     peaks: DataFrame | None = None,
+    more: Sequence[Measure] = (),
 ) -> DataFrame:
     """Partial flows per key and block of arrival positions.
 
@@ -227,6 +248,7 @@ def arrival_pieces(
         f"{_block(block_packets)} AS unit",
         f"coalesce({ELIGIBLE}, false) AS eligible",
         *in_key,
+        *(f"{m.packet} AS {m.name}" for m in more),
     )
     peaks = block_peaks(packets, block_packets) if peaks is None else peaks
     seeds = (
@@ -255,13 +277,13 @@ def arrival_pieces(
         .withColumn("opens", opens.cast("int"))
         .withColumn("piece", F.sum("opens").over(per_key.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("capture_id", "unit", *in_key, "piece")
-        .agg(*packet_totals(), F.expr("min(entered) AS entered"), F.expr("max_by(sec, seq) AS last_sec"))
-        .select(*FLOW_KEY, "unit", *PIECE_MEASURES)
+        .agg(*packet_totals(more), F.expr("min(entered) AS entered"), F.expr("max_by(sec, seq) AS last_sec"))
+        .select(*FLOW_KEY, "unit", *PIECE_MEASURES, *(m.name for m in more))
     )
 
 
 def stitch(
-    pieces: DataFrame, idle_seconds: int, mode: str, overlapping: bool = False
+    pieces: DataFrame, idle_seconds: int, mode: str, overlapping: bool = False, more: Sequence[Measure] = ()
 ) -> DataFrame:
     """Join pieces of one flow across units. One shuffle, of pieces only.
 
@@ -296,12 +318,14 @@ def stitch(
         laned.withColumn("opens", opens.cast("int"))
         .withColumn("flow", F.sum("opens").over(in_lane.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*FLOW_KEY, "lane", "flow")
-        .agg(*_piece_totals(), last_sec.alias("last_sec"))
-        .select(*FLOW_KEY, *PIECE_MEASURES)
+        .agg(*_piece_totals(more), last_sec.alias("last_sec"))
+        .select(*FLOW_KEY, *PIECE_MEASURES, *(m.name for m in more))
     )
 
 
-def mark_closed(flows: DataFrame, clock: DataFrame, idle_seconds: int) -> DataFrame:
+def mark_closed(
+    flows: DataFrame, clock: DataFrame, idle_seconds: int, more: Sequence[Measure] = ()
+) -> DataFrame:
     """Add ``is_closed``: did the capture's clock run past the idle time?
 
     Flows of the NULL capture meet its clock like all others. ``clock`` has one row per capture. It is joined without a hint: adaptive
@@ -310,7 +334,10 @@ def mark_closed(flows: DataFrame, clock: DataFrame, idle_seconds: int) -> DataFr
     """
     clock = clock.select(F.col("capture_id").alias("clock_of"), "clock")
     return flows.join(clock, F.col("capture_id").eqNullSafe(F.col("clock_of"))).selectExpr(
-        *FLOW_KEY, *PIECE_MEASURES, f"clock - last_sec >= {idle_seconds} AS is_closed"
+        *FLOW_KEY,
+        *PIECE_MEASURES,
+        *(m.name for m in more),
+        f"clock - last_sec >= {idle_seconds} AS is_closed",
     )
 
 
@@ -321,29 +348,32 @@ def build_flows(
     slice_seconds: int = SLICE_SECONDS,
     block_packets: int = BLOCK_PACKETS,
     ticks: DataFrame | None = None,
+    more: Sequence[Measure] = (),
 ) -> DataFrame:
     """All flows of ``packets``, closed and open.
 
     ``packets`` must hold every captured frame, not only the eligible ones:
     each of them moves the clock. ``ticks`` may give the clock a lighter reading
     of the same frames (``capture_id, seq, ts``), where scanning ``packets`` twice
-    is dear: for capture files, ``read_captures(..., headers_only=True)``.
+    is dear: for capture files, ``read_captures(..., headers_only=True)``. ``more``
+    adds measures to the flow row, such as :data:`SIZE_MEASURES`.
     """
     ticks = packets if ticks is None else ticks
     if mode == "eager":
-        pieces = eager_pieces(packets, idle_seconds, slice_seconds)
+        pieces = eager_pieces(packets, idle_seconds, slice_seconds, more)
         clock = capture_clock(ticks)
     elif mode == "arrival":
         peaks = block_peaks(ticks, block_packets)
         # The same block maxima here and there: their shuffle is planned once.
-        pieces = arrival_pieces(packets, idle_seconds, block_packets, peaks=peaks)
+        pieces = arrival_pieces(packets, idle_seconds, block_packets, peaks=peaks, more=more)
         clock = peaks.groupBy("capture_id").agg(F.expr("max(sec) AS clock"))
     else:
         raise ValueError(f"unknown mode {mode!r}: use 'eager' or 'arrival'")
-    return flow_columns(mark_closed(stitch(pieces, idle_seconds, mode), clock, idle_seconds))
+    flows = stitch(pieces, idle_seconds, mode, more=more)
+    return flow_columns(mark_closed(flows, clock, idle_seconds, more), more)
 
 
-def flow_columns(flows: DataFrame) -> DataFrame:
+def flow_columns(flows: DataFrame, more: Sequence[Measure] = ()) -> DataFrame:
     """The flow row users see."""
     return flows.select(
         *FLOW_KEY,
@@ -356,8 +386,53 @@ def flow_columns(flows: DataFrame) -> DataFrame:
         "last_seen",
         duration_seconds(F.col("first_seen"), F.col("last_seen")).alias("duration"),
         "is_closed",
+        *(m.name for m in more),
     )
 
 
+#: What the distribution of packet sizes in a flow needs, exactly and mergeably.
+SIZE_MEASURES = (
+    Measure("len_min", "len", "min"),
+    Measure("len_max", "len", "max"),
+    Measure("len_squares", "CAST(len AS DECIMAL(38, 0)) * len", "sum"),
+)
+#: Of two-way flows, the share of the direction the key names.
+DIRECTION_MEASURES = (
+    Measure("forward_packets", "IF(forward, 1L, 0L)", "sum"),
+    Measure("forward_bytes", "IF(forward, len, 0L)", "sum"),
+)
+
+
+def packet_sizes(flows: DataFrame) -> DataFrame:
+    """Flows built with :data:`SIZE_MEASURES`, with ``len_mean`` and ``len_deviation``
+    (of the whole flow, not a sample) in place of the sum of squares."""
+    n, total = F.col("packets"), F.col("bytes").cast("decimal(38,0)")
+    # n * squares - total**2 in whole numbers: nothing cancels.
+    spread = n.cast("decimal(20,0)") * F.col("len_squares") - total * total
+    return flows.withColumns(
+        {
+            "len_mean": F.col("bytes") / n,
+            "len_deviation": F.sqrt(spread.cast("double")) / n,
+        }
+    ).drop("len_squares")
+
+
+def two_way(packets: DataFrame) -> DataFrame:
+    """Packets whose key names the lesser end first, and ``forward``: was it the sender?
+
+    Ends are compared by address, then port; both directions of a conversation
+    get one key. Feed the result to :func:`build_flows` with
+    :data:`DIRECTION_MEASURES`.
+    """
+    ends = "struct({0}_ip, {0}_ip6, {0}_port)"
+    turned = packets.withColumn("forward", F.expr(f"{ends.format('src')} <= {ends.format('dst')}"))
+    swapped = {}
+    for part in ("ip", "ip6", "port"):
+        src, dst = F.col(f"src_{part}"), F.col(f"dst_{part}")
+        swapped[f"src_{part}"] = F.when(F.col("forward"), src).otherwise(dst)
+        swapped[f"dst_{part}"] = F.when(F.col("forward"), dst).otherwise(src)
+    return turned.withColumns(swapped)
+
+
 def closed_flows(flows: DataFrame) -> DataFrame:
     return flows.filter("is_closed")

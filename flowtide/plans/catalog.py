@@ -24,7 +24,7 @@ from ..operators import (
     throughput,
     with_flow_key,
 )
-from ..operators.flows import ELIGIBLE
+from ..operators.flows import DIRECTION_MEASURES, ELIGIBLE, SIZE_MEASURES, packet_sizes, two_way
 from ..schema import FLOW_KEY
 from ..sources.captures import read_captures, stream_captures
 from ..sources.frames import stream_frames, with_snaplen
@@ -284,6 +284,23 @@ def flows_null_captures_eager(spark, sf_dir):
     return portable(build_flows(_some_null(_packets(spark, sf_dir)), "eager", HALF_HOUR))
 
 
+def flow_packet_sizes(spark, sf_dir):
+    return portable(packet_sizes(build_flows(_packets(spark, sf_dir), "arrival", HALF_HOUR, more=SIZE_MEASURES)))
+
+
+def two_way_flows(spark, sf_dir):
+    """Every second packet is turned around, so that conversations have two directions."""
+    packets = _packets(spark, sf_dir)
+    back = F.col("seq") % 2 == 1
+    turned = {}
+    for part in ("ip", "ip6", "port"):
+        src, dst = F.col(f"src_{part}"), F.col(f"dst_{part}")
+        turned[f"src_{part}"] = F.when(back, dst).otherwise(src)
+        turned[f"dst_{part}"] = F.when(back, src).otherwise(dst)
+    flows = build_flows(two_way(packets.withColumns(turned)), "eager", HALF_HOUR, more=DIRECTION_MEASURES)
+    return portable(flows)
+
+
 def flow_features_closed(spark, sf_dir):
     return flow_features(build_flows(_packets(spark, sf_dir), "eager", DAY))
 
@@ -408,6 +425,8 @@ QUERIES: dict[str, Query] = {
         flows_far_positions,
         flows_null_captures,
         flows_null_captures_eager,
+        flow_packet_sizes,
+        two_way_flows,
         flow_features_closed,
         flow_features_all,
         frames_to_features,

@@ -8,6 +8,9 @@ DAY = 86_400
 HALF_HOUR = 1_800
 AS_OF = "2024-01-15 12:00:00"
 FAR = 4097 << 42
+SIZES = """, min(len) AS len_min, max(len) AS len_max, sum(CAST(len AS HUGEINT) * len)::HUGEINT AS squares"""
+DIRECTIONS = """, CAST(sum(CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS forward_packets,
+        CAST(sum(CASE WHEN seq % 2 = 0 THEN len ELSE 0 END) AS BIGINT) AS forward_bytes"""
 SOME_NULL = "CASE WHEN user_id % 8 <> 3 THEN CAST(user_id % 8 AS VARCHAR) END"
 
 KEY = "capture_id, ip_version, src_ip, dst_ip, src_ip6, dst_ip6, src_port, dst_port, protocol"
@@ -58,8 +61,8 @@ def packets(cut: str = "100000", capture: str = "CAST(user_id % 8 AS VARCHAR)",
       FROM layers)"""
 
 
-def flows(mode: str, idle: int, **shape: str) -> str:
-    """CTE ``flows`` on top of ``packets``."""
+def flows(mode: str, idle: int, more: str = "", **shape: str) -> str:
+    """CTE ``flows`` on top of ``packets``; ``more`` adds aggregates."""
     if mode == "eager":
         order, entered = "us, seq", "sec"
     else:
@@ -80,7 +83,7 @@ def flows(mode: str, idle: int, **shape: str) -> str:
     grouped AS (
       SELECT {KEY}, count(*) AS packets, CAST(sum(len) AS BIGINT) AS bytes,
         arg_max(len, seq) AS last_len, min(seq) AS first_seq, max(seq) AS last_seq,
-        arg_min(us, seq) AS first_seen, arg_max(us, seq) AS last_seen
+        arg_min(us, seq) AS first_seen, arg_max(us, seq) AS last_seen{more}
       FROM numbered GROUP BY {KEY}, flow_no),
     ends AS (SELECT capture_id AS ended, max(sec) AS final FROM packets GROUP BY capture_id),
     flows AS (
@@ -230,6 +233,12 @@ ORACLE: dict[str, str] = {
         FROM (SELECT {FLOW_COLUMNS} FROM flows)""",
     "flows_null_captures": f"WITH {flows('arrival', HALF_HOUR, capture=SOME_NULL)} SELECT {FLOW_COLUMNS} FROM flows",
     "flows_null_captures_eager": f"WITH {flows('eager', HALF_HOUR, capture=SOME_NULL)} SELECT {FLOW_COLUMNS} FROM flows",
+    "flow_packet_sizes": f"""WITH {flows('arrival', HALF_HOUR, more=SIZES)} SELECT {FLOW_COLUMNS}, len_min, len_max,
+        CAST(bytes AS DOUBLE) / packets AS len_mean,
+        sqrt(CAST(packets * squares - CAST(bytes AS HUGEINT) * bytes AS DOUBLE)) / packets AS len_deviation FROM flows""",
+    # The clients' end is the lesser one over IPv4; over IPv6 it is too, and every second packet goes back.
+    "two_way_flows": f"""WITH {flows('eager', HALF_HOUR, more=DIRECTIONS)}
+        SELECT {FLOW_COLUMNS}, forward_packets, forward_bytes FROM flows""",
     "flow_features_closed": f"WITH {flows('eager', DAY)} {features('is_closed')}",
     "flow_features_all": f"WITH {flows('arrival', DAY)} {features('TRUE')}",
     "frames_to_features": f"WITH {flows('arrival', DAY)} {features('is_closed')}",

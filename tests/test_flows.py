@@ -1,11 +1,12 @@
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 import model
 from flowtide import active_flows, build_flows, closed_flows, flow_features, frame_count, latest_packet
-from flowtide.operators.flows import session_gap
+from flowtide.operators.flows import DIRECTION_MEASURES, SIZE_MEASURES, packet_sizes, session_gap, two_way
 from model import packet
 
 
@@ -162,6 +163,31 @@ def test_no_window_spans_a_key_or_a_capture(spark):
         assert "SinglePartition" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("mode", ["eager", "arrival"])
+def test_packet_sizes_over_many_units(spark, mode):
+    packets = [packet(i, i * 0.9, key=1, length=60 + i * 37 % 1400) for i in range(120)]
+    sizes = [p["len"] for p in packets]
+    flows = build_flows(
+        model.packets_df(spark, packets), mode, 30, slice_seconds=10, block_packets=8, more=SIZE_MEASURES
+    )
+    row = packet_sizes(flows).collect()
+    assert len(row) == 1
+    assert (row[0]["len_min"], row[0]["len_max"]) == (min(sizes), max(sizes))
+    assert row[0]["len_mean"] == statistics.fmean(sizes)
+    assert row[0]["len_deviation"] == pytest.approx(statistics.pstdev(sizes), rel=1e-12)
+
+
+def test_two_directions_make_one_flow(spark):
+    there = model.packets_df(spark, [packet(0, 0), packet(2, 2)])
+    back = there.selectExpr(
+        "* EXCEPT (src_ip, dst_ip, src_port, dst_port, seq)", "dst_ip AS src_ip", "src_ip AS dst_ip",
+        "dst_port AS src_port", "src_port AS dst_port", "seq + 1 AS seq",
+    ).limit(1)
+    flows = build_flows(two_way(there.unionByName(back)), "eager", more=DIRECTION_MEASURES).collect()
+    assert [r["packets"] for r in flows] == [3]
+    assert sorted((flows[0]["forward_packets"], 3 - flows[0]["forward_packets"])) == [1, 2]
+
+
 def test_bad_arguments(spark):
     df = model.packets_df(spark, [packet(0, 0)])
     with pytest.raises(ValueError):
