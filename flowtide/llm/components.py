@@ -11,20 +11,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps: each joins every neighbourhood to
     its least node, so the rounds grow with the logarithm of the longest path. Every
-    round is a stored table; a neighbourhood is only ever reduced to its minimum by
-    a partial aggregate, so a hub costs a row a task.
+    step is a stored table. The least nodes come from partial minima, a row a task,
+    and are stored before they are joined back: so the join has a shuffle of its own,
+    in which adaptive execution can split a hub.
     """
     edges = stored(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"
     )
     while True:
         both = edges.union(edges.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("near")).select("a", F.least("near", "a").alias("root")), "least")
         # Large star: neighbours above a node go to the least of its neighbourhood.
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
         large = stored(large.where("a <> b").distinct(), "large-star")
         # Small star: neighbours below a node, and the node, go to the least of them.
-        down = large.groupBy("a").agg(F.min("b").alias("root"))
+        down = stored(large.groupBy("a").agg(F.min("b").alias("root")), "below")
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
         small = small.union(down.select("a", F.col("root").alias("b"))).where("a <> b").distinct()
         small = stored(small, "small-star")
