@@ -44,8 +44,12 @@ CLOCKS = T.StructType(
         T.StructField("clock", T.LongType()),
         T.StructField("frames", T.LongType()),
         T.StructField("batch_id", T.LongType()),
+        T.StructField("heard", T.DoubleType()),
+        T.StructField("ended", T.BooleanType()),
     ]
 )
+#: A clock that ends every flow.
+NEVER = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -58,16 +62,21 @@ class Tick:
     latest: DataFrame
 
 
-def _advance(earlier: DataFrame | None, packets: DataFrame, batch_id: int) -> DataFrame:
+def _advance(
+    earlier: DataFrame | None, packets: DataFrame, batch_id: int, at: float, end_after: float | None
+) -> DataFrame:
     seen = packets.groupBy("capture_id").agg(
-        F.max(F.unix_seconds("ts")).alias("clock"), F.count(F.lit(1)).alias("frames")
+        F.max(F.unix_seconds("ts")).alias("clock"), F.count(F.lit(1)).alias("frames"), F.lit(at).alias("heard")
     )
     if earlier is not None:
-        seen = seen.unionByName(earlier.select("capture_id", "clock", "frames"))
+        seen = seen.unionByName(earlier.select("capture_id", "clock", "frames", "heard"))
+    silent = F.lit(False) if end_after is None else F.lit(at) - F.max("heard") >= end_after
     return seen.groupBy("capture_id").agg(
         F.max("clock").alias("clock"),
         F.sum("frames").alias("frames"),
         F.lit(batch_id).cast("bigint").alias("batch_id"),
+        F.max("heard").alias("heard"),
+        silent.alias("ended"),
     )
 
 
@@ -79,7 +88,8 @@ def start_flow_table(
     publish: Callable[[Tick], None] | None = None,
     trigger: dict | None = None,
     refresh_seconds: float = 0.0,
-    now: Callable[[], float] = time.monotonic,
+    now: Callable[[], float] = time.time,
+    end_after_seconds: float | None = None,
 ) -> StreamingQuery:
     """Keep the flow table of a packet stream.
 
@@ -90,6 +100,11 @@ def start_flow_table(
     passed since the last call: :data:`REFRESH_SECONDS` suits a display. Flows are
     kept up to date with every batch all the same; see also
     :func:`read_active_flows`. ``location`` must be shared by all executors.
+
+    ``end_after_seconds`` of wall time without a frame of a capture end it, as of the
+    next batch of any capture: its open flows are exported and its clock is dropped,
+    so that captures that are over take no room. By default captures never end;
+    one that is heard again later begins anew. ``now`` is the wall clock.
     """
     if mode not in ("eager", "arrival"):
         raise ValueError(f"unknown mode {mode!r}: use 'eager' or 'arrival'")
@@ -111,7 +126,7 @@ def start_flow_table(
         spark = batch.sparkSession
         clocks_before = None
         if batch_id > 0:
-            clocks_before = spark.read.schema(CLOCKS).parquet(slot(batch_id - 1, "clocks"))
+            clocks_before = spark.read.schema(CLOCKS).parquet(slot(batch_id - 1, "clocks")).filter("NOT ended")
         if mode == "eager":
             pieces = eager_pieces(batch, idle_seconds)
         else:
@@ -121,12 +136,12 @@ def start_flow_table(
             layout = pieces.select(*FLOW_KEY, *PIECE_MEASURES).schema
             before = spark.read.schema(layout).parquet(slot(batch_id - 1, "open"))
             pieces = pieces.unionByName(before, allowMissingColumns=True)
-        clocks = _advance(clocks_before, batch, batch_id)
+        clocks = _advance(clocks_before, batch, batch_id, now(), end_after_seconds)
         clocks.write.mode("overwrite").parquet(slot(batch_id, "clocks"))
         clocks = spark.read.schema(CLOCKS).parquet(slot(batch_id, "clocks"))
         flows = mark_closed(
             stitch(pieces, idle_seconds, mode, overlapping=mode == "eager"),
-            clocks.select("capture_id", "clock"),
+            clocks.selectExpr("capture_id", f"IF(ended, {NEVER}L, clock) AS clock"),
             idle_seconds,
         ).persist()
         held.append(flows)

@@ -174,6 +174,22 @@ def test_display_is_refreshed_apart_from_the_flows(spark, feed, tmp_path):
     ) == 12
 
 
+def test_captures_that_are_over_are_exported_and_dropped(spark, feed, tmp_path):
+    feed.add([packet(0, 0, capture="old"), packet(0, 0, capture="new")])
+    place, wall = str(tmp_path / "table"), [0.0]
+    for i in range(1, 4):
+        start_flow_table(
+            feed.stream(), place, trigger={"availableNow": True}, now=lambda: wall[0], end_after_seconds=100
+        ).awaitTermination()
+        wall[0] += 60
+        feed.add([packet(i, i, capture="new")])
+    assert [r["capture_id"] for r in read_active_flows(spark, place, 2).collect()] == ["new"]
+    exported = spark.read.parquet(place + "/features").collect()
+    assert [(r["packets"], r["bytes"]) for r in exported] == [(1, 100)]
+    clocks = spark.read.parquet(place + "/state/0/clocks")
+    assert {r["capture_id"]: r["ended"] for r in clocks.collect()} == {"old": True, "new": False}
+
+
 def test_failing_display_leaves_nothing_cached(spark, feed, tmp_path):
     feed.add([packet(0, 0)])
 
