@@ -32,6 +32,8 @@ from .common import chunks, id_text, numbered, python_tasks, stored, table, text
 
 TAILS = 1 << 10
 HEADS = (1 << 16) - TAILS
+#: Rarer tokens are no heads: what a state emits is learned for their class instead.
+HEAD_COUNT = 10
 STATES, ROUNDS = 8, 5
 SEGMENT, TOGETHER = 512, 512
 #: A state's counts are smoothed with the overall shares of the classes, to the weight
@@ -259,7 +261,8 @@ def _scored(batches: Iterable[pa.RecordBatch], p: Parameters, tail_logs: np.ndar
 
 
 def most_frequent(counts: DataFrame, heads: int) -> list:
-    """The ``heads`` rows of ``counts`` (``token``, ``count``) with the largest counts, ties by token.
+    """The ``heads`` rows of ``counts`` (``token``, ``count``) with the largest counts, ties by token;
+    none of a count below ``HEAD_COUNT``.
 
     A histogram over eighths of powers of two tells from which count on there are
     enough; so tasks send little more than ``heads`` rows together, not each.
@@ -271,7 +274,8 @@ def most_frequent(counts: DataFrame, heads: int) -> list:
         least, found = row.step, found + row.n
         if found >= heads:
             break
-    return counts.where(step >= least).orderBy(F.desc("count"), "token").limit(heads).collect()
+    frequent = (step >= least) & (F.col("count") >= HEAD_COUNT)
+    return counts.where(frequent).orderBy(F.desc("count"), "token").limit(heads).collect()
 
 
 def fit(encoded: DataFrame, shares: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Parameters:
