@@ -166,9 +166,6 @@ class Bloom:
         for number, block in blocks.items():
             self.bits[number * size : (number + 1) * size] = np.frombuffer(block, np.uint8)
 
-    def __contains__(self, values: np.ndarray) -> np.ndarray:
-        raise TypeError("use has()")
-
     def has(self, values: np.ndarray) -> np.ndarray:
         out = np.ones(len(values), bool)
         for shift in (np.uint64(0), np.uint64(32)):
