@@ -13,7 +13,7 @@ from ..sources.scratch import shared_folder
 #: The separators of words, as a Java and DuckDB regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a Python task handles at a time; a longer text is alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

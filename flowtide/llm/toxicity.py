@@ -124,7 +124,7 @@ class Decoder:
 class Words(dict):
     """Values of words as they stand in texts, found once: ``self[raw]``."""
 
-    def __init__(self, decoder: Decoder, value: Callable[[list[str]], object], limit: int = 400_000):
+    def __init__(self, decoder: Decoder, value: Callable[[list[str]], object], limit: int = 200_000):
         super().__init__()
         self.decoder, self.value, self.limit = decoder, value, limit
 

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words that a task remembers before it starts a new numbering.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
