@@ -5,8 +5,10 @@
    letters repeated three times, letters set apart by spaces, dots, hyphens,
    underscores or stars) become a lattice: each character may stand for itself, for the letters it looks
    like, for a repetition of the letter before, or for nothing. The best path under
-   channel and language model is the restored word. Distinct words are decoded once a
-   task; all other words pass as they are.
+   channel and language model is the restored word, whatever its length. In a run of
+   letters set apart a word may end after each, so a sentence that is spelled out falls
+   into words; at scoring, the words that have weights are also sought inside the run.
+   Distinct words are decoded once a task; all other words pass as they are.
 3. Restored words and their beginnings get weights: the log ratio of their document
    frequencies in toxic and other training documents, for those that clearly differ.
    A logistic regression on two sums of these weights gives the score.
@@ -14,6 +16,7 @@
 
 import math
 import re
+from os.path import commonprefix
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -42,8 +45,10 @@ LOOKS_LIKE = {
     "+": "t",
     "*": "aeiou",
 }
-#: Longer words pass undecoded.
-LONGEST = 40
+#: Longer words are not remembered by a task, but decoded each time.
+REMEMBERED_BYTES = 256
+#: Characters after which a decoder puts out what all its paths agree on.
+PIECE = 64
 SYMBOLS = 29  # 0 anything else, 1-26 letters, 27 other scripts and accents, 28 digits
 #: Labelled documents that the classifier is fitted on at most, by hash of their id.
 TRAINING_DOCS = 20_000
@@ -56,9 +61,14 @@ _CODE[ord("0") : ord("9") + 1] = 28
 _CODE[128:] = 27
 
 _EDGE = "\"'()[]{}<>.,;:?!¡¿%&#*$|~`^=/\\«»“”‘’„…–—-_+"
-_DISGUISED = re.compile(r"[A-Za-z][0-9@$!|+*]+[A-Za-z]|^[0-9@$!|+*]+[A-Za-z]{2}|[A-Za-z]{2}[0-9@$]$|([A-Za-z])\1\1|[A-Za-z][._*-][A-Za-z]")
+_DISGUISED = re.compile(r"([A-Za-z])\1\1|[A-Za-z][._*-][A-Za-z]")
+_LETTER, _ALIKE = re.compile(r"[A-Za-z]"), re.compile(r"[0-9@$!|+*]")
+#: Marks at the end that follow a letter at once may be letters as well.
+_ALIKE_END = re.compile(r"[A-Za-z0-9][@$!|+*]+$")
+_MARKS = "".join(c for c in _EDGE if c not in LOOKS_LIKE)
 _SPACED = re.compile(rb"(?<![A-Za-z0-9\x80-\xff])(?:[A-Za-z0-9@$!][ ._*-]{1,2}){2,}[A-Za-z0-9@$](?![A-Za-z0-9\x80-\xff])")
 _APART = re.compile(rb"[ ._*-]+")
+_SPELLED = re.compile(rb"([ ._*-]*)([A-Za-z0-9@$!])")
 _RUN = re.compile(rb"(.)\1+")
 
 
@@ -100,17 +110,29 @@ class Decoder:
             return [(letter, self.SWAP - math.log(len(letters))) for letter in letters]
         return []
 
-    def decode(self, word: str) -> str:
-        """The likeliest plain word behind ``word`` (lower case)."""
+    def decode(self, word: str, ends: list[tuple[float, float]] | None = None) -> str:
+        """The likeliest plain word behind ``word`` (lower case).
+
+        ``ends`` gives for each character the log chances that a word ends before it
+        and that none does; then the result is words with spaces in between.
+        """
         model = self.model
         paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        before = ""
-        for char in word:
+        before, done = "", []
+        for at, char in enumerate(word):
+            if ends and at:
+                end, on = ends[at]
+                parted = {state: (cost + on, text) for state, (cost, text) in paths.items()}
+                for (a, b), (cost, text) in paths.items():
+                    value = cost + end + model[a][b][0]
+                    if b and ((b, 0) not in parted or value > parted[b, 0][0]):
+                        parted[b, 0] = (value, text + " ")
+                paths = parted
             options, after = self._options(char), {}
             for (a, b), (cost, text) in paths.items():
                 steps = [(b2, cost + channel + model[a][b][b2], letter) for letter, channel in options for b2 in (ord(letter) - 96,)]
                 moves = [((b, c), value, text + letter) for c, value, letter in steps]
-                if text and (char == before or any(letter == text[-1] for letter, _ in options)):
+                if b and (char == before or any(c == b for c, _, _ in steps)):
                     moves.append(((a, b), cost + self.REPEAT, text))
                 elif not options or not char.isalpha():
                     moves.append(((a, b), cost + (self.DIGIT if char.isdigit() else self.DROP if options else 0.0), text))
@@ -118,18 +140,41 @@ class Decoder:
                     if state not in after or value > after[state][0]:
                         after[state] = (value, to)
             paths, before = after or paths, char
-        return max((cost + model[a][b][0], text) for (a, b), (cost, text) in paths.items())[1]
+            if at % PIECE == PIECE - 1:
+                agreed = commonprefix([text for _, text in paths.values()])
+                done.append(agreed)
+                paths = {state: (cost, text[len(agreed) :]) for state, (cost, text) in paths.items()}
+        done.append(max((cost + model[a][b][0], text) for (a, b), (cost, text) in paths.items())[1])
+        return "".join(done)
+
+    #: Log chances that a word ends at a gap, and that it does not: by one separator, by more than in other gaps.
+    GAP, WIDE = (math.log(0.2), math.log(0.8)), (math.log(0.9), math.log(0.1))
+
+    def spelled(self, run: bytes) -> list[str]:
+        """The words of a run of letters that are set apart."""
+        gaps, letters = zip(*_SPELLED.findall(run.lower()))
+        wide = {len(gap) > 1 for gap in gaps[1:]} == {True, False}
+        ends = [self.WIDE if wide and len(gap) > 1 else self.GAP for gap in gaps]
+        return self.decode(b"".join(letters).decode(), ends).split()
 
 
 class Words(dict):
     """Values of words as they stand in texts, found once: ``self[raw]``."""
 
-    def __init__(self, decoder: Decoder, value: Callable[[list[str]], object], limit: int = 200_000):
+    def __init__(
+        self,
+        decoder: Decoder,
+        value: Callable[[list[str]], object],
+        limit: int = 200_000,
+        inside: Callable[[str], list[float]] | None = None,
+    ):
         super().__init__()
-        self.decoder, self.value, self.limit = decoder, value, limit
+        self.decoder, self.value, self.limit, self.inside = decoder, value, limit, inside
 
     def __missing__(self, raw: bytes):
-        found = self[raw] = self.value(self.readings(raw))
+        found = self.value(self.readings(raw))
+        if len(raw) <= REMEMBERED_BYTES:
+            self[raw] = found
         return found
 
     def readings(self, raw: bytes) -> list[str]:
@@ -138,10 +183,12 @@ class Words(dict):
         plain = word.strip(_EDGE)
         out = [plain] if plain else []
         # Marks at the end are marks, at the beginning they may be letters.
-        shown = word.rstrip(_EDGE).lstrip("\"'([{<.,;:?¡¿%&#~`^=/\\«“‘„…–—-_")
-        if len(shown) <= LONGEST and not shown.isalpha() or _DISGUISED.search(plain):
-            if len(shown) <= LONGEST and _DISGUISED.search(shown):
-                out.append(self.decoder.decode(shown))
+        begun = word.lstrip("\"'([{<.,;:?¡¿%&#~`^=/\\«“‘„…–—-_")
+        shown, marked = begun.rstrip(_EDGE), begun.rstrip(_MARKS)
+        if _DISGUISED.search(shown) or not shown.isalpha() and _LETTER.search(shown) and _ALIKE.search(shown):
+            out.append(self.decoder.decode(shown))
+        if marked != shown and _LETTER.search(marked) and _ALIKE_END.search(marked):
+            out.append(self.decoder.decode(marked))
         return out
 
     def of(self, text: bytes) -> tuple[int, list]:
@@ -151,11 +198,43 @@ class Words(dict):
         words = text.split()
         values = list(map(self.__getitem__, words))
         for match in _SPACED.finditer(text):
-            joined = _RUN.sub(rb"\1", _APART.sub(b"", match[0]))
-            if 3 <= len(joined) <= LONGEST:
-                values.append(self.value([self.decoder.decode(joined.decode().lower()), joined.decode().lower()]))
+            values.extend(self._spelled(match[0]))
         return len(words), values
 
+    def _spelled(self, run: bytes) -> list:
+        """Values of a run as one word and as the words it falls into; with ``inside`` the reading of most weight."""
+        joined = _RUN.sub(rb"\1", _APART.sub(b"", run)).decode().lower()
+        one, parted = self.decoder.decode(joined), self.decoder.spelled(run)
+        whole, apart = [self.value([one, joined])], [self.value([word]) for word in parted]
+        if self.inside is None:
+            return whole + apart
+        return max(whole, apart, self.inside("".join(parted)), self.inside(one), key=sum)
+
+
+def known_inside(weights: dict[str, float]) -> Callable[[str], list[float]]:
+    """A function from letters to the weights of the disjoint known words in them of the greatest sum."""
+    known = {word: weight for word, weight in weights.items() if not word.endswith("-")}
+    lengths = sorted(set(map(len, known)))
+
+    def inside(letters: str) -> list[float]:
+        best, last = [0.0] * (len(letters) + 1), [0] * (len(letters) + 1)
+        for end in range(1, len(letters) + 1):
+            best[end] = best[end - 1]
+            for n in lengths:
+                if n > end:
+                    break
+                total = best[end - n] + known.get(letters[end - n : end], 0.0)
+                if total > best[end]:
+                    best[end], last[end] = total, n
+        out, at = [], len(letters)
+        while at:
+            if last[at]:
+                out.append(best[at] - best[at - last[at]])
+            at -= last[at] or 1
+        return out
+
+    return inside
+
 
 def features(readings: list[str]) -> tuple[str, ...]:
     """A word and its beginnings, of each reading."""
@@ -185,7 +264,9 @@ def _sums(n_words: int, values: list[float]) -> tuple[float, float, float]:
 
 
 def _with_sums(batches: Iterable[pa.RecordBatch], decoder: Decoder, weights: dict[str, float]) -> Iterator[pa.RecordBatch]:
-    words = Words(decoder, lambda readings: max((weights.get(f, 0.0) for f in features(readings)), default=0.0))
+    words = Words(
+        decoder, lambda readings: max((weights.get(f, 0.0) for f in features(readings)), default=0.0), inside=known_inside(weights)
+    )
     for batch in chunks(batches):
         rows = [_sums(*words.of(text or b"")) for text in texts_of(batch.column("text"))]
         columns = [pa.array(c, pa.float64()) for c in zip(*rows)]

@@ -177,6 +177,28 @@ def test_decoder_restores_disguised_words(spark):
     assert table_of.readings(b"thing,***") == ["thing"]
 
 
+def test_long_runs_long_words_and_any_mix_of_look_alikes_are_decoded(spark, monkeypatch):
+    words = "you are an idiot stupid moron worthless pathetic clown loser scum the and of thing that ered ing boss"
+    docs = spark.createDataFrame([(1, words)] * 20, "doc_id long, text string")
+    decoder = toxicity.Decoder(toxicity.character_model(docs))
+    table_of = toxicity.Words(decoder, list)
+    for disguised, plain in ((b"1d107", "idiot"), (b"5cu" + b"m" * 100, "scum"), (b"st" + b"u" * 5000 + b"pid", "stupid"), (b"i-d-" + b"-" * 50 + b"i-o-t", "idiot"), (b"id1ot" * 20, "idiot" * 20)):
+        assert plain in table_of.readings(disguised), disguised[:20]
+    assert {"boss", "bos"} & set(table_of.readings(b"bo$$"))
+    weights = {"idiot": 3.0, "scum": 2.0, "stup-": 2.5}
+    score = toxicity.Words(
+        decoder, lambda found: max((weights.get(f, 0.0) for f in toxicity.features(found)), default=0.0), inside=toxicity.known_inside(weights)
+    )
+    assert sum(score.of(b"y o u i d i o t")[1]) == 3
+    assert sum(score.of(b"y o u  i d i o t  a n d  s c u m")[1]) == 5
+    # Pieces with carried state give what one pass over the whole run gives.
+    run = b" ".join(bytes([c]) for c in b"thatthingandtheidiot" * 500)
+    assert sum(score.of(run)[1]) == 1500
+    parted = decoder.spelled(run)
+    monkeypatch.setattr(toxicity, "PIECE", 1 << 40)
+    assert decoder.spelled(run) == parted and sum("idiot" in word for word in parted) == 500
+
+
 @pytest.fixture(scope="module")
 def larger():
     path = "/root/testdata/sf0.01"
