@@ -37,6 +37,15 @@ def packed(docs: DataFrame) -> DataFrame:
     return numbered(docs, F.coalesce("text", F.lit("")).alias("text"), F.struct("*").alias("doc"))
 
 
+def kept_numbers(rows: DataFrame, purpose: str) -> DataFrame:
+    """Rows of :func:`numbered` or :func:`packed`, stored with their ``rid``.
+
+    The splits of a scan, and so the numbers, follow the cores that are there at the
+    time. Whoever joins on ``rid`` across jobs reads this table in all of them.
+    """
+    return stored(rows, purpose)
+
+
 def doc_and(rows: DataFrame, more: str) -> T.StructType:
     """Schema of the ``doc`` struct of ``rows`` and more columns (DDL)."""
     return T.StructType([rows.schema["doc"], *T.StructType.fromDDL(more).fields])

@@ -11,7 +11,7 @@ gram hashes past the sketches; pairs that meet are verified on the grams' words.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, numbered, stored, table
+from .common import WORD, kept_numbers, numbered, packed, stored, table
 
 GRAM, THRESHOLD = 5, 0.8
 
@@ -63,10 +63,15 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = GRAM, threshold:
     Words are compared in lower case. ``containment`` is the share of the item's
     distinct ``n``-word grams that the document holds, ``threshold`` at least. Items of
     fewer than ``n`` words have no gram and match nothing, as do null and empty
-    texts. Repeated documents and items give a row for each. Both tables must be
-    stored tables.
+    texts. Repeated documents and items give a row for each. Rows are numbered once
+    and stored with their numbers.
     """
-    texts = numbered(docs, F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = numbered(docs, F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return _contained_items(kept_numbers(rows, "searched-rows"), items, n, threshold)
+
+
+def _contained_items(texts: DataFrame, items: DataFrame, n: int, threshold: float) -> DataFrame:
+    """:func:`contained_items` of stored rows ``rid``, ``doc_id``, ``text``."""
     known = stored(
         items.select(F.monotonically_increasing_id().alias("item"), F.col("item_id"), F.coalesce("text", F.lit("")).alias("text")),
         "items",
@@ -101,8 +106,10 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = GRAM, threshold:
 
 def without_items(docs: DataFrame, items: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that contain an item."""
-    leaking = stored(contained_items(docs, items, n, threshold).select("rid").distinct(), "leaking")
-    return numbered(docs, F.struct("*").alias("doc")).join(leaking, "rid", "left_anti").select("doc.*")
+    rows = kept_numbers(packed(docs), "searched-rows")
+    texts = rows.select("rid", F.col("doc.doc_id").alias("doc_id"), "text")
+    leaking = stored(_contained_items(texts, items, n, threshold).select("rid").distinct(), "leaking")
+    return rows.join(leaking, "rid", "left_anti").select("doc.*")
 
 
 def op10_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, packed, python_tasks, stored, texts_of
+from .common import chunks, kept_numbers, packed, python_tasks, stored, texts_of
 from .components import components
 from .words import Vocabulary, mixed, rolled
 
@@ -203,12 +203,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     ``threshold`` or more; ``n_links`` counts a document's links to different sets
     (copies of one set count once), ``n_copies`` the documents with its own set, itself
     included. ``class_id`` is the least ``doc_id`` (null last) of all documents that
-    links and equal sets connect. Documents without words are alone. ``docs`` must be
-    a stored table.
+    links and equal sets connect. Documents without words are alone. Rows are numbered
+    once and stored with their numbers.
     """
-    python_tasks(docs.sparkSession)
+    rows = packed(docs).select("rid", F.col("doc.doc_id").cast("long").alias("doc_id"), "text")
+    return _near_duplicates(kept_numbers(rows, "join-rows"), n, threshold, recall)
+
+
+def _near_duplicates(texts: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """:func:`near_duplicates` of stored rows ``rid``, ``doc_id``, ``text``."""
+    python_tasks(texts.sparkSession)
     bands, rows = bands_and_rows(threshold, recall)
-    texts = packed(docs).select("rid", F.col("doc.doc_id").cast("long").alias("doc_id"), "text")
     signed = stored(
         texts.mapInArrow(
             lambda it: _signed(it, n, bands, rows), "rid long, doc_id long, gram_set binary, n_grams long, bands array<long>"
@@ -274,8 +279,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one document of each class of near duplicates, the one with the least ``doc_id``."""
-    gone = near_duplicates(docs, n, threshold).where("rid <> class_rid").select("rid")
-    return packed(docs).join(gone, "rid", "left_anti").select("doc.*")
+    rows = kept_numbers(packed(docs), "join-rows")
+    texts = rows.select("rid", F.col("doc.doc_id").cast("long").alias("doc_id"), "text")
+    gone = _near_duplicates(texts, n, threshold, RECALL).where("rid <> class_rid").select("rid")
+    return rows.join(gone, "rid", "left_anti").select("doc.*")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

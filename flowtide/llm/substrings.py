@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, doc_and, packed, python_tasks, stored, texts_of
+from .common import chunks, doc_and, kept_numbers, packed, python_tasks, stored, texts_of
 from .words import Vocabulary, mixed, rolled, runs
 
 GRAM = 10
@@ -357,14 +357,13 @@ def remove_repeated(docs: DataFrame, min_words: int = 20, with_text: bool = True
     ``n_removed``, ``kept_words_sha256`` and (``with_text``) ``kept_text``: the
     text with each removed word cut out together with the white space after it.
     Windows are judged on the input. Null and empty texts, and texts shorter than
-    a window, lose nothing. Of repeated rows the first in the table stays. ``docs``
-    must be a stored table: it is read more than once and rows are told apart by
-    their place.
+    a window, lose nothing. Of repeated rows the first in the table stays. Rows are
+    numbered once and stored with their numbers.
     """
     if min_words <= GRAM:
         raise ValueError(f"min_words must be above {GRAM}")
     python_tasks(docs.sparkSession)
-    rows = packed(docs)
+    rows = kept_numbers(packed(docs), "dedup-rows")
     spans = repeated_spans(rows.select("rid", F.col("doc.doc_id").cast("long").alias("doc_id"), "text"), min_words, shard)
     by_doc = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     joined = rows.join(by_doc, "rid", "left").select(

@@ -148,3 +148,35 @@ def test_documents_that_stages_keep(odd, labels, items):
 def test_held_out_follows_the_id(results):
     for row in results["op1"]:
         assert row.held_out == (row.doc_id is not None and zlib.crc32(str(row.doc_id).encode()) % 7 == 2)
+
+
+@pytest.mark.parametrize("module", [substrings, jaccard, contamination])
+def test_numbers_hold_when_splits_change_between_jobs(spark, items, monkeypatch, module):
+    """Executors that come or go change the splits of a scan, and so the numbers of its rows."""
+    rows = [(d, COPY + f" tail {d}." if d % 3 == 0 else " ".join(f"own{d}x{i}" for i in range(80)), "a") for d in range(24)]
+    docs = stored(spark.createDataFrame(rows, SCHEMA).repartition(8, "doc_id"), "splits")
+    own = [d for d in range(24) if d % 3]
+    key, calls = "spark.sql.files.minPartitionNum", []
+
+    def shift():
+        calls.append(1)
+        spark.conf.set(key, "1" if len(calls) % 2 else "64")
+
+    def shifted(df, purpose):
+        out = stored(df, purpose)
+        shift()
+        return out
+
+    monkeypatch.setattr(module, "stored", shifted)
+    try:
+        shift()
+        if module is substrings:
+            got = {r.doc.doc_id: r.n_removed for r in substrings.remove_repeated(docs).collect()}
+            assert got == {d: 0 if d in own or d == 0 else len(COPY.split()) + 1 for d in range(24)}
+        elif module is jaccard:
+            assert sorted(r.doc_id for r in jaccard.one_of_each(docs).collect()) == [0, *own]
+        else:
+            kept = contamination.without_items(docs, items)
+            assert sorted(r.doc_id for r in kept.collect()) == own
+    finally:
+        spark.conf.unset(key)
