@@ -1,6 +1,20 @@
 """The registered queries of this subpackage and their SQL twins."""
 
-from . import contamination, hidden_markov, jaccard, licenses, line_rules, mixing, ordinal, substrings, token_counts, toxicity
+from . import (
+    contamination,
+    hard_negatives,
+    hidden_markov,
+    jaccard,
+    language_id,
+    licenses,
+    line_rules,
+    mixing,
+    ordinal,
+    prefix_trie,
+    substrings,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = {
     "op1_hidden_markov": hidden_markov.op1_hidden_markov,
@@ -13,6 +27,9 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_containment": contamination.op10_containment,
+    "op11_language_id": language_id.op11_language_id,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 #: Where SQL can state the result; the others are tested against brute force.
@@ -21,4 +38,6 @@ ORACLE = {
     "op4_line_rules": line_rules.op4_sql(),
     "op8_license_scan": licenses.op8_sql(),
     "op10_containment": contamination.OP10_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
