@@ -1,14 +1,18 @@
 """Mixing sources to target weights by Pareto order sampling, in built-in functions only.
 
-A source with a target of ``r`` times its words gives ``floor(r)`` certain whole
-copies of every document. The rest comes from a Pareto order sample: documents are
-ranked by their random odds ``u / (1 - u)`` over their inclusion odds
-``p / (1 - p)``, and taken from the least up until the words of the rest are
-reached. ``u`` is a hash of ``doc_id``, so reruns agree.
-
-No source is sorted as a whole: ranks are cut into ``BUCKETS`` buckets, whose words
-are summed first (partial sums before the shuffle); only the bucket in which the
-target falls is ordered document by document.
+A source has a target of words. Its documents have expected numbers of copies in
+proportion to a weight that follows from their size (the number of binary digits of
+their words: a text of 1000 words weighs twice one of 31), ``most`` copies at most, so
+that the words expected are the target. ``floor`` of it are certain whole copies; what is
+left is the inclusion chance ``p`` of a Pareto order sample: documents are ranked by
+their random odds ``u / (1 - u)`` over their inclusion odds ``p / (1 - p)``, and taken
+from the least up until the words of the rest are reached. The sample's size is thus
+fixed, in words. ``u`` is a hash of ``doc_id``, so reruns agree.
+
+Expected copies need the words by source and weight only, a few dozen rows a source. No
+source is sorted as a whole: ranks are cut into ``BUCKETS`` buckets, whose words are
+summed first (partial sums before the shuffle), and the bucket in which the target falls
+into as many again; only the fine bucket in which it falls is ordered.
 """
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -53,16 +57,50 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return per_source.select("number", "source", "source_size", target.alias("target"))
 
 
+def expected_copies(classes: DataFrame, most: float = MOST) -> DataFrame:
+    """``number``, ``weight``, ``copies`` for classes of equal weight (``number``, ``target``, ``weight``, ``words``).
+
+    ``copies`` is in proportion to ``weight`` within a source, ``most`` at most, and comes
+    to ``target`` words: from the greatest weight down, classes that their share would lift
+    over ``most`` stop there, and the others share the rest.
+    """
+    before = Window.partitionBy("number").orderBy(F.desc("weight")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("number")
+    weighed = F.col("weight") * F.col("words")
+    level = (
+        classes.withColumn("left", F.sum(weighed).over(whole) - F.coalesce(F.sum(weighed).over(before), F.lit(0)))
+        .withColumn("rest", F.col("target") - F.lit(float(most)) * F.coalesce(F.sum("words").over(before), F.lit(0)))
+        .withColumn("stops", F.lit(float(most)) * F.col("left") <= F.col("weight") * F.col("rest"))
+    )
+    going = F.sum(F.when(F.col("stops"), 0).otherwise(weighed)).over(whole)
+    words = F.col("target") - F.lit(float(most)) * F.sum(F.when(F.col("stops"), F.col("words")).otherwise(0)).over(whole)
+    copies = F.when(F.col("stops"), F.lit(float(most))).when(going > 0, F.col("weight") * words / going).otherwise(F.lit(0.0))
+    return level.select("number", "weight", "words", "target", copies.alias("copies"))
+
+
+def _cut(rows: DataFrame, bucket: str) -> DataFrame:
+    """Rows of a source (``number``, ``size``, ``rest``) with the words before and up to their bucket."""
+    upto = Window.partitionBy("number").orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+    words = (
+        rows.where(F.col(bucket).isNotNull())
+        .groupBy("number", bucket, "start")
+        .agg(F.sum("size").alias("words"))
+        .withColumn("after", F.col("start") + F.sum("words").over(upto))
+        .select("number", bucket, "after", (F.col("after") - F.col("words")).alias("before"))
+    )
+    return rows.drop("start").join(stored(words, f"mix-{bucket}"), ["number", bucket], "left")
+
+
 def mix_sources(
     docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, buckets: int = BUCKETS
 ) -> DataFrame:
-    """One row a document: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
+    """One row a document: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``expected``, ``copies``, ``taken``.
 
-    ``size`` counts words (null text: 0), ``taken = copies * size``. The words taken
-    of a source differ from its target by half a document at most. Empty documents
-    and sources take nothing that counts. Ties of rank (repeated ``doc_id``, null ids)
-    go by size; rows equal in all of that are interchangeable. Null ``source`` is a
-    source of its own.
+    ``size`` counts words (null text: 0), ``expected`` are the copies to be expected,
+    ``copies`` those that are taken, ``taken = copies * size``. The words taken of a source
+    differ from its target by half a document at most. Empty documents and sources take
+    nothing that counts. Ties of rank (repeated ``doc_id``, null ids) go by size; rows
+    equal in all of that are interchangeable. Null ``source`` is a source of its own.
     """
     number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10)
     sizes = stored(
@@ -71,48 +109,49 @@ def mix_sources(
             "source",
             word_count("text").alias("size"),
             ((number.cast("double") + 0.5) / F.lit(float(1 << 52))).alias("u"),
-        ),
+        ).withColumn("weight", F.length(F.bin("size"))),
         "mix-sizes",
     )
-    targets = stored(source_targets(sizes, weights, share, most), "mix-targets")
-    certain = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("target") - F.col("certain") * F.col("source_size")
-    chance = F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = stored(source_targets(sizes, weights, share, most).withColumnRenamed("source", "of"), "mix-targets")
+    same = F.col("source").eqNullSafe(F.col("of"))
+    classes = sizes.groupBy("source", "weight").agg(F.sum("size").alias("words")).join(targets, same)
+    classes = expected_copies(classes, most).withColumn("certain", F.floor("copies").cast("long"))
+    rest = F.col("target") - F.sum(F.col("certain") * F.col("words")).over(Window.partitionBy("number"))
+    classes = stored(classes.select("number", "weight", F.col("copies").alias("expected"), "certain", rest.alias("rest")), "mix-classes")
+    chance = F.col("expected") - F.col("certain")
     odds = F.col("u") / (1.0 - F.col("u"))
-    rank = F.when(F.col("chance") > 0, odds / (F.col("chance") / (1.0 - F.col("chance"))))
+    rank = F.when(chance > 0, odds / (chance / (1.0 - chance)))
+    place = F.col("rank") / (1.0 + F.col("rank")) * F.lit(buckets)
     ranked = (
-        sizes.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+        sizes.join(targets, same)
         .drop("of")
-        .withColumn("certain", certain)
-        .withColumn("rest", rest)
-        .withColumn("chance", chance)
+        .join(classes, ["number", "weight"])
         .withColumn("rank", rank)
-        .withColumn("bucket", F.floor(F.col("rank") / (1.0 + F.col("rank")) * F.lit(buckets)).cast("int"))
-    )
-    upto = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    words = (
-        ranked.where("bucket is not null")
-        .groupBy("number", "bucket", "rest")
-        .agg(F.sum("size").alias("words"))
-        .withColumn("after", F.sum("words").over(upto))
-        .select("number", "bucket", "after", (F.col("after") - F.col("words")).alias("before"))
+        .withColumn("bucket", F.floor(place).cast("int"))
+        .withColumn("fine", F.floor((place - F.floor(place)) * F.lit(buckets)).cast("int"))
+        .withColumn("start", F.lit(0).cast("long"))
     )
-    words = stored(words, "mix-buckets")
-    placed = ranked.join(words, ["number", "bucket"], "left")
+    shown = ["doc_id", "source", "size", "source_size", "target", "expected", "certain"]
     whole = F.col("rest") >= F.col("after")
-    none = F.col("bucket").isNull() | (F.col("rest") < F.col("before"))
-    shown = ["doc_id", "source", "size", "source_size", "target", "certain"]
-    clear = placed.where(whole | none).select(*shown, F.when(none, 0).otherwise(1).alias("drawn"))
+    none = F.col("rest") < F.col("before")
+    out, rows = [], ranked
+    for bucket in ("bucket", "fine"):
+        placed = _cut(rows, bucket)
+        clear = F.col(bucket).isNull() | whole | none
+        taken = F.when(F.col(bucket).isNotNull() & whole, 1).otherwise(0)
+        out.append(placed.where(clear).select(*shown, taken.alias("drawn")))
+        rows = placed.where(~clear).withColumn("start", F.col("before")).drop("after", "before")
     within = Window.partitionBy("number").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    reached = F.col("before") + F.sum("size").over(within) - F.col("size") / 2.0
-    cut = placed.where(~whole & ~none).select(*shown, F.when(reached <= F.col("rest"), 1).otherwise(0).alias("drawn"))
+    reached = F.col("start") + F.sum("size").over(within) - F.col("size") / 2.0
+    out.append(rows.select(*shown, F.when(reached <= F.col("rest"), 1).otherwise(0).alias("drawn")))
     copies = F.col("certain") + F.col("drawn")
-    return clear.unionByName(cut).select(
+    return out[0].unionByName(out[1]).unionByName(out[2]).select(
         "doc_id",
         "source",
         "size",
         "source_size",
         "target",
+        "expected",
         copies.alias("copies"),
         (copies * F.col("size")).alias("taken"),
     )
@@ -147,15 +186,27 @@ WITH sizes AS (
   SELECT number, source, source_size, CASE WHEN stops THEN cap ELSE weight
     * (total - sum(CASE WHEN stops THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN stops THEN 0 ELSE weight END) OVER () END AS target
   FROM stopped
+), classes AS (
+  SELECT t.number, s.source, w AS weight, any_value(target) AS target, any_value(source_size) AS source_size, sum(size)::BIGINT AS words
+  FROM (SELECT *, length(bin(size)) AS w FROM sizes) s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source GROUP BY ALL
+), leveled AS (
+  SELECT *, (sum(weight * words) OVER (PARTITION BY number)) - coalesce(sum(weight * words) OVER above, 0) AS going,
+    target - 2.0::DOUBLE * coalesce(sum(words) OVER above, 0)::DOUBLE AS words_left
+  FROM classes WINDOW above AS (PARTITION BY number ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), halted AS (
+  SELECT *, 2.0::DOUBLE * going::DOUBLE <= weight * words_left AS halts FROM leveled
+), spread AS (
+  SELECT *, (sum(CASE WHEN halts THEN 0 ELSE weight * words END) OVER (PARTITION BY number))::DOUBLE AS moving,
+    target - 2.0::DOUBLE * (sum(CASE WHEN halts THEN words ELSE 0 END) OVER (PARTITION BY number))::DOUBLE AS free
+  FROM halted
 ), parts AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS certain FROM targets
+  SELECT *, floor(expected)::BIGINT AS certain
+  FROM (SELECT *, CASE WHEN halts THEN 2.0::DOUBLE WHEN moving > 0 THEN weight * free / moving ELSE 0 END AS expected FROM spread)
 ), rests AS (
-  SELECT *, target - certain * source_size AS rest,
-    CASE WHEN source_size > 0 THEN (target - certain * source_size) / source_size ELSE 0 END AS chance
-  FROM parts
+  SELECT *, target - (sum(certain * words) OVER (PARTITION BY number))::DOUBLE AS rest, expected - certain AS chance FROM parts
 ), ranked AS (
   SELECT s.doc_id, s.size, r.*, CASE WHEN chance > 0 THEN (u / (1.0::DOUBLE - u)) / (chance / (1.0::DOUBLE - chance)) END AS rank
-  FROM sizes s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source
+  FROM sizes s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source AND length(bin(s.size)) = r.weight
 ), drawn AS (
   SELECT *, CASE WHEN rank IS NULL THEN 0 WHEN sum(size) OVER (PARTITION BY number ORDER BY rank, doc_id NULLS FIRST, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END AS more
