@@ -313,9 +313,8 @@ def _weights(counts: DataFrame, totals: dict[int, int], parts: tuple[int, ...],
         counts.where(in_toxic >= least)
         .withColumn("weight", F.log(p / q))
         .where((F.col("weight") >= 1) & (F.col("weight") / error >= sure))
-        .orderBy(F.desc(F.col("weight") / error), "feature")
-        .limit(5000)
     )
+    # Features of a bounded sample of documents.
     return {r.feature: float(r.weight) for r in strong.collect()}
 
 
