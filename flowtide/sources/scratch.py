@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
@@ -38,15 +39,23 @@ def named_here(spark: SparkSession, folder: str | None) -> bool:
     return folder in _made.get(spark.sparkContext.applicationId, [])
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Delete the folders that :func:`shared_folder` named for this application.
+def made_folders(spark: SparkSession) -> list[str]:
+    """The folders that :func:`shared_folder` named for this application, in that order."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
+
+
+def clear_scratch(spark: SparkSession, folders: Iterable[str] | None = None) -> int:
+    """Delete ``folders`` (by default all) that :func:`shared_folder` named for this application.
 
     Call it when the results that read them have been written; returns how many
     were there. Other applications' folders stay.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    made = made_folders(spark)
+    going = set(made if folders is None else folders)
+    _made[spark.sparkContext.applicationId] = [f for f in made if f not in going]
     gone = 0
-    for folder in _made.pop(spark.sparkContext.applicationId, []):
+    for folder in (f for f in made if f in going):
         path = jvm.org.apache.hadoop.fs.Path(folder)
         gone += bool(path.getFileSystem(conf).delete(path, True))
     return gone
