@@ -3,6 +3,7 @@
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,13 +38,48 @@ def packed(docs: DataFrame) -> DataFrame:
     return numbered(docs, F.coalesce("text", F.lit("")).alias("text"), F.struct("*").alias("doc"))
 
 
-def kept_numbers(rows: DataFrame, purpose: str) -> DataFrame:
-    """Rows of :func:`numbered` or :func:`packed`, stored with their ``rid``.
+def _rows_of_files(docs: DataFrame) -> bool:
+    """Whether ``docs`` is files, filtered and projected row by row."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation"
 
-    The splits of a scan, and so the numbers, follow the cores that are there at the
-    time. Whoever joins on ``rid`` across jobs reads this table in all of them.
+
+def placed(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """``rid``: a number that stays with a row in all jobs; then ``columns``.
+
+    The splits of a scan follow the cores that are there at the time, so a number given
+    in a scan is another one in the next. A row of a file keeps its file and its place in
+    it: the number is a hash of the file's name, tried until no two files share it, and
+    the place. Nothing but a row for each file is stored. Other frames (joined, grouped,
+    local) are stored with their numbers.
     """
-    return stored(rows, purpose)
+    if _rows_of_files(docs):
+        try:
+            path, place = (docs.metadataColumn("_metadata").getField(f) for f in ("file_path", "row_index"))
+            files = stored(docs.groupBy(path.alias("path")).agg(F.max(place).alias("last")), "files")
+        except AnalysisException:  # files of a kind without places
+            return stored(numbered(docs, *columns), "numbered")
+        size = files.agg(F.count(F.lit(1)).alias("n"), F.max("last").alias("last")).first()
+        shift = max(1, (size["last"] or 0).bit_length())
+        for seed in range(64):
+
+            def number(name: Column) -> Column:
+                return F.shiftrightunsigned(F.xxhash64(F.lit(seed), name), shift + 1)  # noqa: B023
+
+            if size["n"] < 2 or files.select(number(F.col("path"))).distinct().count() == size["n"]:
+                return docs.select(F.shiftleft(number(path), shift).bitwiseOR(place).alias("rid"), *columns)
+    return stored(numbered(docs, *columns), "numbered")
+
+
+def with_text(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of a struct ``doc`` with its ``text`` as a column too, without a copy."""
+    for batch in batches:
+        text = batch.column("doc").field("text")
+        yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "text"])
 
 
 def doc_and(rows: DataFrame, more: str) -> T.StructType:

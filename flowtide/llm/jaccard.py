@@ -6,10 +6,13 @@
 2. Classes that share a band hash are linked to the least class of that bucket: one
    edge a row, never the pairs of a bucket. Connected components of these edges
    hold every candidate pair.
-3. Sets are read again for classes in components only, and every pair of a component
-   is verified on its full sets. A large component is dealt out as pairs of bounded
-   blocks; a task returns the number of links of each class and a spanning forest
-   of its links, not the pairs.
+3. Sets are read again for classes in components only (a Bloom filter keeps the others
+   from the shuffle), and every candidate pair is verified on its full sets. A
+   component of one block is verified as a whole. A larger one is dealt out as pairs of
+   its blocks, or as its buckets, each pair in the first bucket that it shares:
+   whichever sends fewer sets. So copies of one text go as blocks, and a chain of many
+   small clusters, which chance meetings tie together, as buckets. A task returns the
+   number of links of each class and a spanning forest of its links, not the pairs.
 4. Components of the verified links are the classes of the result.
 
 Band and row counts follow from the threshold and the recall: a pair at exactly the
@@ -21,10 +24,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, kept_numbers, packed, python_tasks, stored, texts_of
+from .bloom import Bloom, bloom_of
+from .common import chunks, placed, python_tasks, stored, texts_of
 from .components import components
 from .words import Vocabulary, mixed, rolled
 
@@ -107,15 +111,15 @@ def _signed(batches: Iterable[pa.RecordBatch], n: int, bands: int, rows: int) ->
         )
 
 
-def _sets(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterable[pa.RecordBatch], n: int, wanted: Bloom) -> Iterator[pa.RecordBatch]:
+    """Gram sets of the rows whose ``hash`` may be ``wanted``."""
     vocabulary = Vocabulary()
-    for batch in chunks(batches):
-        grams, ends = _gram_sets(texts_of(batch.column("text")), vocabulary, n)
-        own = [np.unique(grams[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
-        names = [name for name in batch.schema.names if name != "text"]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(name) for name in names), pa.array(own, pa.binary())], names=[*names, "grams"]
-        )
+    for whole in batches:
+        some = wanted.has(whole.column("hash").to_numpy().view(np.uint64))
+        for batch in chunks([whole.filter(pa.array(some))]):
+            grams, ends = _gram_sets(texts_of(batch.column("text")), vocabulary, n)
+            own = [np.unique(grams[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(own, pa.binary())], names=["rid", "grams"])
 
 
 def _links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -142,14 +146,21 @@ def _links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def _verified(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by component, pair of blocks and rid to links of each row and a forest."""
+    """Rows sorted by unit, pair of blocks and rid to links of each row and a forest."""
 
     def task(key, members):
-        _, i, j = key
-        linked = _links([grams for _, _, grams in members], threshold)
-        block = np.array([b for _, b, _ in members])
+        _, band, _, i, j = key
+        linked = _links([grams for _, _, grams, _ in members], threshold)
+        block = np.array([b for _, b, _, _ in members])
         if i != j:  # pairs within a block are verified where i = j
             linked &= block[:, None] != block[None, :]
+        if band > 0:  # and pairs that share an earlier band in the bucket of that one
+            bands = np.array([b for _, _, _, b in members])
+            a, b = np.nonzero(linked)
+            for first in range(0, len(a), SLICE):
+                some = slice(first, first + SLICE)
+                earlier = (bands[a[some], :band] == bands[b[some], :band]).any(1)
+                linked[a[some][earlier], b[some][earlier]] = False
         counts = linked.sum(1)
         root = np.full(len(members), -1)
         for start in range(len(members)):
@@ -159,19 +170,19 @@ def _verified(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[p
                     near = np.flatnonzero(linked[todo.pop()] & (root < 0))
                     root[near] = start
                     todo.extend(near.tolist())
-        for (rid, _, _), n, r in zip(members, counts.tolist(), root.tolist()):
+        for (rid, _, _, _), n, r in zip(members, counts.tolist(), root.tolist()):
             if n:
                 out.append((rid, n, members[r][0]))
 
     key, members, out = None, [], []
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("component", "i", "j", "rid", "block", "grams"))
-        for component, i, j, rid, block, grams in zip(*columns):
-            if (component, i, j) != key:
+        columns = (batch.column(c).to_pylist() for c in (*UNIT, "i", "j", "rid", "block", "grams", "bands"))
+        for *unit, rid, block, grams, bands in zip(*columns):
+            if unit != key:
                 if len(members) > 1:
                     task(key, members)
-                key, members = (component, i, j), []
-            members.append((rid, block, np.frombuffer(grams, np.uint64)))
+                key, members = unit, []
+            members.append((rid, block, np.frombuffer(grams, np.uint64), bands))
         if out:
             yield _linked_rows(out)
             out.clear()
@@ -187,6 +198,49 @@ def _linked_rows(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+#: What is verified together: a component (band -1), or one of its buckets.
+UNIT = ("component", "band", "value")
+
+
+def _blocks(docs: Column, grams: Column) -> Column:
+    return F.ceil(F.greatest(docs / BLOCK_DOCS, grams / BLOCK_GRAMS)).cast("int")
+
+
+def _units(classes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``rid``, the unit's columns, ``blocks``, and ``bands`` where the unit is a bucket."""
+    sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_grams").alias("grams"))
+    sizes = stored(sizes.withColumn("blocks", _blocks(F.col("docs"), F.col("grams"))), "components")
+    members = stored(
+        candidates.select(F.col("node").alias("head"), "root")
+        .join(sizes.where("blocks > 1").select("root"), "root")
+        .join(classes.select("head", "n_grams", "bands"), "head"),
+        "large-components",
+    )
+    in_buckets = members.select("root", "head", "n_grams", "bands", F.posexplode("bands").alias("band", "value"))
+    buckets = (
+        in_buckets.groupBy("root", "band", "value")
+        .agg(F.count(F.lit(1)).alias("docs"), F.sum("n_grams").alias("grams"))
+        .where("docs > 1")
+    )
+    buckets = buckets.withColumn("blocks", _blocks(F.col("docs"), F.col("grams")))
+    # Sets that either way sends.
+    cost = buckets.groupBy("root").agg(F.sum(F.col("docs") * F.col("blocks")).alias("cost"))
+    split = sizes.join(cost, "root").where(F.col("cost") < F.col("docs") * F.col("blocks")).select("root")
+    split = stored(split, "split-components")
+    whole = candidates.join(sizes.select("root", "blocks").join(split, "root", "left_anti"), "root").select(
+        F.col("node").alias("rid"),
+        F.col("root").alias("component"),
+        F.lit(-1).alias("band"),
+        F.lit(0).cast("long").alias("value"),
+        "blocks",
+        F.lit(None).cast("array<long>").alias("bands"),
+    )
+    parts = in_buckets.join(buckets.join(split, "root").select("root", "band", "value", "blocks"), ["root", "band", "value"])
+    return whole.unionByName(
+        parts.select(F.col("head").alias("rid"), F.col("root").alias("component"), "band", "value", "blocks", "bands")
+    )
+
+
 def _candidates(classes: DataFrame) -> DataFrame:
     """``node``, ``root``: classes that share a band hash with another, by component."""
     buckets = classes.where("n_grams > 0").select("head", F.posexplode("bands").alias("band", "value"))
@@ -203,15 +257,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     ``threshold`` or more; ``n_links`` counts a document's links to different sets
     (copies of one set count once), ``n_copies`` the documents with its own set, itself
     included. ``class_id`` is the least ``doc_id`` (null last) of all documents that
-    links and equal sets connect. Documents without words are alone. Rows are numbered
-    once and stored with their numbers.
+    links and equal sets connect. Documents without words are alone.
     """
-    rows = packed(docs).select("rid", F.col("doc.doc_id").cast("long").alias("doc_id"), "text")
-    return _near_duplicates(kept_numbers(rows, "join-rows"), n, threshold, recall)
+    texts = placed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return _near_duplicates(texts, n, threshold, recall)
 
 
 def _near_duplicates(texts: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
-    """:func:`near_duplicates` of stored rows ``rid``, ``doc_id``, ``text``."""
+    """:func:`near_duplicates` of rows ``rid``, ``doc_id``, ``text``."""
     python_tasks(texts.sparkSession)
     bands, rows = bands_and_rows(threshold, recall)
     signed = stored(
@@ -236,26 +289,19 @@ def _near_duplicates(texts: DataFrame, n: int, threshold: float, recall: float)
     candidates = stored(
         _candidates(classes).join(classes.select(F.col("head").alias("node"), "n_grams"), "node"), "candidates"
     )
-    sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_grams").alias("grams"))
-    blocks = F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("grams") / BLOCK_GRAMS)).cast("int")
-    placed = candidates.join(sizes.select("root", blocks.alias("blocks")), "root").select(
-        F.col("node").alias("rid"),
-        F.col("root").alias("component"),
-        "blocks",
-        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"),
-    )
-    sets = (
-        texts.select("rid", "text")
-        .join(placed.hint("merge"), "rid")  # one plan at every size
-        .mapInArrow(lambda it: _sets(it, n), "rid long, component long, blocks int, block int, grams binary")
+    units = stored(_units(classes, candidates), "units")
+    wanted = bloom_of(stored(units.select(F.xxhash64("rid").alias("hash")).distinct(), "wanted"))
+    sets = texts.select("rid", F.xxhash64("rid").alias("hash"), "text").mapInArrow(
+        lambda it: _sets(it, n, wanted.value), "rid long, grams binary"
     )
+    dealt = sets.join(units, "rid").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     others = F.expr("transform(sequence(0, blocks - 1), x -> named_struct('i', least(x, block), 'j', greatest(x, block)))")
-    pairs = sets.select("component", F.explode(others).alias("pair"), "rid", "block", "grams").select(
-        "component", "pair.i", "pair.j", "rid", "block", "grams"
+    pairs = dealt.select(*UNIT, F.explode(others).alias("pair"), "rid", "block", "grams", "bands").select(
+        *UNIT, "pair.i", "pair.j", "rid", "block", "grams", "bands"
     )
     verified = stored(
-        pairs.repartition("component", "i", "j")
-        .sortWithinPartitions("component", "i", "j", "rid")
+        pairs.repartition(*UNIT, "i", "j")
+        .sortWithinPartitions(*UNIT, "i", "j", "rid")
         .mapInArrow(lambda it: _verified(it, threshold), "rid long, links long, root long"),
         "links",
     )
@@ -279,8 +325,8 @@ def _near_duplicates(texts: DataFrame, n: int, threshold: float, recall: float)
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs`` with one document of each class of near duplicates, the one with the least ``doc_id``."""
-    rows = kept_numbers(packed(docs), "join-rows")
-    texts = rows.select("rid", F.col("doc.doc_id").cast("long").alias("doc_id"), "text")
+    rows = placed(docs, F.struct("*").alias("doc"))
+    texts = rows.select("rid", F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce("doc.text", F.lit("")).alias("text"))
     gone = _near_duplicates(texts, n, threshold, RECALL).where("rid <> class_rid").select("rid")
     return rows.join(gone, "rid", "left_anti").select("doc.*")
 

@@ -8,7 +8,8 @@ dealt out instead:
    with the least hash in it. Equal windows have equal anchors. Anchors that
    occur once in the corpus need no more work; the others go into a Bloom filter
    of bounded size, which is broadcast. (When the corpus outgrows the bound,
-   more false positives come through; the result stays exact.)
+   more false positives come through; the result stays exact.) Anchors in very many
+   batches of texts are hot: their windows meet by all their words in step 3.
 2. Documents stream past the filter and give segments: a repeated anchor and the
    windows around it, at most ``2 * min_words - GRAM`` words. Within a batch of
    texts a window seen earlier is settled at once (ids of words compared, not
@@ -30,18 +31,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, doc_and, kept_numbers, packed, python_tasks, stored, texts_of
+from .bloom import Bloom, bloom_of
+from .common import chunks, doc_and, placed, python_tasks, stored, texts_of, with_text
 from .words import Vocabulary, mixed, rolled, runs
 
 GRAM = 10
 #: Segments that one suffix automaton holds at most.
 SHARD = 2048
-#: Bits of the Bloom filter: ten for each repeated anchor, within these bounds.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
-BLOCK_BITS = 20
+#: Anchors that more batches of texts hold are split by the words of their windows.
+HOT = 4096
 FIRST = -(1 << 63)
 
 SEGMENTS = pa.schema(
@@ -156,57 +157,21 @@ def _anchors(batches: Iterable[pa.RecordBatch], min_words: int) -> Iterator[pa.R
         )
 
 
-class Bloom:
-    """A set of 64-bit values with false positives, as bits in blocks."""
-
-    def __init__(self, bits: int, blocks: dict[int, bytes]):
-        self.mask = np.uint64(bits - 1)
-        self.bits = np.zeros(bits >> 3, np.uint8)
-        size = 1 << (BLOCK_BITS - 3)
-        for number, block in blocks.items():
-            self.bits[number * size : (number + 1) * size] = np.frombuffer(block, np.uint8)
-
-    def has(self, values: np.ndarray) -> np.ndarray:
-        out = np.ones(len(values), bool)
-        for shift in (np.uint64(0), np.uint64(32)):
-            place = (values >> shift) & self.mask
-            out &= (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        return out
-
-
 def _repeated(docs: DataFrame, min_words: int):
-    """Bloom filter of the anchors that occur at two places or more."""
-    spark = docs.sparkSession
+    """Filters of the anchors that occur at two places or more, and of those in very many batches of texts."""
     anchors = docs.mapInArrow(lambda it: _anchors(it, min_words), "anchor long, times long")
-    repeated = stored(
-        anchors.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1").select("anchor"), "anchors"
-    )
-    bits = 1 << max(0, (10 * repeated.count() - 1).bit_length())
-    bits = min(MOST_BITS, max(LEAST_BITS, bits))
-    places = repeated.select(
-        F.explode(
-            F.array(
-                F.col("anchor").bitwiseAND(F.lit(bits - 1)),
-                F.shiftrightunsigned("anchor", 32).bitwiseAND(F.lit(bits - 1)),
-            )
-        ).alias("place")
-    ).distinct()
-
-    def pack(key, group):
-        flags = np.zeros(1 << BLOCK_BITS, np.uint8)
-        flags[group.column("place").to_numpy() & ((1 << BLOCK_BITS) - 1)] = 1
-        packed_bits = np.packbits(flags, bitorder="little").tobytes()
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([packed_bits], pa.binary())})
-
-    blocks = (
-        places.withColumn("block", F.shiftright("place", BLOCK_BITS)).groupBy("block").applyInArrow(pack, "block long, bits binary")
-    )
-    # At most MOST_BITS / 8 = 32 MB, whatever the corpus.
-    return spark.sparkContext.broadcast(Bloom(bits, {r.block: bytes(r.bits) for r in blocks.toLocalIterator()}))
+    repeated = stored(anchors.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1"), "anchors")
+    repeated = repeated.withColumnRenamed("anchor", "hash")
+    return bloom_of(repeated.select("hash")), bloom_of(repeated.where(F.col("times") > HOT).select("hash"))
+
 
+def _segments(batches: Iterable[pa.RecordBatch], min_words: int, bloom: Bloom, hot: Bloom) -> Iterator[pa.RecordBatch]:
+    """Repeated windows as segments; those settled within the chunk without a text.
 
-def _segments(batches: Iterable[pa.RecordBatch], min_words: int, bloom: Bloom) -> Iterator[pa.RecordBatch]:
-    """Repeated windows as segments; those settled within the chunk without a text."""
+    A segment meets others by its anchor. A window at a hot anchor goes alone and meets
+    others by a hash of all its words, so that a line which many documents share, with
+    other words around it, comes together nowhere.
+    """
     vocabulary = Vocabulary()
     for batch in chunks(batches):
         if (found := _windows(batch, vocabulary, min_words)) is None:
@@ -233,6 +198,10 @@ def _segments(batches: Iterable[pa.RecordBatch], min_words: int, bloom: Bloom) -
         for i, n in zip(*runs(s, d)):
             put(int(mixed(np.uint64([keys[d[i]][1]]))[0].view(np.int64)), d[i], s[i], n, None)
         s, d, p = starts[~again], doc[~again], at[~again]
+        alone = hot.has(grams[p])
+        for i, e in zip(s[alone], d[alone]):
+            put(int(mixed(whole[i : i + 1])[0].view(np.int64)), e, i, 1, b" ".join(words[i : i + min_words]))
+        s, d, p = s[~alone], d[~alone], p[~alone]
         for i, n in zip(*runs(s, d, p)):
             put(int(grams[p[i]].view(np.int64)), d[i], s[i], n, b" ".join(words[s[i] : s[i] + n + min_words - 1]))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, SEGMENTS)], schema=SEGMENTS)
@@ -289,16 +258,17 @@ def repeated_spans(docs: DataFrame, min_words: int = 20, shard: int = SHARD) ->
     (null least), then a smaller ``rid``, then an earlier start.
     """
     python_tasks(docs.sparkSession)
-    bloom = _repeated(docs, min_words)
-    segments = docs.mapInArrow(lambda it: _segments(it, min_words, bloom.value), SEGMENTS_DDL)
+    bloom, hot = _repeated(docs, min_words)
+    segments = docs.mapInArrow(lambda it: _segments(it, min_words, bloom.value, hot.value), SEGMENTS_DDL)
     found = stored(
         segments.repartition("anchor")
         .sortWithinPartitions("anchor", "doc_id", "rid", "start")
         .mapInArrow(lambda it: _matched(it, min_words, shard), SEGMENTS_DDL),
         "spans",
     )
-    in_order = Window.partitionBy("text").orderBy("doc_id", "rid", "start")
-    late = found.where("text is not null").withColumn("place", F.row_number().over(in_order)).where("place > 1")
+    late = found.where("text is not null").withColumn("place", F.struct("doc_id", "rid", "start"))
+    first = late.groupBy("text").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1")
+    late = late.join(first, "text").where("place <> first")
     return found.where("text is null").select("rid", "start", "n").unionByName(late.select("rid", "start", "n"))
 
 
@@ -325,8 +295,8 @@ def _cut(text: bytes, flags: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def _cleaned(batches: Iterable[pa.RecordBatch], min_words: int, with_text: bool) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
+def _cleaned(batches: Iterable[pa.RecordBatch], min_words: int, kept_text: bool) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(with_text(batches)):
         columns: list[list] = [[] for _ in DIGEST]
         for text, starts, lengths in zip(
             texts_of(batch.column("text")), batch.column("starts").to_pylist(), batch.column("lengths").to_pylist()
@@ -341,39 +311,37 @@ def _cleaned(batches: Iterable[pa.RecordBatch], min_words: int, with_text: bool)
                 flags = np.cumsum(depth)[:-1] > 0
                 removed = int(flags.sum())
                 kept = [w for w, gone in zip(words, flags.tolist()) if not gone]
-                rest = _cut(text, flags) if with_text else b""
+                rest = _cut(text, flags) if kept_text else b""
             digest = hashlib.sha256(b" ".join(kept)).hexdigest()
-            for column, value in zip(columns, (len(words), removed, digest, rest.decode() if with_text else None)):
+            for column, value in zip(columns, (len(words), removed, digest, rest.decode() if kept_text else None)):
                 column.append(value)
         arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, DIGEST)]
         names = [name for name, _ in DIGEST]
         yield pa.RecordBatch.from_arrays([batch.column("doc"), *arrays], names=["doc", *names])
 
 
-def remove_repeated(docs: DataFrame, min_words: int = 20, with_text: bool = True, shard: int = SHARD) -> DataFrame:
+def remove_repeated(docs: DataFrame, min_words: int = 20, kept_text: bool = True, shard: int = SHARD) -> DataFrame:
     """Documents without the words of any ``min_words`` window that also starts earlier.
 
     Returns the struct ``doc`` with all columns of ``docs`` and ``n_words``,
-    ``n_removed``, ``kept_words_sha256`` and (``with_text``) ``kept_text``: the
+    ``n_removed``, ``kept_words_sha256`` and (``kept_text``) ``kept_text``: the
     text with each removed word cut out together with the white space after it.
     Windows are judged on the input. Null and empty texts, and texts shorter than
-    a window, lose nothing. Of repeated rows the first in the table stays. Rows are
-    numbered once and stored with their numbers.
+    a window, lose nothing. Of repeated rows one stays as it is.
     """
     if min_words <= GRAM:
         raise ValueError(f"min_words must be above {GRAM}")
     python_tasks(docs.sparkSession)
-    rows = kept_numbers(packed(docs), "dedup-rows")
-    spans = repeated_spans(rows.select("rid", F.col("doc.doc_id").cast("long").alias("doc_id"), "text"), min_words, shard)
+    rows = placed(docs, F.struct("*").alias("doc"))
+    texts = rows.select("rid", F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce("doc.text", F.lit("")).alias("text"))
+    spans = repeated_spans(texts, min_words, shard)
     by_doc = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = rows.join(by_doc, "rid", "left").select(
-        "rid", "doc", "text", F.col("spans.start").alias("starts"), F.col("spans.n").alias("lengths")
-    )
+    joined = rows.join(by_doc, "rid", "left").select("doc", F.col("spans.start").alias("starts"), F.col("spans.n").alias("lengths"))
     out = doc_and(rows, "n_words long, n_removed long, kept_words_sha256 string, kept_text string")
-    return joined.mapInArrow(lambda it: _cleaned(it, min_words, with_text), out)
+    return joined.mapInArrow(lambda it: _cleaned(it, min_words, kept_text), out)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = remove_repeated(docs, 20, with_text=False)
+    done = remove_repeated(docs, 20, kept_text=False)
     return done.select("doc.doc_id", "n_words", "n_removed", F.col("kept_words_sha256").alias("kept_sha256"))

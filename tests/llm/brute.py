@@ -96,9 +96,12 @@ def near_duplicates(rows, threshold=0.8):
 def contained(text, items, n=5, threshold=0.8):
     """Whether a text holds an item."""
 
-    def grams(t):
-        words = [w.decode() for w in (t or "").lower().encode().split()]
+    def words_of(t):
+        return [w.decode() for w in (t or "").lower().encode().split()]
+
+    def cut(words, n):
         return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
-    own = grams(text)
-    return any(len(own & g) >= threshold * len(g) - 1e-9 for g in map(grams, items) if g)
+    own = words_of(text)
+    wanted = [(cut(w, k), k) for w in map(words_of, items) if (k := min(n, len(w)))]
+    return any(len(cut(own, k) & g) >= threshold * len(g) - 1e-9 for g, k in wanted)

@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
-from flowtide.llm import hidden_markov, jaccard, ordinal, substrings, token_counts, toxicity
+from flowtide.llm import hidden_markov, jaccard, mixing, ordinal, substrings, token_counts, toxicity
 from flowtide.llm.common import stored, table
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -40,8 +41,9 @@ def digests(df):
     return sorted(((r[0], *r[1:]) for r in map(tuple, df.collect())), key=repr)
 
 
-@pytest.mark.parametrize(("seed", "shard"), [(1, 2048), (2, 2048), (3, 1)])
-def test_substrings(spark, seed, shard):
+@pytest.mark.parametrize(("seed", "shard", "hot"), [(1, 2048, 4096), (2, 2048, 0), (3, 1, 4096), (3, 1, 2)])
+def test_substrings(spark, monkeypatch, seed, shard, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
     docs = shared_passages(spark, seed)
     got = substrings.remove_repeated(docs, 20, shard=shard)
     want = brute.substring_digest(rows_of(docs))
@@ -97,6 +99,40 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert digests(got) == sorted(want, key=repr)
 
 
+def chained(seed, n=90):
+    """Small clusters of near copies, whose texts share half of their words with others."""
+    random.seed(seed)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        shared = random.choice([20, 25, 30])
+        own = [f"c{i // 3}x{k}" for k in range(60 - shared)]
+        words = base[:shared] + own
+        if i % 3:
+            words[30 + i % 30] = f"edit{i}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("docs_in_block", [2, 7, 512])
+def test_chained_components_as_blocks_and_as_buckets(spark, monkeypatch, docs_in_block):
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", docs_in_block)
+    docs = stored(spark.createDataFrame(chained(6), "doc_id long, text string"), "chained")
+    got = jaccard.near_duplicates(docs)
+    assert digests(got.select("doc_id", "class_id", "n_links", "n_copies", "n_grams")) == sorted(brute.near_duplicates(rows_of(docs))[0], key=repr)
+
+
+def test_units_of_a_chain_are_buckets_and_of_copies_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 4)
+    rows = [(h, 0, 10, [b * 100 + (h // 2 if b else h // 3) for b in range(3)]) for h in range(24)]
+    rows += [(100 + h, 100, 10, [7001, 7002, 7003]) for h in range(24)]
+    classes = stored(spark.createDataFrame([(h, g, b) for h, _, g, b in rows], "head long, n_grams long, bands array<long>"), "classes")
+    candidates = stored(spark.createDataFrame([(h, r, g) for h, r, g, _ in rows], "node long, root long, n_grams long"), "candidates")
+    units = jaccard._units(classes, candidates).collect()
+    assert {r.band >= 0 for r in units if r.component == 0} == {True}
+    assert {(r.band, r.blocks) for r in units if r.component == 100} == {(-1, 6)}
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.5, 0.8, 0.9):
         bands, rows = jaccard.bands_and_rows(threshold, 0.999, 400)
@@ -153,6 +189,23 @@ def test_edits_equal_counting_anew():
             text, _ = token_counts.edit(text, tree, start, length, new, enc)
             assert text == want and tree.pieces() == enc.pieces(text)
             assert tree.total == (len(text), sum(enc.pieces(text)[1]))
+        # What is stored and read again is the same tree, sums of all nodes included.
+        same = token_counts.Tree.stored(*map(np.array, (*tree.arrays(), tree.chars, tree.tokens)))
+        assert same.pieces() == tree.pieces() and same.n_leaves == tree.n_leaves
+        ends = [0, *map(int, tree.arrays()[2])]
+        sums = [sum(tree.pieces()[0][a:b]) for a, b in zip(ends, ends[1:])]
+        assert sums == same.chars[same.size : same.size + len(sums)].tolist()
+        assert all(same.chars[i] == same.chars[2 * i] + same.chars[2 * i + 1] for i in range(1, same.size))
+
+
+def test_an_edit_reads_its_leaves_only():
+    enc = token_counts.encoder(token_counts.TOKENIZER)
+    text = "some words of a long text, " * 5000
+    made = token_counts.Tree(*enc.pieces(text))
+    tree = token_counts.Tree.stored(*map(np.array, (*made.arrays(), made.chars, made.tokens)))
+    for start in (0, 60_000, len(text) - 3):
+        token_counts.edit(text, tree, start, 2, "x", enc)
+    assert 0 < len(tree.fresh) <= 9 < tree.n_leaves
 
 
 @needs_tables
@@ -199,6 +252,100 @@ def test_long_runs_long_words_and_any_mix_of_look_alikes_are_decoded(spark, monk
     assert decoder.spelled(run) == parted and sum("idiot" in word for word in parted) == 500
 
 
+def test_viterbi_against_all_paths():
+    """On short words, the decoder's path is the best of all that there are."""
+    random.seed(11)
+    counts = np.random.default_rng(3).gamma(0.3, 1.0, (29, 29, 29)) + 1e-3
+    decoder = toxicity.Decoder(np.log(counts / counts.sum(2, keepdims=True)))
+    model = decoder.model
+
+    def paths(word, at=0, state=(0, 0), cost=0.0, text=""):
+        if at == len(word):
+            yield cost + model[state[0]][state[1]][0], text
+            return
+        char, (a, b) = word[at], state
+        options = decoder._options(char)
+        for letter, channel in options:
+            c = ord(letter) - 96
+            yield from paths(word, at + 1, (b, c), cost + channel + model[a][b][c], text + letter)
+        if b and (at and char == word[at - 1] or any(ord(letter) - 96 == b for letter, _ in options)):
+            yield from paths(word, at + 1, state, cost + decoder.REPEAT, text)
+        elif not options or not char.isalpha():
+            stays = decoder.DIGIT if char.isdigit() else decoder.DROP if options else 0.0
+            yield from paths(word, at + 1, state, cost + stays, text)
+
+    for _ in range(300):
+        word = "".join(random.choices("abcs01345!$*@.-", k=random.randint(1, 5)))
+        assert decoder.decode(word) == max(paths(word))[1], word
+
+
+def test_ordinal_gradient_and_fit(spark):
+    """The gradient against finite differences, and the fit against one on a single machine."""
+    random.seed(8)
+    words = ["good", "fine", "bad", "junk!!", "x", "###"]
+    rows = [(random.choice(words[: 2 + 2 * (2 - g)]) + " ", g) for g in (0, 1, 2) for _ in range(30)]
+    texts = [(" ".join(random.choices(t.split(), k=random.randint(1, 9))), g) for t, g in rows]
+    vectors = [(g, *ordinal._vector(t.encode().split(), ordinal.Buckets())) for t, g in texts]
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "grade": pa.array([g for g, _, _ in vectors], pa.int32()),
+            "numbers": [n.astype(np.int32).tobytes() for _, n, _ in vectors],
+            "values": [v.astype(np.float32).tobytes() for _, _, v in vectors],
+        }
+    )
+
+    def parts(weights, cuts):
+        (out,) = ordinal._gradient([batch], weights, cuts)
+        return out.column("loss")[0].as_py(), *(np.frombuffer(out.column(c)[0].as_py()) for c in ("by_weight", "by_cut"))
+
+    weights, cuts = np.random.default_rng(4).normal(0, 0.2, ordinal.BUCKETS), np.array([-0.4, 0.9])
+    _, by_weight, by_cut = parts(weights, cuts)
+    for values, gradient, places in ((weights, by_weight, [int(n[0]) for _, n, _ in vectors[::20]]), (cuts, by_cut, [0, 1])):
+        for place in places:
+            old, ends = values[place], []
+            for shift in (1e-5, -1e-5):
+                values[place] = old + shift
+                ends.append(parts(weights, cuts)[0])
+            values[place] = old
+            assert gradient[place] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-4, abs=1e-4)
+
+    df = stored(spark.createDataFrame(batch.to_pandas()).repartition(3), "vectors")
+    shares = np.array([1, 1, 1]) / 3
+    model = ordinal.fit(df, shares, rounds=15)
+    # The same steps over all rows at once.
+    theta = np.concatenate([np.zeros(ordinal.BUCKETS), [-np.log(2)], [np.log(2 * np.log(2))]])
+    mean, square = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, 16):
+        w, c = theta[: ordinal.BUCKETS], ordinal._cuts(theta[ordinal.BUCKETS :])
+        _, dw, dc = parts(w, c)
+        g = np.concatenate([dw / 90 + ordinal.RIDGE * w, [dc.sum() / 90], [dc[1] / 90 * np.exp(theta[-1])]])
+        mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g**2
+        theta = theta - ordinal.STEP * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+    assert np.allclose(model.weights, theta[: ordinal.BUCKETS], atol=1e-6) and np.allclose(model.cuts, ordinal._cuts(theta[ordinal.BUCKETS :]), atol=1e-6)
+
+
+def test_mix_takes_documents_at_their_chances(spark):
+    """Unequal chances of a fixed size: classes are included as often as expected, the words meet the target."""
+    random.seed(12)
+    rows = [(i, " ".join(["w"] * random.choice([2, 6, 30, 200])), "abc"[i % 3]) for i in range(9000)] + [(None, None, "a"), (9001, "", None)]
+    mix = mixing.mix_sources(stored(spark.createDataFrame(rows, "doc_id long, text string, source string"), "mix-in")).collect()
+    assert len(mix) == len(rows)
+    chances = set()
+    for source in "abc":
+        own = [r for r in mix if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 100
+        for size in (2, 6, 30, 200):
+            some = [r for r in own if r.size == size]
+            expected = some[0].expected
+            chances.add((source, expected))
+            assert {r.expected for r in some} == {expected} and expected <= 2
+            assert all(r.copies in (int(expected), int(expected) + (expected < 2)) for r in some)
+            # Within five standard deviations of a binomial count.
+            chance = expected - int(expected)
+            assert abs(sum(r.copies for r in some) / len(some) - expected) <= 5 * math.sqrt(chance * (1 - chance) / len(some)) + 0.02
+    assert len(chances) >= 8
+
+
 @pytest.fixture(scope="module")
 def larger():
     path = "/root/testdata/sf0.01"

@@ -9,6 +9,7 @@ import corpus_pipeline
 from flowtide.llm import toxicity
 from flowtide.llm.common import stored, table
 from flowtide.llm.registry import ORACLE, QUERIES
+from flowtide.sources.scratch import made_folders
 from oracle_check import connect, difference
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -24,6 +25,37 @@ def test_twin(spark, name):
     assert difference(QUERIES[name](spark, SF_DIR), connect(SF_DIR), ORACLE[name]) is None
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    """Nulls, copies and no rows go through every stage; texts stay null where nothing is cut."""
+    for name in ("labels", "benchmark"):
+        table(spark, SF_DIR, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = table(spark, SF_DIR, "documents")
+    clean = docs.where("lang = 'de'").orderBy("doc_id").limit(30)
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (-5, None, "de", None, 0), (-4, "", "de", "", 0), (-3, "zwei Wörter", None, "x", 11)], docs.schema
+    )
+    clean.union(odd).union(odd.where("doc_id = -3")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Documents without words are no near duplicates; of equal ones with words one stays.
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in rows if r.doc_id is None or r.doc_id < 0) == [(False, -5), (False, -4), (False, -3), (True, 0)]
+    assert all(r.taken in (0, r.size, 2 * r.size) for r in rows)
+    none = f"{tmp_path}/none"
+    docs.limit(0).write.parquet(f"{none}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, SF_DIR, name).limit(0).write.parquet(f"{none}/{name}.parquet")
+    assert corpus_pipeline.run(spark, none).collect() == []
+
+
+def test_stages_leave_no_tables_behind(spark):
+    docs = stored(table(spark, SF_DIR, "documents").limit(40), "few")
+    stages = dict(corpus_pipeline.STAGES)
+    first = stored(stages["near_duplicates"](spark, docs, SF_DIR), "first")
+    left = corpus_pipeline._left[spark.sparkContext.applicationId]
+    assert left
+    stages["substring_dedup"](spark, first, SF_DIR)
+    assert not set(left) & set(made_folders(spark)) and first.count() > 0
+
+
 def test_pipeline(spark):
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["toxicity", "near_duplicates", "substring_dedup", "decontamination", "mixing"]
