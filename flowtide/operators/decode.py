@@ -74,6 +74,7 @@ def decode_packets(frames: DataFrame) -> DataFrame:
         f"CASE WHEN has_ipv4 THEN {word_pair('frame', 26)} END AS _addresses",
         f"CASE WHEN has_transport THEN {big_endian('frame', '_l4', 4)} END AS _ports",
         f"CASE WHEN has_icmp OR has_icmpv6 THEN {big_endian('frame', '_l4', 2)} END AS _message",
+        f"CASE WHEN has_transport AND {number} = {NUMBER_TCP} THEN {big_endian('frame', '_l4 + 13', 1)} END AS _flags",
     )
     return numbers.selectExpr(
         *kept,
@@ -88,6 +89,7 @@ def decode_packets(frames: DataFrame) -> DataFrame:
         "has_transport",
         "CAST(shiftright(_ports, 16) AS INT) AS src_port",
         "CAST(_ports & 65535 AS INT) AS dst_port",
+        "CAST(_flags AS INT) AS tcp_flags",
         "has_icmp",
         "has_icmpv6",
         "CAST(shiftright(_message, 8) AS INT) AS icmp_type",

@@ -101,16 +101,37 @@ def session_gap(idle_seconds: int) -> str:
 
 @dataclass(frozen=True)
 class Measure:
-    """One more number of a flow: ``agg`` (``sum``, ``min`` or ``max``) of an SQL
-    expression over packet columns. Partial flows merge by the same ``agg``."""
+    """One more number of a flow: ``agg`` (such as ``sum``, ``min`` or ``max``) of an SQL
+    expression over packet columns. Partial flows merge by ``merge``, by default the same.
+
+    With ``gaps`` the expression is over ``gap``, the microseconds from a packet to the
+    one of its flow that arrived before; the first has none. Stitching adds the gap between
+    neighbouring parts, so the measure is exact however a flow was cut.
+    """
 
     name: str
     packet: str
     agg: str
+    merge: str | None = None
+    gaps: bool = False
 
     def total(self) -> Column:
         return F.expr(f"{self.agg}({self.name}) AS {self.name}")
 
+    def merged(self) -> Column:
+        return F.expr(f"{self.merge or self.agg}({self.name}) AS {self.name}")
+
+    def with_gap(self) -> Column:
+        """The measure of a part, and of the gap before it."""
+        own, more = F.col(self.name), F.expr(self.packet)
+        if self.agg == "sum":
+            return F.when(own.isNull(), more).otherwise(own + F.coalesce(more, F.lit(0)))
+        return (F.least if self.agg == "min" else F.greatest)(own, more)
+
+
+#: The last clock reading of the capture, carried by the parts of a flow.
+CLOCK = Measure("clock", "clock", "max")
+
 
 def packet_totals(more: Sequence[Measure] = ()) -> list[Column]:
     """Aggregates over the packets of one flow; all fixed width, so they stay
@@ -130,7 +151,7 @@ def packet_totals(more: Sequence[Measure] = ()) -> list[Column]:
 
 
 def _piece_totals(more: Sequence[Measure] = ()) -> list[Column]:
-    return [m.total() for m in more] + [
+    return [m.merged() for m in more] + [
         F.expr(total)
         for total in (
             "sum(packets) AS packets",
@@ -156,6 +177,8 @@ def eager_pieces(
     The partial aggregate keeps one row per key and second, so a hot key
     reaches the shuffle already reduced, and is spread over its slices there.
     """
+    if any(m.gaps for m in more):
+        raise ValueError("gaps between packets need mode='arrival'")
     return (
         with_flow_key(eligible(packets))
         .selectExpr(
@@ -193,29 +216,25 @@ def block_peaks(frames: DataFrame, block_packets: int = BLOCK_PACKETS) -> DataFr
     )
 
 
-def peaks_before(peaks: DataFrame, clock: DataFrame | None = None) -> DataFrame:
-    """``capture_id, unit, sec``: the latest second before each block of its capture.
+def block_clocks(peaks: DataFrame) -> DataFrame:
+    """``capture_id, unit, sec, clock``: the latest second before each block, and the last of its capture.
 
-    Blocks are taken ``RUN_BLOCKS`` at a time: one window runs over the maxima of
-    the runs, one over the blocks of a run, so that no task meets all blocks of a
-    capture, however thinly ``seq`` is spread. ``clock`` precedes every block.
+    Blocks are taken ``RUN_BLOCKS`` at a time, as one row with their maxima: one window runs
+    over the runs of a capture, one over the blocks of a run, without another shuffle.
     """
-    runs = peaks.withColumn("run", F.expr(_unit("unit", RUN_BLOCKS)))
-    per_run = runs.groupBy("capture_id", "run").agg(F.max("sec").alias("sec"))
-    if clock is not None:
-        # NULL sorts first: the earlier reading precedes every run.
-        per_run = per_run.unionByName(
-            clock.select("capture_id", F.col("clock").alias("sec")), allowMissingColumns=True
-        )
-    over_runs = Window.partitionBy("capture_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    over_blocks = Window.partitionBy("capture_id", "run").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
-    before_run = per_run.select(
-        F.col("capture_id").alias("of"), F.col("run").alias("in_run"), F.max("sec").over(over_runs).alias("before")
+    runs = (
+        peaks.withColumn("run", F.expr(_unit("unit", RUN_BLOCKS)))
+        .groupBy("capture_id", "run")
+        .agg(F.max("sec").alias("top"), F.collect_list(F.struct("unit", "sec")).alias("blocks"))
     )
-    within = runs.withColumn("within", F.max("sec").over(over_blocks))
-    same = F.col("capture_id").eqNullSafe(F.col("of")) & (F.col("run") == F.col("in_run"))
-    return within.join(before_run, same).select(
-        "capture_id", "unit", F.greatest("within", "before").alias("sec")
+    capture = Window.partitionBy("capture_id")
+    earlier = capture.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    # The windows first: in one step with them, the rows would be exploded before.
+    runs = runs.withColumns({"before": F.max("top").over(earlier), "clock": F.max("top").over(capture)})
+    blocks = runs.select("capture_id", "run", "before", "clock", F.explode("blocks").alias("b"))
+    in_run = Window.partitionBy("capture_id", "run").orderBy("b.unit").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select(
+        "capture_id", F.col("b.unit").alias("unit"), F.greatest(F.max("b.sec").over(in_run), "before").alias("sec"), "clock"
     )
 
 
@@ -223,20 +242,17 @@ def arrival_pieces(
     packets: DataFrame,
     idle_seconds: int = IDLE_SECONDS,
     block_packets: int = BLOCK_PACKETS,
-    clock: DataFrame | None = None,
     peaks: DataFrame | None = None,
     more: Sequence[Measure] = (),
 ) -> DataFrame:
-    """Partial flows per key and block of arrival positions.
+    """Partial flows per key and block of arrival positions, with the capture's last ``clock``.
 
     The clock a packet meets is the running maximum of the seconds of all
     frames before it in its capture. It is built from block maxima: each block
     gets one seed row carrying the maximum of all earlier blocks, so no window
     spans a capture. Rows are shuffled once, by block; clock, split and partial
-    aggregate all use that partitioning.
-
-    ``clock`` (``capture_id, clock``) is the reading at which an earlier run
-    over the same captures stopped.
+    aggregate all use that partitioning. The seed row brings the capture's last
+    reading too, so that no join is needed to tell whether a flow is over.
     """
     in_key = [c for c in FLOW_KEY if c != "capture_id"]
     rows = with_flow_key(packets).selectExpr(
@@ -248,19 +264,11 @@ def arrival_pieces(
         f"{_block(block_packets)} AS unit",
         f"coalesce({ELIGIBLE}, false) AS eligible",
         *in_key,
-        *(f"{m.packet} AS {m.name}" for m in more),
+        *(f"{m.packet} AS {m.name}" for m in more if not m.gaps),
     )
     peaks = block_peaks(packets, block_packets) if peaks is None else peaks
-    seeds = (
-        peaks_before(peaks, clock)
-        .select(
-            "capture_id",
-            "unit",
-            F.expr(f"unit * {block_packets}L - 1").alias("seq"),
-            "sec",
-            F.lit(False).alias("eligible"),
-        )
-        .filter("sec IS NOT NULL")
+    seeds = block_clocks(peaks).select(
+        "capture_id", "unit", F.expr(f"unit * {block_packets}L - 1").alias("seq"), "sec", "clock", F.lit(False).alias("eligible")
     )
     so_far = (
         Window.partitionBy("capture_id", "unit")
@@ -270,11 +278,19 @@ def arrival_pieces(
     per_key = Window.partitionBy("capture_id", "unit", *in_key).orderBy("seq")
     previous = F.lag("sec").over(per_key)
     opens = previous.isNull() | (F.col("entered") - previous >= idle_seconds)
-    return (
+    gaps = [m for m in more if m.gaps]
+    split = (
         rows.unionByName(seeds, allowMissingColumns=True)
-        .withColumn("entered", F.max("sec").over(so_far))
+        .withColumns({"entered": F.max("sec").over(so_far), "clock": F.max("clock").over(so_far)})
         .filter("eligible")
         .withColumn("opens", opens.cast("int"))
+    )
+    if gaps:
+        since = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(per_key)
+        split = split.withColumn("gap", F.when(F.col("opens") == 0, since)).withColumns({m.name: F.expr(m.packet) for m in gaps})
+    more = (*more, CLOCK)
+    return (
+        split
         .withColumn("piece", F.sum("opens").over(per_key.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("capture_id", "unit", *in_key, "piece")
         .agg(*packet_totals(more), F.expr("min(entered) AS entered"), F.expr("max_by(sec, seq) AS last_sec"))
@@ -313,6 +329,10 @@ def stitch(
         | silent_since.isNull()
         | (F.col("entered") - silent_since >= idle_seconds)
     )
+    gaps = [m for m in more if m.gaps]
+    if gaps:
+        since = F.unix_micros("first_seen") - F.lag(F.unix_micros("last_seen")).over(in_lane)
+        laned = laned.withColumn("gap", F.when(~opens, since)).withColumns({m.name: m.with_gap() for m in gaps})
     last_sec = F.max("last_sec") if mode == "eager" else F.max_by("last_sec", "last_seq")
     return (
         laned.withColumn("opens", opens.cast("int"))
@@ -363,10 +383,9 @@ def build_flows(
         pieces = eager_pieces(packets, idle_seconds, slice_seconds, more)
         clock = capture_clock(ticks)
     elif mode == "arrival":
-        peaks = block_peaks(ticks, block_packets)
-        # The same block maxima here and there: their shuffle is planned once.
-        pieces = arrival_pieces(packets, idle_seconds, block_packets, peaks=peaks, more=more)
-        clock = peaks.groupBy("capture_id").agg(F.expr("max(sec) AS clock"))
+        pieces = arrival_pieces(packets, idle_seconds, block_packets, block_peaks(ticks, block_packets), more)
+        flows = stitch(pieces, idle_seconds, mode, more=(*more, CLOCK))
+        return flow_columns(flows.withColumn("is_closed", F.expr(f"clock - last_sec >= {idle_seconds}")), more)
     else:
         raise ValueError(f"unknown mode {mode!r}: use 'eager' or 'arrival'")
     flows = stitch(pieces, idle_seconds, mode, more=more)
@@ -403,6 +422,38 @@ DIRECTION_MEASURES = (
 )
 
 
+#: Microseconds between the packets of a flow, in the order they arrived.
+GAP_MEASURES = (
+    Measure("gap_sum", "gap", "sum", gaps=True),
+    Measure("gap_min", "gap", "min", gaps=True),
+    Measure("gap_max", "gap", "max", gaps=True),
+    Measure("gap_squares", "CAST(gap AS DECIMAL(38, 0)) * gap", "sum", gaps=True),
+)
+#: A sketch of the packet sizes: ranks of its quantiles are right to 1.7 hundredths, exact up to 200 packets.
+SKETCH_MEASURES = (Measure("len_sketch", "len", "kll_sketch_agg_bigint", "kll_merge_agg_bigint"),)
+#: Packets of a TCP flow by the flags of their header (fixed values: the bits), 0 for UDP.
+FLAG_MEASURES = tuple(
+    Measure(f"{flag}_packets", f"IF(tcp_flags & {bit} > 0, 1L, 0L)", "sum")
+    for flag, bit in (("fin", 1), ("syn", 2), ("rst", 4), ("psh", 8), ("ack", 16), ("urg", 32))
+)
+
+
+def packet_gaps(flows: DataFrame) -> DataFrame:
+    """Flows built with :data:`GAP_MEASURES`, with ``gap_mean`` and ``gap_deviation`` in
+    place of the sums; all NULL in a flow of one packet."""
+    n = F.col("packets") - 1
+    total = F.col("gap_sum").cast("decimal(38,0)")
+    spread = (n.cast("decimal(20,0)") * F.col("gap_squares") - total * total).cast("double")
+    mean = F.when(n > 0, F.col("gap_sum") / n)
+    return flows.withColumns({"gap_mean": mean, "gap_deviation": F.when(n > 0, F.sqrt(spread) / n)}).drop("gap_sum", "gap_squares")
+
+
+def size_quantiles(flows: DataFrame, ranks: Sequence[float] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """Flows built with :data:`SKETCH_MEASURES`, with ``len_p50``, ... in place of the sketch."""
+    found = {f"len_p{round(100 * r)}": F.expr(f"kll_sketch_get_quantile_bigint(len_sketch, {r}D)") for r in ranks}
+    return flows.withColumns(found).drop("len_sketch")
+
+
 def packet_sizes(flows: DataFrame) -> DataFrame:
     """Flows built with :data:`SIZE_MEASURES`, with ``len_mean`` and ``len_deviation``
     (of the whole flow, not a sample) in place of the sum of squares."""

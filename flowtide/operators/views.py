@@ -72,10 +72,11 @@ def active_flow_count(active: DataFrame) -> DataFrame:
     return active.groupBy("capture_id").agg(F.count(F.lit(1)).alias("active_flows"))
 
 
-def packet_details(packets: DataFrame) -> DataFrame:
+def packet_details(packets: DataFrame, *more: str) -> DataFrame:
     """Readable packet: link text, then IPv6 or else IPv4 with its transport.
 
-    IPv6 wins over IPv4; a packet with neither keeps only the link columns.
+    IPv6 wins over IPv4; a packet with neither keeps only the link columns. ``more``
+    columns are kept as they are.
     """
     family = F.when(F.col("has_ipv6"), F.lit("IPv6")).when(F.col("has_ipv4"), F.lit("IPv4"))
     any_ip = F.col("has_ipv6") | F.col("has_ipv4")
@@ -104,6 +105,7 @@ def packet_details(packets: DataFrame) -> DataFrame:
         F.when(any_ip & F.col("has_transport"), F.col("dst_port")).alias("dst_port"),
         F.when(message, F.col("icmp_type")).alias("icmp_type"),
         F.when(message, F.col("icmp_code")).alias("icmp_code"),
+        *more,
     )
 
 

@@ -24,14 +24,30 @@ from ..operators import (
     throughput,
     with_flow_key,
 )
-from ..operators.flows import DIRECTION_MEASURES, ELIGIBLE, SIZE_MEASURES, packet_sizes, two_way
+from ..operators.flows import (
+    DIRECTION_MEASURES,
+    ELIGIBLE,
+    FLAG_MEASURES,
+    GAP_MEASURES,
+    SIZE_MEASURES,
+    SKETCH_MEASURES,
+    packet_gaps,
+    packet_sizes,
+    size_quantiles,
+    two_way,
+)
 from ..schema import FLOW_KEY
 from ..sources.captures import read_captures, stream_captures
 from ..sources.frames import stream_frames, with_snaplen
 from ..sources.scratch import shared_folder
 from ..sources.sinks import read_features_csv, write_features_csv, write_features_parquet
 from ..streaming.export import start_export, stream_flow_features
-from ..streaming.flow_table import read_active_flows, start_flow_table
+from ..streaming.flow_table import (
+    read_active_flows,
+    read_features,
+    read_latest_packets,
+    start_flow_table,
+)
 from .traffic import (
     address_patterns,
     event_frames,
@@ -288,6 +304,20 @@ def flow_packet_sizes(spark, sf_dir):
     return portable(packet_sizes(build_flows(_packets(spark, sf_dir), "arrival", HALF_HOUR, more=SIZE_MEASURES)))
 
 
+def flow_packet_gaps(spark, sf_dir):
+    flows = build_flows(_packets(spark, sf_dir), "arrival", DAY, block_packets=1 << 10, more=GAP_MEASURES)
+    return portable(packet_gaps(flows))
+
+
+def flow_size_quantiles(spark, sf_dir):
+    return portable(size_quantiles(build_flows(_packets(spark, sf_dir), "arrival", DAY, more=SKETCH_MEASURES)))
+
+
+def flow_tcp_flags(spark, sf_dir):
+    packets = decode_packets(spark.read.parquet(stored_frames(spark, sf_dir)))
+    return portable(build_flows(packets, "eager", DAY, more=FLAG_MEASURES))
+
+
 def two_way_flows(spark, sf_dir):
     """Every second packet is turned around, so that conversations have two directions."""
     packets = _packets(spark, sf_dir)
@@ -379,22 +409,27 @@ def stream_features(spark, sf_dir):
     return spark.read.parquet(f"{folder}/data")
 
 
-def _run_flow_table(spark, sf_dir, mode):
+def _run_flow_table(spark, sf_dir, mode, packets=None, idle=DAY):
     folder = shared_folder(spark, "flow-table")
-    query = start_flow_table(
-        _packet_stream(spark, sf_dir), folder, mode, DAY, trigger={"availableNow": True}
-    )
-    query.awaitTermination()
-    return folder, query.lastProgress["batchId"]
+    packets = _packet_stream(spark, sf_dir) if packets is None else packets
+    start_flow_table(packets, folder, mode, idle, trigger={"availableNow": True}).awaitTermination()
+    return folder
 
 
 def stream_table_features(spark, sf_dir):
-    folder, _ = _run_flow_table(spark, sf_dir, "eager")
-    return spark.read.parquet(f"{folder}/features").drop("batch_id")
+    return read_features(spark, _run_flow_table(spark, sf_dir, "eager"))
+
+
+def stream_arrival_features(spark, sf_dir):
+    return read_features(spark, _run_flow_table(spark, sf_dir, "arrival", idle=HALF_HOUR))
 
 
 def stream_active_flows(spark, sf_dir):
-    return read_active_flows(spark, *_run_flow_table(spark, sf_dir, "arrival"))
+    return read_active_flows(spark, _run_flow_table(spark, sf_dir, "arrival"))
+
+
+def stream_latest_packets(spark, sf_dir):
+    return read_latest_packets(spark, _run_flow_table(spark, sf_dir, "arrival"))
 
 
 QUERIES: dict[str, Query] = {
@@ -426,6 +461,9 @@ QUERIES: dict[str, Query] = {
         flows_null_captures,
         flows_null_captures_eager,
         flow_packet_sizes,
+        flow_packet_gaps,
+        flow_size_quantiles,
+        flow_tcp_flags,
         two_way_flows,
         flow_features_closed,
         flow_features_all,
@@ -442,6 +480,8 @@ QUERIES: dict[str, Query] = {
         stream_capture_files,
         stream_features,
         stream_table_features,
+        stream_arrival_features,
         stream_active_flows,
+        stream_latest_packets,
     )
 }

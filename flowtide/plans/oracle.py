@@ -11,6 +11,11 @@ FAR = 4097 << 42
 SIZES = """, min(len) AS len_min, max(len) AS len_max, sum(CAST(len AS HUGEINT) * len)::HUGEINT AS squares"""
 DIRECTIONS = """, CAST(sum(CASE WHEN seq % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS forward_packets,
         CAST(sum(CASE WHEN seq % 2 = 0 THEN len ELSE 0 END) AS BIGINT) AS forward_bytes"""
+QUANTILES = ", " + ", ".join(f"quantile_disc(len, {q}) AS len_p{round(100 * q)}" for q in (0.5, 0.9, 0.99))
+FLAGS = ", " + ", ".join(
+    f"CAST(sum(CASE WHEN user_id % 2 = 0 AND (seq & {bit}) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS {flag}_packets"
+    for flag, bit in (("fin", 1), ("syn", 2), ("rst", 4), ("psh", 8), ("ack", 16), ("urg", 32))
+)
 SOME_NULL = "CASE WHEN user_id % 8 <> 3 THEN CAST(user_id % 8 AS VARCHAR) END"
 
 KEY = "capture_id, ip_version, src_ip, dst_ip, src_ip6, dst_ip6, src_port, dst_port, protocol"
@@ -171,7 +176,7 @@ FRAME_HEX = """
         || repeat('01010101', event_id % 3) END ||
     CASE WHEN flowless THEN printf('%02X', event_id % 256) || printf('%02X', event_id % 16) || repeat('0', 12)
       ELSE printf('%04X', 1024 + user_id % 50000) ||
-        CASE WHEN user_id % 2 = 0 THEN '01BB' || repeat('0', 32) ELSE '0035' || repeat('0', 8) END END"""
+        CASE WHEN user_id % 2 = 0 THEN '01BB' || repeat('0', 16) || '50' || printf('%02X', event_id % 64) || repeat('0', 12) ELSE '0035' || repeat('0', 8) END END"""
 
 SIX_DIGITS = {
     "rounded": "CAST(printf('%.5e', x) AS DOUBLE)",
@@ -236,6 +241,18 @@ ORACLE: dict[str, str] = {
     "flow_packet_sizes": f"""WITH {flows('arrival', HALF_HOUR, more=SIZES)} SELECT {FLOW_COLUMNS}, len_min, len_max,
         CAST(bytes AS DOUBLE) / packets AS len_mean,
         sqrt(CAST(packets * squares - CAST(bytes AS HUGEINT) * bytes AS DOUBLE)) / packets AS len_deviation FROM flows""",
+    "flow_packet_gaps": f"""WITH {flows('arrival', DAY)},
+        steps AS (SELECT *, us - lag(us) OVER (PARTITION BY {KEY}, flow_no ORDER BY seq) AS gap FROM numbered),
+        gaps_of AS (SELECT {KEY}, min(seq) AS first_seq, min(gap) AS gap_min, max(gap) AS gap_max, count(gap) AS n,
+          sum(gap)::HUGEINT AS total, sum(gap::HUGEINT * gap)::HUGEINT AS squares FROM steps GROUP BY {KEY}, flow_no)
+        SELECT {', '.join('f.' + c for c in FLOW_COLUMNS.split(', '))}, gap_min, gap_max,
+          CASE WHEN n > 0 THEN CAST(total AS DOUBLE) / n END AS gap_mean,
+          CASE WHEN n > 0 THEN sqrt(CAST(n * squares - total * total AS DOUBLE)) / n END AS gap_deviation
+        FROM flows f JOIN gaps_of g ON f.capture_id = g.capture_id AND f.first_seq = g.first_seq""",
+    "flow_size_quantiles": f"""WITH {flows('arrival', DAY, more=QUANTILES)}
+        SELECT {FLOW_COLUMNS}, len_p50, len_p90, len_p99 FROM flows""",
+    "flow_tcp_flags": f"""WITH {flows('eager', DAY, more=FLAGS)} SELECT {FLOW_COLUMNS},
+        fin_packets, syn_packets, rst_packets, psh_packets, ack_packets, urg_packets FROM flows""",
     # The clients' end is the lesser one over IPv4; over IPv6 it is too, and every second packet goes back.
     "two_way_flows": f"""WITH {flows('eager', HALF_HOUR, more=DIRECTIONS)}
         SELECT {FLOW_COLUMNS}, forward_packets, forward_bytes FROM flows""",
@@ -264,6 +281,8 @@ ORACLE: dict[str, str] = {
     "parquet_roundtrip": f"WITH {flows('eager', DAY)} {features('is_closed')}",
     "stream_features": f"""WITH {flows('eager', DAY, capture="'all'")} {features('is_closed')}""",
     "stream_table_features": f"WITH {flows('eager', DAY)} {features('is_closed')}",
+    "stream_arrival_features": f"WITH {flows('arrival', HALF_HOUR)} {features('is_closed')}",
     "stream_active_flows": f"WITH {flows('arrival', DAY)} {ACTIVE}",
 }
 ORACLE["stream_capture_files"] = ORACLE["capture_files"]
+ORACLE["stream_latest_packets"] = ORACLE["latest_packets"]

@@ -7,7 +7,7 @@ over ``events`` can tell the expected result.
 * capture ``user_id % 8``, arrival position ``event_id``, time ``ts``;
 * users whose id divides by 3 speak IPv6, the others IPv4 with 0, 1 or 2 words
   of header options (``event_id % 3``);
-* even users speak TCP to port 443, odd users UDP to port 53;
+* even users speak TCP to port 443 with flags ``event_id % 64``, odd users UDP to port 53;
 * ``error`` events are traffic that makes no flow. By ``event_id % 4``: an ICMP
   message, an ARP frame, a VLAN-tagged frame, or a protocol without ports.
 """
@@ -84,7 +84,8 @@ def event_frames(events: DataFrame) -> DataFrame:
         '0000', {_hex('ip', 8)}, '0A010000', repeat('01010101', option_words))"""
     ip6 = f"concat('600000000000', {_hex('number', 2)}, {_hex('hop', 2)}, src6, dst6)"
     message = f"concat({_hex('message_type', 2)}, {_hex('message_code', 2)}, '000000000000')"
-    ports = f"concat({_hex('port', 4)}, {_hex('service', 4)}, IF(even, repeat('0', 32), '00000000'))"
+    tcp = f"concat(repeat('0', 16), '50', {_hex('event_id % 64', 2)}, repeat('0', 12))"
+    ports = f"concat({_hex('port', 4)}, {_hex('service', 4)}, IF(even, {tcp}, '00000000'))"
     return (
         _shaped(events)
         .selectExpr(
@@ -115,6 +116,7 @@ def event_packets(events: DataFrame) -> DataFrame:
         "NOT flowless AS has_transport",
         "CAST(IF(flowless, NULL, port) AS INT) AS src_port",
         "IF(flowless, NULL, service) AS dst_port",
+        "CAST(IF(flowless OR NOT even, NULL, event_id % 64) AS INT) AS tcp_flags",
         "flowless AND variant = 0 AND NOT v6 AS has_icmp",
         "flowless AND variant = 0 AND v6 AS has_icmpv6",
         "CAST(IF(flowless AND variant = 0, message_type, NULL) AS INT) AS icmp_type",

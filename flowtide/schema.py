@@ -29,6 +29,7 @@ PACKET_FIELDS = T.StructType(
         T.StructField("has_transport", T.BooleanType()),
         T.StructField("src_port", T.IntegerType()),
         T.StructField("dst_port", T.IntegerType()),
+        T.StructField("tcp_flags", T.IntegerType()),
         T.StructField("has_icmp", T.BooleanType()),
         T.StructField("has_icmpv6", T.BooleanType()),
         T.StructField("icmp_type", T.IntegerType()),

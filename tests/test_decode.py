@@ -46,7 +46,7 @@ SAMPLES = {
 def expected(frame: bytes) -> dict:
     """The rules, byte by byte."""
     out = dict.fromkeys(
-        "src_mac dst_mac src_ip dst_ip src_port dst_port icmp_type icmp_code src_ip6 dst_ip6".split()
+        "src_mac dst_mac src_ip dst_ip src_port dst_port tcp_flags icmp_type icmp_code src_ip6 dst_ip6".split()
     )
     out |= dict(ether_type=0, protocol=0, ttl=0)
     out |= dict.fromkeys("has_ipv4 has_ipv6 has_transport has_icmp has_icmpv6".split(), False)
@@ -70,6 +70,8 @@ def expected(frame: bytes) -> dict:
     if len(upper) >= {6: 20, 17: 8}.get(out["protocol"], 1 << 30):
         ports = struct.unpack(">HH", upper[:4])
         out |= dict(has_transport=True, src_port=ports[0], dst_port=ports[1])
+        if out["protocol"] == 6:
+            out["tcp_flags"] = upper[13]
     if out["protocol"] == icmp[0] and len(upper) >= 8:
         out |= {icmp[1]: True, "icmp_type": upper[0], "icmp_code": upper[1]}
     return out

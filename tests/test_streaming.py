@@ -1,11 +1,24 @@
+import time
+
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
 
 import model
 from flowtide import build_flows, flow_features
 from flowtide.streaming.export import start_export, stream_flow_features, stream_flows
-from flowtide.streaming.flow_table import read_active_flows, start_flow_table
+from flowtide.streaming.flow_table import (
+    FlowTable,
+    _Sweep,
+    read_active_flows,
+    read_captures_seen,
+    read_features,
+    read_finished_flows,
+    read_late_frames,
+    read_latest_packets,
+    start_display,
+    start_flow_table,
+)
 from model import packet
 from test_flows import traffic
 
@@ -107,33 +120,91 @@ def test_export_equals_batch(spark, feed, tmp_path):
     assert features(spark.read.parquet(target)) == features(batch)
 
 
-@pytest.mark.parametrize("mode, disorder", [("arrival", 0), ("arrival", 60), ("eager", 0)])
+def table(feed, place, mode="arrival", **options):
+    """Run the flow table over all that was fed, with few stores: each costs a worker a batch."""
+    conf, name = feed.spark.conf, "spark.sql.shuffle.partitions"
+    old = conf.get(name)
+    conf.set(name, "2")
+    try:
+        query = start_flow_table(feed.stream(), place, mode, trigger={"availableNow": True}, shards=3, **options)
+    finally:
+        conf.set(name, old)
+    query.awaitTermination()
+    assert query.exception() is None
+    return query
+
+
+@pytest.mark.parametrize("mode, disorder", [("arrival", 60), ("eager", 0)])
 def test_flow_table_equals_batch(spark, feed, tmp_path, mode, disorder):
-    """Many small batches give what one run over all packets gives."""
+    """Many small batches give what one run over all packets gives; after each of them the open flows are right."""
     packets = traffic(31, 240, 600, disorder)
     for i in range(0, 240, 60):
         feed.add(packets[i : i + 60])
-    ticks = []
     place = str(tmp_path / "table")
-    query = start_flow_table(
-        feed.stream(),
-        place,
-        mode,
-        publish=lambda t: ticks.append((t.batch_id, t.active.count(), t.latest.agg(F.max("seq")).first()[0])),
-        trigger={"availableNow": True},
-    )
-    query.awaitTermination()
-    assert query.exception() is None
+    table(feed, place, mode)
     flows = build_flows(model.packets_df(spark, packets), mode)
-    assert features(spark.read.parquet(place + "/features").drop("batch_id")) == features(flow_features(flows))
+    assert features(read_features(spark, place)) == features(flow_features(flows))
     still_open = flows.filter("NOT is_closed").selectExpr("capture_id", "src_port", "packets", "bytes")
-    active = read_active_flows(spark, place, ticks[-1][0])
+    active = read_active_flows(spark, place)
     assert features(active.select("capture_id", "src_port", "packets", "bytes")) == features(still_open)
-    for batch_id, count, latest in ticks:
-        seen = packets[60 * batch_id : 60 * (batch_id + 1)]
-        assert latest == max(p["seq"] for p in seen if p["key"] is not None)
+    for batch_id in range(4):
         _, expected = (model.arrival if mode == "arrival" else model.eager)(packets[: 60 * (batch_id + 1)], 30)
-        assert count == len(expected)
+        assert read_active_flows(spark, place, batch_id).count() == len(expected)
+    seen = {r.capture_id: r.frames for r in read_captures_seen(spark, place).collect()}
+    assert seen == {c: sum(p["capture"] == c for p in packets) for c in {p["capture"] for p in packets}}
+
+
+def test_captures_have_clocks_of_their_own(spark, feed, tmp_path):
+    """Eight captures of different speed in one stream, the fast ones days ahead of the slow."""
+    packets = []
+    for c in range(8):
+        for i in range(40):
+            at = i * 3.5 * (1 + c * c) + c * 5000
+            packets.append(packet(1000 * c + i, at, key=None if i % 9 == 0 else 1 + i % 3, capture=f"c{c}"))
+    for part in range(4):
+        feed.add([p for p in packets if p["seq"] % 1000 // 10 == part])
+    for mode in ("eager", "arrival"):
+        place = str(tmp_path / mode)
+        table(feed, place, mode)
+        flows = build_flows(model.packets_df(spark, packets), mode)
+        assert features(read_features(spark, place)) == features(flow_features(flows))
+        assert read_active_flows(spark, place).count() == flows.filter("NOT is_closed").count()
+
+
+@pytest.mark.parametrize("delay", [60])
+def test_flows_and_late_frames_are_all_packets(spark, feed, tmp_path, delay):
+    """In event time, a frame further behind the clock than the delay is told as late, not lost."""
+    packets = traffic(33, 200, 900, 0)
+    moved = packets[:50] + packets[100:150] + packets[50:100] + packets[150:]
+    for i in range(0, 200, 50):
+        feed.add(moved[i : i + 50])
+    place = str(tmp_path / "table")
+    table(feed, place, "eager", delay_seconds=delay)
+    late = read_late_frames(spark, place).collect()
+    told = [r.packets for r in read_finished_flows(spark, place).collect()] + [r.packets for r in read_active_flows(spark, place).collect()]
+    assert sum(told) + len(late) == sum(p["key"] is not None for p in packets)
+    clocks, expected = {}, []
+    for i in range(0, 200, 50):
+        before = dict(clocks)
+        for p in moved[i : i + 50]:
+            second = p["us"] // 10**6
+            if p["key"] is not None and second < before.get(p["capture"], -(10**9)) - delay:
+                expected.append(p["seq"])
+            clocks[p["capture"]] = max(clocks.get(p["capture"], -(10**9)), second)
+    assert sorted(r.first_seq for r in late) == sorted(expected) and len(expected) > 5
+
+
+def test_a_delay_long_enough_gives_the_batch_result(spark, feed, tmp_path):
+    packets = traffic(35, 160, 700, 0)
+    moved = packets[40:80] + packets[:40] + packets[80:]
+    for i in range(0, 160, 40):
+        feed.add(moved[i : i + 40])
+    feed.add([packet(9000, 10_000, key=None, capture=c) for c in {p["capture"] for p in packets}])
+    place = str(tmp_path / "table")
+    table(feed, place, "eager", delay_seconds=800)
+    assert read_late_frames(spark, place).count() == 0
+    flows = build_flows(model.packets_df(spark, packets), "eager")
+    assert features(read_features(spark, place)) == features(flow_features(flows, include_open=True))
 
 
 def test_late_packets_inside_an_open_flow(spark, feed, tmp_path):
@@ -143,9 +214,8 @@ def test_late_packets_inside_an_open_flow(spark, feed, tmp_path):
     feed.add(long)
     feed.add(late)
     place = str(tmp_path / "table")
-    start_flow_table(feed.stream(), place, "eager", trigger={"availableNow": True}).awaitTermination()
-    active = read_active_flows(spark, place, 1).collect()
-    assert [r["packets"] for r in active] == [44]
+    table(feed, place, "eager", delay_seconds=1000)
+    assert [r["packets"] for r in read_active_flows(spark, place).collect()] == [44]
 
 
 def test_restart_goes_on_where_it_stopped(spark, feed, tmp_path):
@@ -153,54 +223,107 @@ def test_restart_goes_on_where_it_stopped(spark, feed, tmp_path):
     place = str(tmp_path / "table")
     for i in (0, 80):
         feed.add(packets[i : i + 80])
-        start_flow_table(feed.stream(), place, trigger={"availableNow": True}).awaitTermination()
+        table(feed, place)
     flows = build_flows(model.packets_df(spark, packets), "arrival")
-    assert features(spark.read.parquet(place + "/features").drop("batch_id")) == features(flow_features(flows))
+    assert features(read_features(spark, place)) == features(flow_features(flows))
 
 
-def test_display_is_refreshed_apart_from_the_flows(spark, feed, tmp_path):
-    """Batches come every second, the display asks for every third."""
-    for i in range(6):
-        feed.add([packet(10 * i, 10 * i), packet(10 * i + 1, 10 * i, key=i)])
-    ticks, seconds = [], iter(range(1000))
-    place = str(tmp_path / "table")
-    start_flow_table(
-        feed.stream(), place, publish=lambda t: ticks.append(t.batch_id), trigger={"availableNow": True},
-        refresh_seconds=5, now=lambda: next(seconds),
-    ).awaitTermination()
-    assert 1 < len(ticks) < 6
-    assert sum(r["packets"] for r in read_active_flows(spark, place, 5).collect()) + sum(
-        r["packets"] for r in spark.read.parquet(place + "/features").collect()
-    ) == 12
-
-
-def test_captures_that_are_over_are_exported_and_dropped(spark, feed, tmp_path):
-    feed.add([packet(0, 0, capture="old"), packet(0, 0, capture="new")])
-    place, wall = str(tmp_path / "table"), [0.0]
-    for i in range(1, 4):
-        start_flow_table(
-            feed.stream(), place, trigger={"availableNow": True}, now=lambda: wall[0], end_after_seconds=100
-        ).awaitTermination()
-        wall[0] += 60
+def test_latest_packet_of_a_silent_capture_stays(spark, feed, tmp_path):
+    feed.add([packet(0, 0, capture="old"), packet(1, 1, key=None, capture="old")])
+    for i in range(4):
         feed.add([packet(i, i, capture="new")])
-    assert [r["capture_id"] for r in read_active_flows(spark, place, 2).collect()] == ["new"]
-    exported = spark.read.parquet(place + "/features").collect()
-    assert [(r["packets"], r["bytes"]) for r in exported] == [(1, 100)]
-    clocks = spark.read.parquet(place + "/state/0/clocks")
-    assert {r["capture_id"]: r["ended"] for r in clocks.collect()} == {"old": True, "new": False}
-
-
-def test_failing_display_leaves_nothing_cached(spark, feed, tmp_path):
+    place = str(tmp_path / "table")
+    table(feed, place)
+    latest = {r.capture_id: (r.seq, r.src_port) for r in read_latest_packets(spark, place).collect()}
+    assert latest == {"old": (0, 1001), "new": (3, 1001)}
+
+
+def test_display_goes_on_while_no_frame_comes(spark, feed, tmp_path):
+    """It has a clock of its own, asks no more often than it should, and stops when told."""
+    feed.add([packet(0, 0), packet(1, 5, key=2)])
+    place, ticks = str(tmp_path / "table"), []
+    table(feed, place)
+    display = start_display(spark, place, lambda t: ticks.append((time.monotonic(), t.active.count())), refresh_seconds=2.0)
+    until = time.monotonic() + 40
+    while len(ticks) < 3 and time.monotonic() < until:
+        time.sleep(0.1)
+    display.stop()
+    assert display.failed is None and [n for _, n in ticks[:3]] == [2, 2, 2]
+    assert all(b - a >= 1.5 for (a, _), (b, _) in zip(ticks, ticks[1:]))
+
+
+def test_a_failing_display_keeps_its_error_and_the_table(spark, feed, tmp_path):
     feed.add([packet(0, 0)])
+    place = str(tmp_path / "table")
+    table(feed, place)
 
     def fail(tick):
         raise RuntimeError("no display")
 
-    before = spark.sparkContext._jsc.getPersistentRDDs().size()
-    query = start_flow_table(feed.stream(), str(tmp_path / "t"), publish=fail, trigger={"availableNow": True})
-    with pytest.raises(Exception, match="no display"):
-        query.awaitTermination()
-    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    display = start_display(spark, place, fail)
+    display.join(30)
+    assert "no display" in str(display.failed) and read_active_flows(spark, place).count() == 1
+
+
+def test_captures_that_are_over_are_finished_and_dropped(spark, feed, tmp_path):
+    feed.add([packet(0, 0, capture="old"), packet(0, 0, key=2, capture="new")])
+    place = str(tmp_path / "table")
+    with pytest.raises(ValueError, match="wall clock"):
+        start_flow_table(feed.stream(), place, end_after_seconds=3, trigger={"availableNow": True})
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    query = start_flow_table(feed.stream(), place, end_after_seconds=3, trigger={"processingTime": "1 second"}, shards=2)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        until = time.monotonic() + 60
+        while time.monotonic() < until and (not query.lastProgress or read_finished_flows(spark, place).count() < 2):
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert sorted((r["capture_id"], r["packets"]) for r in read_finished_flows(spark, place).collect()) == [("new", 1), ("old", 1)]
+    assert read_active_flows(spark, place).count() == 0
+
+
+class Store:
+    """State in memory that counts what is asked of it."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        self.held.pop(key, None)
+
+
+def test_a_batch_costs_what_it_touches():
+    """With thousands of open flows, a batch of one packet asks the store for a few values."""
+    state = FlowTable(False, 30, 0, None)
+    state.flows, state.due = Store(), Store()
+
+    def batch(clock, waits, rows):
+        frame = pd.DataFrame(rows, columns=["key", "seq", "us", "len", "sec"])
+        sweep = _Sweep(state, clock, waits)
+        sweep.take(frame, frame[["seq", "sec"]].iloc[-1:])
+        sweep.end()
+        return sweep
+
+    first = batch(None, [], [(f"k{i}", i, i, 60, 1000 + i // 500) for i in range(5000)])
+    assert len(state.flows.held) == 5000 and not first.done
+    state.flows.calls = state.due.calls = 0
+    second = batch(first.clock, first.waits, [("k7", 6000, 0, 60, 1010)])
+    assert state.flows.calls + state.due.calls <= 6 and not second.done
+    # Flows end when the clock gets there, and only those that end are looked at.
+    state.flows.calls = state.due.calls = 0
+    third = batch(second.clock, second.waits, [("k8", 6001, 0, 60, 1031)])
+    assert sorted(int(k[1:]) // 500 for k, _, _ in third.done) == [0] * 498 + [1] * 500
+    assert state.flows.calls + state.due.calls < 4 * 1000
 
 
 @pytest.mark.parametrize("capture", [None, "a"])
