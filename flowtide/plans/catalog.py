@@ -37,7 +37,8 @@ from ..operators.flows import (
     two_way,
 )
 from ..schema import FLOW_KEY
-from ..sources.captures import read_captures, stream_captures
+from ..sources.capture_stream import stream_captures
+from ..sources.captures import read_captures
 from ..sources.frames import stream_frames, with_snaplen
 from ..sources.scratch import shared_folder
 from ..sources.sinks import read_features_csv, write_features_csv, write_features_parquet
@@ -173,13 +174,14 @@ def capture_files(spark, sf_dir):
     return _digests(read_captures(spark, folder, capture_by="directory", split_bytes=1 << 16))
 
 
-def _digests(frames: DataFrame) -> DataFrame:
+def _digests(frames: DataFrame, *more: str) -> DataFrame:
     return frames.select(
         F.substring_index("capture_id", "/", -1).alias("capture"),
         F.unix_micros("ts").alias("us"),
         "caplen",
         "len",
         F.md5(F.hex("frame")).alias("digest"),
+        *more,
     )
 
 
@@ -189,7 +191,8 @@ def stream_capture_files(spark, sf_dir):
     stream_captures(spark, f"{folder}/in", capture_by="directory").writeStream.format("parquet").option(
         "path", f"{folder}/frames"
     ).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return _digests(spark.read.parquet(f"{folder}/frames"))
+    frames = spark.read.parquet(f"{folder}/frames")
+    return _digests(frames, "seq")
 
 
 # Text ---------------------------------------------------------------------

@@ -284,5 +284,7 @@ ORACLE: dict[str, str] = {
     "stream_arrival_features": f"WITH {flows('arrival', HALF_HOUR)} {features('is_closed')}",
     "stream_active_flows": f"WITH {flows('arrival', DAY)} {ACTIVE}",
 }
-ORACLE["stream_capture_files"] = ORACLE["capture_files"]
+ORACLE["stream_capture_files"] = ORACLE["capture_files"].replace(
+    "md5(d.digits) AS digest", "md5(d.digits) AS digest, row_number() OVER (PARTITION BY p.capture_id ORDER BY p.seq) - 1 AS seq"
+)
 ORACLE["stream_latest_packets"] = ORACLE["latest_packets"]

@@ -35,8 +35,6 @@ from .scratch import shared_folder
 SPLIT_BYTES = 128 << 20
 #: Tasks that a read is dealt to at most; a task reads several splits if need be.
 MOST_TASKS = 1 << 14
-#: Positions between files of a streamed folder, for each millisecond between them.
-STREAM_STRIDE = 1 << 20
 
 _CHUNK = 4 << 20
 _BATCH_BYTES = 8 << 20
@@ -322,38 +320,3 @@ def read_captures(
     # tiny rows, each of which stands for a lot of reading.
     work = splits.select("path", "capture_id", "start", "split_stop", seq.alias("seq"))
     return work.repartition(tasks).mapInArrow(_read_splits(snaplen, headers_only), FRAMES)
-
-
-def stream_captures(
-    spark: SparkSession,
-    path: str,
-    snaplen: int | None = SNAPLEN,
-    max_files_per_trigger: int | None = None,
-    capture_by: str = "file",
-) -> DataFrame:
-    """Frames of capture files as they appear in ``path``, one task per file.
-
-    ``snaplen`` is as in :func:`read_captures`. ``capture_by="directory"`` makes the
-    rotated files of a folder one capture: positions follow the time a file was
-    last written, ``STREAM_STRIDE`` for each millisecond, so a file may hold that
-    many records for each millisecond until the next one.
-    """
-    if capture_by not in ("file", "directory"):
-        raise ValueError(f"unknown capture_by {capture_by!r}: use 'file' or 'directory'")
-    ship_package(spark)
-    reader = (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length bigint, content binary")
-        .option("recursiveFileLookup", True)
-    )
-    if max_files_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    one = capture_by == "directory"
-    files = reader.load(path).select(
-        "path",
-        (F.regexp_replace("path", "/[^/]*$", "") if one else F.col("path")).alias("capture_id"),
-        F.lit(FILE_HEADER).cast("bigint").alias("start"),
-        F.col("length").alias("split_stop"),
-        (F.unix_millis("modificationTime") * F.lit(STREAM_STRIDE) if one else F.lit(0).cast("bigint")).alias("seq"),
-    )
-    return files.mapInArrow(_read_splits(snaplen), FRAMES)

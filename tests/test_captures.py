@@ -4,7 +4,8 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from flowtide.sources.captures import MOST_TASKS, natural_order, plan_splits, read_captures, stream_captures
+from flowtide.sources.capture_stream import stream_captures
+from flowtide.sources.captures import MOST_TASKS, natural_order, plan_splits, read_captures
 from flowtide.sources.frames import with_snaplen
 
 HEADS = {  # byte order, magic, fraction units per second
@@ -167,22 +168,44 @@ def test_headers_only_give_the_same_flows(spark, tmp_path):
         assert sorted(map(str, whole.collect())) == sorted(map(str, light.collect())) and whole.count() > 1
 
 
+def take_in(spark, source, place, **options):
+    """All that is there, as a stream that goes on from the last time."""
+    stream_captures(spark, str(source), **options).writeStream.format("parquet").option("path", f"{place}/out").option(
+        "checkpointLocation", f"{place}/cp"
+    ).trigger(availableNow=True).start().awaitTermination()
+    return rows(spark.read.parquet(f"{place}/out"))
+
+
 def test_stream_of_rotated_files_is_one_capture(spark, tmp_path):
+    """Positions are dense and in natural order, though all files have one time."""
     import os
 
     source = tmp_path / "in"
     source.mkdir()
-    first, second = make(4, 1), make(5, 2)
-    for i, (name, records) in enumerate((("x.9", first), ("x.10", second))):
+    parts = [make(4, 1), make(5, 2), make(3, 3)]
+    for name, records in zip(("x.2", "x.9", "x.10"), parts):
         (source / name).write_bytes(pcap(records))
-        os.utime(source / name, (1_700_000_000 + i, 1_700_000_000 + i))
-    stream_captures(spark, str(source), capture_by="directory").writeStream.format("parquet").option(
-        "path", str(tmp_path / "out")
-    ).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    got = rows(spark.read.parquet(str(tmp_path / "out")))
+        os.utime(source / name, (1_700_000_000, 1_700_000_000))
+    got = take_in(spark, source, tmp_path, capture_by="directory", split_bytes=500)
+    assert got == want("in", parts[0] + parts[1] + parts[2])
     batch = rows(read_captures(spark, str(source), capture_by="directory"))
     assert [(r[0], *r[2:]) for r in got] == [(r[0], *r[2:]) for r in batch]
-    assert [r[4] for r in got] == [body for _, _, body in first + second]
+
+
+def test_stream_of_growing_files_and_late_names(spark, tmp_path):
+    """A record that is cut waits for its rest; files that grow and names that come late go on at the next position."""
+    source = tmp_path / "in"
+    source.mkdir()
+    a, b, late = make(6, 1), make(4, 2), make(3, 3)
+    (source / "x.5").write_bytes(pcap(a[:3], cut=7))
+    assert take_in(spark, source, tmp_path, capture_by="directory") == want("in", a[:2])
+    (source / "x.5").write_bytes(pcap(a))
+    (source / "x.6").write_bytes(pcap(b[:1]))
+    assert take_in(spark, source, tmp_path, capture_by="directory") == want("in", a + b[:1])
+    (source / "x.1").write_bytes(pcap(late))
+    (source / "x.6").write_bytes(pcap(b))
+    (source / "x.7").write_bytes(b"short")
+    assert take_in(spark, source, tmp_path, capture_by="directory") == want("in", a + b[:1] + late + b[1:])
 
 
 def test_capture_stream(spark, tmp_path):
