@@ -24,12 +24,13 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from ..schema import FRAMES
 from ..ship import ship_package
-from . import captures, files
+from .captures import FILE_HEADER, SPLIT_BYTES, _Capture, _read_splits
+from .files import locate
 from .frames import SNAPLEN
 
 # The process that plans a stream does not get what was shipped to the tasks.
-for _module in (sys.modules[__name__], captures, files):
-    cloudpickle.register_pickle_by_value(_module)
+for _name in (__name__, _Capture.__module__, locate.__module__):
+    cloudpickle.register_pickle_by_value(sys.modules[_name])
 
 
 @dataclass
@@ -62,12 +63,12 @@ class CaptureStream(DataSourceStreamReader):
         return {}
 
     def _files(self) -> list[str]:
-        system, root = files.locate(self.path)
+        system, root = locate(self.path)
         prefix = self.path[: self.path.index("://") + 3] if "://" in self.path else "file:"
         if system.get_file_info(root).type == fs.FileType.File:
             return [prefix + root]
         found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
-        names = (f for f in found if f.type == fs.FileType.File and f.size >= captures.FILE_HEADER)
+        names = (f for f in found if f.type == fs.FileType.File and f.size >= FILE_HEADER)
         return sorted((prefix + f.path for f in names if not f.base_name.startswith((".", "_"))), key=natural)
 
     def latestOffset(self) -> dict:
@@ -78,9 +79,9 @@ class CaptureStream(DataSourceStreamReader):
                 if self.known is not None and self.most_files and begun >= self.most_files:
                     continue
                 begun += 1
-            start, records = known.get(path, (captures.FILE_HEADER, 0))
+            start, records = known.get(path, (FILE_HEADER, 0))
             marks, last = [(start, records)], start
-            with captures._Capture(path) as capture:
+            with _Capture(path) as capture:
                 for record in capture.records(start, 1 << 62):
                     start, records = record[0], records + 1
                     if start - last >= self.split_bytes:
@@ -97,7 +98,7 @@ class CaptureStream(DataSourceStreamReader):
             following[capture] = following.get(capture, 0) + records
         out = []
         for path in sorted(end, key=natural):
-            begin, before = start.get(path, (captures.FILE_HEADER, 0))
+            begin, before = start.get(path, (FILE_HEADER, 0))
             stop, records = end[path]
             if records == before:
                 continue
@@ -114,7 +115,7 @@ class CaptureStream(DataSourceStreamReader):
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         split = {"path": partition.path, "capture_id": partition.capture_id, "start": partition.start, "split_stop": partition.stop, "seq": partition.seq}
-        return captures._read_splits(self.snaplen)(iter([pa.RecordBatch.from_pylist([split])]))
+        return _read_splits(self.snaplen)(iter([pa.RecordBatch.from_pylist([split])]))
 
     def commit(self, end: dict) -> None:
         pass
@@ -138,7 +139,7 @@ class CaptureSource(DataSource):
             None if snaplen == "none" else int(snaplen),
             option("captureBy", "file") == "directory",
             int(option("maxFilesPerTrigger", "0")) or None,
-            int(option("splitBytes", str(captures.SPLIT_BYTES))),
+            int(option("splitBytes", str(SPLIT_BYTES))),
         )
 
 
@@ -148,7 +149,7 @@ def stream_captures(
     snaplen: int | None = SNAPLEN,
     max_files_per_trigger: int | None = None,
     capture_by: str = "file",
-    split_bytes: int = captures.SPLIT_BYTES,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """Frames of capture files as they appear in ``path`` and grow.
 
