@@ -180,7 +180,7 @@ def _steps(templates: Mapping[str, Sequence[str]], threshold: float) -> list[tup
         ("words", "split(trim(regexp_replace(lower(text), '[^\\\\p{L}\\\\p{N}]+', ' ')), ' ')"),
         ("grams", "if(size(words) < 2, array(), transform(sequence(0, size(words) - 2), i -> concat(words[i], ' ', words[i + 1])))"),
         ("seen", f"array_intersect(grams, {_array(everything)})"),
-        ("near", f"filter(array({known}), t -> size(array_intersect(seen, t.grams)) >= t.least)"),
+        ("near", f"filter(array({known}), t -> size(seen) >= t.least AND size(array_intersect(seen, t.grams)) >= t.least)"),
         ("found", f"filter(transform(near, t -> {best}), m -> -m.less >= {threshold!r}D)"),
         # Of licences that overlap in a text, the better one counts.
         (
