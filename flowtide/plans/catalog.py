@@ -39,6 +39,7 @@ from ..operators.flows import (
 from ..schema import FLOW_KEY
 from ..sources.capture_stream import stream_captures
 from ..sources.captures import read_captures
+from ..sources.csv_export import read_csv_export, start_csv_export
 from ..sources.frames import stream_frames, with_snaplen
 from ..sources.scratch import shared_folder
 from ..sources.sinks import read_features_csv, write_features_csv, write_features_parquet
@@ -412,6 +413,15 @@ def stream_features(spark, sf_dir):
     return spark.read.parquet(f"{folder}/data")
 
 
+def stream_csv_export(spark, sf_dir):
+    folder = shared_folder(spark, "stream-csv")
+    features = stream_flow_features(_one_capture(_packet_stream(spark, sf_dir)), "0 seconds", DAY)
+    start_csv_export(
+        features, f"{folder}/data", f"{folder}/checkpoint", trigger={"availableNow": True}
+    ).awaitTermination()
+    return read_csv_export(spark, f"{folder}/data")
+
+
 def _run_flow_table(spark, sf_dir, mode, packets=None, idle=DAY):
     folder = shared_folder(spark, "flow-table")
     packets = _packet_stream(spark, sf_dir) if packets is None else packets
@@ -482,6 +492,7 @@ QUERIES: dict[str, Query] = {
         parquet_roundtrip,
         stream_capture_files,
         stream_features,
+        stream_csv_export,
         stream_table_features,
         stream_arrival_features,
         stream_active_flows,

@@ -280,6 +280,7 @@ ORACLE: dict[str, str] = {
           CAST("dstPort" AS VARCHAR) AS "dstPort", CAST(protocol AS VARCHAR) AS protocol FROM f""",
     "parquet_roundtrip": f"WITH {flows('eager', DAY)} {features('is_closed')}",
     "stream_features": f"""WITH {flows('eager', DAY, capture="'all'")} {features('is_closed')}""",
+    "stream_csv_export": f"""WITH {flows('eager', DAY, capture="'all'")} {features('is_closed')}""",
     "stream_table_features": f"WITH {flows('eager', DAY)} {features('is_closed')}",
     "stream_arrival_features": f"WITH {flows('arrival', HALF_HOUR)} {features('is_closed')}",
     "stream_active_flows": f"WITH {flows('arrival', DAY)} {ACTIVE}",
