@@ -12,7 +12,8 @@ its add-one count::
    token. All tokens count; nothing is cut off.
 2. Texts become rows of class numbers with their rarer tokens, stored once.
 3. Baum-Welch: each round, tasks run the scaled forward-backward recursion over
-   batches of segments and return expected counts, which are summed over partitions.
+   batches of segments and return expected counts of the classes that they saw, which
+   are summed over partitions in two steps: first those of some tasks, then all.
    (For training only, texts are cut into segments of ``SEGMENT`` tokens; later
    segments of a text start from the overall shares of the states.)
 4. The scaled forward recursion over whole texts gives their exact likelihood; the
@@ -21,6 +22,7 @@ its add-one count::
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from math import isqrt
 from zlib import crc32
 
 import numpy as np
@@ -144,9 +146,9 @@ class Parameters:
         emits = np.zeros((len(shares), states))
         for block, values in counts.items():
             if block >= 0:
-                part = values.reshape(-1, states)
-                emits[block * BLOCK : block * BLOCK + len(part)] = part
-        rest = counts.get(-1, np.zeros((states + 2, states))).reshape(states + 2, states) + 0.1
+                part = emits[block * BLOCK : (block + 1) * BLOCK]
+                part[:] = values[: len(part)]
+        rest = counts.get(-1, np.zeros((BLOCK, states)))[: states + 2] + 0.1
         normal = rest / rest.sum(1, keepdims=True)
         types = (emits > 0.5).sum(0)
         emits += np.maximum(PRIOR, NEW * types) * shares[:, None]
@@ -210,21 +212,36 @@ def _expected(batches: Iterable[pa.RecordBatch], p: Parameters) -> Iterator[pa.R
         for low in range(0, len(order), TOGETHER):
             some = order[low : low + TOGETHER]
             expected_counts([pieces[i] for i in some], np.array([begins[i] for i in some]), p, emitted, rest)
-    blocks = [emitted[low : low + BLOCK].tobytes() for low in range(0, len(emitted), BLOCK)]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([-1, *range(len(blocks))], pa.int32()), pa.array([rest.tobytes(), *blocks], pa.binary())], names=["block", "counts"]
-    )
+    yield _blocks({-1: rest} | {low // BLOCK: emitted[low : low + BLOCK] for low in range(0, len(emitted), BLOCK)})
+
+
+#: Expected counts of a block of classes: the lines that hold any, and their counts.
+COUNTS = "block int, lines binary, counts binary"
 
 
-def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    columns: tuple[list, list, list] = ([], [], [])
+    for block, values in counts.items():
+        lines = np.flatnonzero(values.any(1))
+        if len(lines):
+            for column, value in zip(columns, (block, lines.astype(np.uint16).tobytes(), values[lines].tobytes())):
+                column.append(value)
+    arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(arrays, names=["block", "lines", "counts"])
+
+
+def _add(totals: dict[int, np.ndarray], block: int, lines: bytes, counts: bytes, states: int) -> None:
+    if block not in totals:
+        totals[block] = np.zeros((BLOCK, states))
+    totals[block][np.frombuffer(lines, np.uint16)] += np.frombuffer(counts).reshape(-1, states)
+
+
+def _summed(batches: Iterable[pa.RecordBatch], states: int) -> Iterator[pa.RecordBatch]:
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
-        for block, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-            values = np.frombuffer(raw)
-            totals[block] = totals[block] + values if block in totals else values
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(totals.keys(), pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], names=["block", "counts"]
-    )
+        for block, lines, counts in zip(*(batch.column(n).to_pylist() for n in ("block", "lines", "counts"))):
+            _add(totals, block, lines, counts, states)
+    yield _blocks(totals)
 
 
 def log_likelihoods(texts: list[np.ndarray], p: Parameters) -> np.ndarray:
@@ -282,12 +299,19 @@ def fit(encoded: DataFrame, shares: np.ndarray, states: int = STATES, rounds: in
     """Baum-Welch over all rows of ``encoded`` (``classes``)."""
     spark = encoded.sparkSession
     p = Parameters.initial(shares, states)
+    pieces = encoded.select("classes")
+    # With the root of the number of tasks as lanes, no sum reads more than that many rows.
+    lanes = max(1, isqrt(pieces.rdd.getNumPartitions()))
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(p)  # 2**16 classes by states: 4 MB
-        parts = encoded.select("classes").mapInArrow(lambda it: _expected(it, shared.value), "block int, counts binary")
-        sums = parts.repartition("block").mapInArrow(_summed, "block int, counts binary")
-        # One row a block of classes, whatever the corpus.
-        p = Parameters.estimated({r.block: np.frombuffer(bytes(r.counts)) for r in sums.collect()}, shares, states)
+        parts = pieces.mapInArrow(lambda it: _expected(it, shared.value), COUNTS)
+        lane = F.pmod(F.spark_partition_id(), F.lit(lanes)).alias("lane")
+        some = parts.select("*", lane).repartition("block", "lane").mapInArrow(lambda it: _summed(it, states), COUNTS)
+        sums = some.repartition("block").mapInArrow(lambda it: _summed(it, states), COUNTS)
+        totals: dict[int, np.ndarray] = {}
+        for r in sums.collect():  # one row a block of classes, whatever the corpus
+            _add(totals, r.block, bytes(r.lines), bytes(r.counts), states)
+        p = Parameters.estimated(totals, shares, states)
         shared.destroy()
     return p
 

@@ -160,6 +160,31 @@ def test_forward_is_exact_and_rounds_gain():
     assert hidden_markov.log_likelihoods(texts, better).sum() > before
 
 
+def test_training_over_tasks_equals_one_machine(spark):
+    """Rounds over many tasks, in which most blocks of classes are not seen, against one batch."""
+    rng = np.random.default_rng(4)
+    classes = 3 * hidden_markov.BLOCK + 17
+    texts = [rng.integers(low, low + 9, rng.integers(1, 40)).astype(np.uint16) for low in rng.integers(0, classes - 9, 60)]
+    shares = np.bincount(np.concatenate(texts), minlength=classes) + 1.0
+    shares /= shares.sum()
+    want = hidden_markov.Parameters.initial(shares, 3)
+    for _ in range(3):
+        emitted, rest = np.zeros_like(want.emits), np.zeros((5, 3))
+        hidden_markov.expected_counts(sorted(texts, key=len, reverse=True), np.ones(len(texts), bool), want, emitted, rest)
+        blocks = {-1: np.vstack([rest, np.zeros((hidden_markov.BLOCK - 5, 3))])}
+        for low in range(0, classes, hidden_markov.BLOCK):
+            blocks[low // hidden_markov.BLOCK] = emitted[low : low + hidden_markov.BLOCK]
+        want = hidden_markov.Parameters.estimated(blocks, shares, 3)
+    hidden_markov.python_tasks(spark)
+    for rows in (texts, texts[:0]):
+        encoded = spark.createDataFrame([(bytearray(t.tobytes()),) for t in rows], "classes binary").repartition(12)
+        got = hidden_markov.fit(encoded, shares, 3, 3)
+        if not rows:
+            want = hidden_markov.Parameters.estimated({}, shares, 3)
+        for name in ("start", "carry", "moves", "emits"):
+            np.testing.assert_allclose(getattr(got, name), getattr(want, name), rtol=1e-9)
+
+
 @needs_tables
 def test_language_model_of_the_table(spark):
     rows = [(d, (t or "").encode().lower().split() + [b""]) for d, t in rows_of(table(spark, SF_DIR, "documents"))]
