@@ -5,6 +5,7 @@ import struct
 import pytest
 
 from flowtide import decode_packets
+from flowtide.schema import FRAMES, PACKET_FIELDS
 
 ETHER = bytes.fromhex("AABBCCDDEEFF112233445566")
 
@@ -139,3 +140,9 @@ def test_filter_keeps_the_scan_compiled(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue())]
     assert sizes and max(sizes) < 8000
+
+
+def test_columns_of_packets(spark):
+    packets = decode_packets(spark.createDataFrame([], FRAMES))
+    added = [(f.name, f.dataType) for f in packets.schema if f.name not in FRAMES.names]
+    assert added == [(f.name, f.dataType) for f in PACKET_FIELDS]

@@ -10,7 +10,7 @@ from flowtide.functions.text import six_digits
 from flowtide.schema import FEATURES
 from flowtide.sources.sinks import read_features_csv, write_features_csv, write_features_parquet
 
-# Exported rows: single packets by an older release (infinite rates) and by the
+# Fixed values of the file format. Exported rows: single packets by an older release (infinite rates) and by the
 # current one (zero rates), and flows that lasted.
 OLD = "0,1,74,inf,inf,74,38254,80,6"
 BURST = "0,1,74,0,0,74,38254,80,6"
