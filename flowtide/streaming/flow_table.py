@@ -1,11 +1,13 @@
 """A live flow table: open flows in Spark's state store, the display beside it.
 
 One stateful operator keeps the flows. Its groups are a capture and a shard of its flow
-keys, so a busy capture is many groups, and every shard knows the clock of its capture:
-tasks first reduce the frames of a batch to the few that move a clock, and these go to
-all shards. So captures have clocks of their own, a silent flow ends when its capture's
+keys, so a busy capture is many groups, and every shard knows the clock of its capture.
+In arrival order, tasks first note on each packet what the clock showed within its block of
+positions; all shards are told one clock a block. In event time they are told the latest
+clocks. So captures have clocks of their own, a silent flow ends when its capture's
 clock says so, and the cost of a batch follows the keys that it touches and the flows that
-end in it: open flows wait in the store under the second at which they may be over.
+end in it: open flows wait in the store under the second at which they may be over. A shard
+holds the packets of a batch in compact form and works on a bounded slice of them at a time.
 
 Finished flows and frames that came too late are rows of one file stream, each written
 once. Open flows, totals and latest packets are read from the store, by anybody, at any
@@ -44,6 +46,12 @@ INGEST = "1 second"
 SHARDS = 16
 #: Parts of the idle time by which flows wait; within the last one they wait by the second.
 WAITS = 64
+#: Blocks of ``1 << BLOCK_BITS`` positions of a capture are put in order by one task each.
+BLOCK_BITS = 16
+#: Packets of a shard that are worked on at a time.
+SLICE = 1 << 15
+#: Before any clock.
+NEVER = -(1 << 62)
 
 KEY = "ip_version int, src_ip long, dst_ip long, src_ip6 string, dst_ip6 string, src_port int, dst_port int, protocol int"
 MEASURES = ("packets", "bytes", "first_seq", "last_seq", "first_us", "last_us", "last_len", "entered", "last_sec")
@@ -53,67 +61,112 @@ CAPTURE = "clock long, frames long, latest_seq long, latest string, waits array<
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _latest_and_steps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each capture in a batch: the frames that move its clock, and the last packet of a flow with the frames' number."""
-    for batch in batches:
-        frame = batch.select(["capture_id", "seq", "sec", "eligible"]).to_pandas()
-        frame["at"] = np.arange(len(frame))
-        places, kinds, frames = [], [], []
-        for _, own in frame.groupby("capture_id", dropna=False, sort=False):
-            own = own.sort_values("seq", kind="stable")
-            sec = own["sec"].fillna(-np.inf)
-            steps = own["at"][(sec > sec.cummax().shift(1, fill_value=-np.inf)).to_numpy()]
-            flows = own["at"][own["eligible"].to_numpy()]
-            places += [*steps, flows.iloc[-1] if len(flows) else own["at"].iloc[-1]]
-            kinds += [1] * len(steps) + [2]
-            frames += [0] * len(steps) + [len(own)]
-        rest = batch.take(pa.array(places, pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [*rest.columns, pa.array(kinds, pa.int32()), pa.array(frames, pa.int64())],
-            names=[*rest.schema.names, "kind", "frames"],
-        )
-
-
-def _events(packets: DataFrame, shards: int) -> DataFrame:
-    """What the operator is fed: packets of flows (kind 0), clock steps (1) and notes on captures (2)."""
+def _notes(clocks: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each capture in a batch: the last packet of a flow with the frames' number, and with ``clocks`` the latest frame."""
+
+    def notes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            frame = batch.select(["capture_id", "seq", "sec", "eligible"]).to_pandas()
+            frame["at"] = np.arange(len(frame))
+            places, kinds, frames = [], [], []
+            for _, own in frame.groupby("capture_id", dropna=False, sort=False):
+                own = own.sort_values("seq", kind="stable")
+                latest = [own["at"].loc[own["sec"].idxmax()]] if clocks and own["sec"].notna().any() else []
+                flows = own["at"][own["eligible"].to_numpy()]
+                places += [*latest, flows.iloc[-1] if len(flows) else own["at"].iloc[-1]]
+                kinds += [1] * len(latest) + [2]
+                frames += [0] * len(latest) + [len(own)]
+            rest = batch.take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*rest.columns, pa.array(kinds, pa.int32()), pa.array(frames, pa.int64())],
+                names=[*rest.schema.names, "kind", "frames"],
+            )
+
+    return notes
+
+
+def _read_in_block(frames: pa.Table) -> pa.Table:
+    """Of a block of a capture: packets of flows (kind 0) with the block's clock before them, and its clock at the end (1)."""
+    frames = frames.sort_by("seq").combine_chunks()
+    seq = frames["seq"].to_numpy()
+    clock = np.maximum.accumulate(frames["sec"].fill_null(NEVER).to_numpy())
+    before = np.searchsorted(seq, seq, "left") - 1
+    kind, read = np.zeros(len(seq), np.int32), np.where(before >= 0, clock[before], NEVER)
+    told = frames.drop_columns(["block"]).append_column("kind", pa.array(kind)).append_column("read", pa.array(read))
+    told = told.filter(frames["key"].is_valid())
+    if clock[-1] == NEVER:
+        return told
+    block = frames["block"][0].as_py()
+    end = {"capture_id": frames["capture_id"][0].as_py(), "sec": int(clock[-1]), "kind": 1}
+    end["seq"] = None if block is None else ((block + 1) << BLOCK_BITS) - 1
+    return pa.concat_tables([told, pa.Table.from_pylist([end], told.schema)])
+
+
+def _events(packets: DataFrame, shards: int, arrival: bool) -> DataFrame:
+    """What the operator is fed: packets of flows (kind 0), clocks (1) and notes on captures (2)."""
     ship_package(packets.sparkSession)
     key = F.to_json(
         F.struct(
             *(F.hex(c).alias(c) if c.endswith("6") else F.col(c) for c in FLOW_KEY if c != "capture_id")
         )
     )
-    flow_packets = with_flow_key(packets).filter(ELIGIBLE).select(
-        "capture_id", "seq", F.unix_micros("ts").alias("us"), "len", F.unix_seconds("ts").alias("sec"), key.alias("key")
+    frames = with_flow_key(packets).select(
+        "capture_id", "seq", F.unix_micros("ts").alias("us"), "len", F.unix_seconds("ts").alias("sec"), F.when(F.expr(ELIGIBLE), key).alias("key")
     )
-    flow_packets = flow_packets.select(
+    if arrival:
+        layout = "capture_id string, seq long, us long, len long, sec long, key string, kind int, read long"
+        blocks = frames.withColumn("block", F.shiftright("seq", BLOCK_BITS)).groupBy("capture_id", "block")
+        told = blocks.applyInArrow(_read_in_block, layout)
+    else:
+        told = frames.where("key IS NOT NULL").selectExpr("*", "0 AS kind", f"{NEVER}L AS read")
+    of_key = F.array(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    all_shards = F.sequence(F.lit(0), F.lit(shards - 1))
+    told = told.select(
         "capture_id",
-        F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"),
-        F.lit(0).alias("kind"),
+        F.explode(F.when(F.col("kind") == 0, of_key).otherwise(all_shards)).alias("shard"),
+        "kind",
         "seq",
         "us",
         "len",
         "sec",
+        "read",
         "key",
         F.lit(0).cast("long").alias("frames"),
         F.lit(None).cast("string").alias("latest"),
     )
     timed = packets.selectExpr("*", "unix_seconds(ts) AS sec", f"coalesce({ELIGIBLE}, false) AS eligible")
     schema = T.StructType([*timed.schema.fields, *T.StructType.fromDDL("kind int, frames long").fields])
-    notes = packet_details(timed.mapInArrow(_latest_and_steps, schema), "kind", "frames", "sec", "eligible")
+    notes = packet_details(timed.mapInArrow(_notes(not arrival), schema), "kind", "frames", "sec", "eligible")
     details = [c for c in notes.columns if c not in ("kind", "frames", "sec", "eligible")]
     notes = notes.select(
         "capture_id",
-        F.explode(F.expr(f"if(kind = 1, sequence(0, {shards - 1}), array(-1))")).alias("shard"),
+        F.explode(F.when(F.col("kind") == 2, F.array(F.lit(-1))).otherwise(all_shards)).alias("shard"),
         "kind",
         "seq",
         F.lit(None).cast("long").alias("us"),
         F.lit(None).cast("long").alias("len"),
         "sec",
+        F.lit(None).cast("long").alias("read"),
         F.lit(None).cast("string").alias("key"),
         "frames",
         F.when((F.col("kind") == 2) & F.col("eligible"), F.to_json(F.struct(*details))).alias("latest"),
     )
-    return flow_packets.unionByName(notes)
+    return told.unionByName(notes)
+
+
+#: A packet of a flow as a shard holds it.
+PACKET = pa.schema([*((name, pa.int64()) for name in ("seq", "us", "len", "sec", "read")), ("key", pa.large_string())])
+
+
+def _sorted_out(rows: Iterable[pd.DataFrame]) -> tuple[pa.Table, pd.DataFrame]:
+    """Packets among the rows of a group, in compact form, and the other rows."""
+    packets, others = [], []
+    for part in rows:
+        own = part[(part["kind"] == 0) & part["sec"].notna()]
+        arrays = [pa.array(own[f.name] if f.name == "key" else own[f.name].astype("int64"), f.type) for f in PACKET]
+        packets.append(pa.RecordBatch.from_arrays(arrays, schema=PACKET))
+        others.append(part[part["kind"] > 0])
+    return pa.Table.from_batches(packets, PACKET).combine_chunks(), pd.concat(others, ignore_index=True)
 
 
 def _joined(a: list[int], b: list[int], eager: bool) -> list[int]:
@@ -142,16 +195,15 @@ class FlowTable(StatefulProcessor):
         self.capture = handle.getValueState("capture", CAPTURE)
 
     def handleInputRows(self, key, rows, timerValues):
-        rows = pd.concat(list(rows), ignore_index=True)
+        packets, rows = _sorted_out(rows)
         known = self.capture.get() if self.capture.exists() else (None, 0, None, None, [], None)
         clock, frames, latest_seq, latest, waits, timer = known
-        done: list[tuple] = []
         if self.end_after is not None:
             if timer is not None:
                 self.handle.deleteTimer(timer)
             timer = timerValues.getCurrentProcessingTimeInMs() + int(1000 * self.end_after)
             self.handle.registerTimer(timer)
-        steps = rows[(rows["kind"] > 0) & rows["sec"].notna()].sort_values("seq")
+        steps = rows[rows["sec"].notna()].sort_values("seq")
         if key[1] < 0:
             frames += int(rows["frames"].sum())
             told = rows[rows["latest"].notna()]
@@ -161,12 +213,17 @@ class FlowTable(StatefulProcessor):
             clock = max([c for c in (clock, *steps["sec"].astype("int64")) if c is not None], default=None)
         else:
             sweep = _Sweep(self, clock, waits or [])
-            sweep.take(rows[rows["kind"] == 0], steps)
-            sweep.end()
-            clock, waits, done = sweep.clock, sorted(sweep.waits), sweep.done
+            places = [packets[c].to_numpy() for c in (("seq", "sec") if self.eager else ("seq",))]
+            order = pa.array(np.lexsort(places))
+            for start in range(0, max(len(order), 1), SLICE):
+                part = packets.take(order[start : start + SLICE]).to_pandas()
+                sweep.take(part, steps, start + SLICE >= len(order))
+                sweep.end()
+                if sweep.done:
+                    yield _finished(key[0], sweep.done)
+                    sweep.done = []
+            clock, waits = sweep.clock, sorted(sweep.waits)
         self.capture.update((clock, frames, latest_seq, latest, list(waits or []), timer))
-        if done:
-            yield _finished(key[0], done)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """The capture is over: its open flows end, and nothing is kept of it."""
@@ -184,7 +241,7 @@ class _Sweep:
     """The work of one batch on one shard."""
 
     def __init__(self, table: FlowTable, clock: int | None, waits: list[int]):
-        self.table, self.before, self.clock = table, clock, clock
+        self.table, self.before, self.clock, self.last = table, clock, clock, clock
         self.waits, self.fresh, self.done = set(waits), {}, []
 
     def load(self, key: str) -> list[list[int]]:
@@ -208,21 +265,36 @@ class _Sweep:
         early = due - due % self.table.coarse
         self.fresh.setdefault(early if self.clock is None or early > self.clock else due, set()).add(key)
 
-    def take(self, packets: pd.DataFrame, steps: pd.DataFrame) -> None:
+    def take(self, packets: pd.DataFrame, steps: pd.DataFrame, whole: bool = True) -> None:
+        """Packets, in the order of their mode over all calls; ``steps`` are the clocks of the batch.
+
+        Unless this makes the batch ``whole``, the clock goes as far only as no later packet can be behind it.
+        """
         table = self.table
         at, sec = steps["seq"].to_numpy(), np.maximum.accumulate(steps["sec"].to_numpy(np.int64)) if len(steps) else np.zeros(0, np.int64)
         if len(sec):
-            self.clock = int(sec[-1]) if self.before is None else max(self.before, int(sec[-1]))
-        packets = packets[packets["sec"].notna()].sort_values("seq")
+            self.last = int(sec[-1]) if self.before is None else max(self.before, int(sec[-1]))
+        packets = packets[packets["sec"].notna()].sort_values(["sec", "seq"] if table.eager else "seq")
         place = np.searchsorted(at, packets["seq"].to_numpy(), "left") - 1
-        least = -(1 << 62) if self.before is None else self.before
+        least = NEVER if self.before is None else self.before
         # What the clock showed when a packet came.
         entered = np.where(place >= 0, np.maximum(sec[np.maximum(place, 0)], least) if len(sec) else least, least)
-        packets = packets.assign(entered=entered)
-        for key, own in packets.groupby("key", sort=False):
+        if "read" in packets:
+            entered = np.maximum(entered, packets["read"].to_numpy())
+        if whole:
+            self.clock = self.last
+        elif table.eager:
+            self.clock = max(least, min(self.last, int(packets["sec"].iloc[-1]) + table.delay))
+        elif entered[-1] > NEVER:
+            self.clock = int(entered[-1])
+        by_key: dict[str, list[list[int]]] = {}
+        numbers = (packets[c].astype("int64").tolist() for c in ("seq", "us", "len", "sec"))
+        for key, *packet in zip(packets["key"], *numbers, entered.tolist()):
+            by_key.setdefault(key, []).append(packet)
+        for key, own in by_key.items():
             old = self.load(key)
             flows = [flow[:9] for flow in old]
-            for seq, us, length, second, read in zip(*(own[c].astype("int64").tolist() for c in ("seq", "us", "len", "sec", "entered"))):
+            for seq, us, length, second, read in own:
                 new = [1, length, seq, seq, us, us, length, second if table.eager else read, second]
                 flows = self._event(key, flows, new) if table.eager else self._arrival(key, flows, new, read)
             self.store(key, flows, len(old))
@@ -270,6 +342,7 @@ class _Sweep:
                 keys = keys | set(table.due.getValue((second,))[0])
             table.due.updateValue((second,), (sorted(keys),))
             self.waits.add(second)
+        self.fresh = {}
 
 
 def _finished(capture, done: list[tuple]) -> pd.DataFrame:
@@ -308,7 +381,7 @@ def start_flow_table(
         raise ValueError("captures end by the wall clock: use a processing-time trigger")
     table = FlowTable(mode == "eager", idle_seconds, delay_seconds, end_after_seconds)
     finished = (
-        _events(packets, shards)
+        _events(packets, shards, mode == "arrival")
         .groupBy("capture_id", "shard")
         .transformWithStateInPandas(table, FINISHED, "Append", "None" if end_after_seconds is None else "ProcessingTime")
     )

@@ -8,10 +8,12 @@ import pytest
 import model
 from flowtide import build_flows, flow_features
 from flowtide.schema import FEATURES
+from flowtide.streaming import flow_table
 from flowtide.sources.csv_export import LineWriter, read_csv_export, start_csv_export
 from flowtide.streaming.export import start_export, stream_flow_features, stream_flows
 from flowtide.streaming.flow_table import (
     FlowTable,
+    _events,
     _Sweep,
     read_active_flows,
     read_captures_seen,
@@ -375,6 +377,66 @@ def test_a_batch_costs_what_it_touches():
     assert state.flows.calls + state.due.calls < 4 * 1000
 
 
+class Value:
+    """A value state in memory."""
+
+    def __init__(self):
+        self.held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+
+ROW = ["kind", "seq", "us", "len", "sec", "read", "key", "frames", "latest"]
+
+
+@pytest.mark.parametrize("mode", ["arrival", "eager"])
+def test_a_large_batch_is_worked_on_in_slices(monkeypatch, mode):
+    """What ends in a slice is told before the next is looked at, in a few rows at a time."""
+    monkeypatch.setattr(flow_table, "SLICE", 50, raising=False)
+    state = FlowTable(mode == "eager", 30, 0, None)
+    state.flows, state.due, state.capture = Store(), Store(), Value()
+    rows = [(0, i, i * 40 * 10**6, 60, i * 40, (i - 1) * 40, f"k{i % 300}", 0, None) for i in range(2000)]
+    rows.append((1, 10**6, None, None, 2000 * 40, None, None, 0, None))
+    parts = (pd.DataFrame(rows[i : i + 100], columns=ROW) for i in range(0, len(rows), 100))
+    largest, told = 0, []
+    for done in state.handleInputRows(("c", 0), parts, None):
+        largest = max(largest, len(done), len(state.flows.held))
+        told += zip(done["key"], done["packets"], done["first_seq"])
+    assert sorted(told) == sorted((f"k{i % 300}", 1, i) for i in range(2000))
+    assert largest <= 60 and not state.flows.held
+
+
+@pytest.mark.parametrize("mode", ["arrival", "eager"])
+def test_clocks_sent_to_the_shards_are_few(spark, mode):
+    """Although each frame moves the clock."""
+    packets = model.packets_df(spark, [packet(i, i * 2, key=1 + i % 5) for i in range(1000)]).coalesce(1)
+    events = _events(packets, 16, mode == "arrival").toPandas()
+    assert (events["kind"] == 0).sum() == 1000 and (events["kind"] == 1).sum() == 16
+    if mode == "arrival":
+        own = events[events["kind"] == 0].sort_values("seq")
+        assert (own["read"].to_numpy()[1:] == own["sec"].to_numpy()[:-1]).all()
+
+
+@pytest.mark.parametrize("mode, disorder", [("arrival", 200), ("eager", 200)])
+def test_one_batch_of_many_slices_and_blocks_equals_batch(spark, feed, tmp_path, monkeypatch, mode, disorder):
+    monkeypatch.setattr(flow_table, "SLICE", 7)
+    monkeypatch.setattr(flow_table, "BLOCK_BITS", 4)
+    packets = traffic(37, 400, 1500, disorder)
+    feed.add(packets[::-1])
+    place = str(tmp_path / "table")
+    table(feed, place, mode)
+    flows = build_flows(model.packets_df(spark, packets), mode)
+    assert features(read_features(spark, place)) == features(flow_features(flows))
+    assert read_active_flows(spark, place).count() == flows.filter("NOT is_closed").count()
+
+
 @pytest.mark.parametrize("capture", [None, "a"])
 def test_null_capture_in_stream_and_batch(spark, feed, live, capture):
     packets = [packet(0, 0, capture=capture), packet(1, 100, key=2, capture=capture)]
