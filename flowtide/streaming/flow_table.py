@@ -309,11 +309,15 @@ class _Sweep:
         if self.before is not None and new[8] < self.before - self.table.delay:
             self.done.append((key, "late", new))
             return flows
+        # Packets of a batch come in the order of their seconds: none to come joins what is over by now.
+        now = NEVER if self.last is None else min(new[8], self.last - self.table.delay)
         apart = []
         for flow in flows:
             near = new[7] - flow[8] < self.table.idle and flow[7] - new[8] < self.table.idle
             if near:
                 new = _joined(flow, new, True)
+            elif now - flow[8] >= self.table.idle:
+                self.done.append((key, "closed", flow))
             else:
                 apart.append(flow)
         return [*apart, new]

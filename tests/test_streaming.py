@@ -413,6 +413,19 @@ def test_a_large_batch_is_worked_on_in_slices(monkeypatch, mode):
     assert largest <= 60 and not state.flows.held
 
 
+def test_an_event_time_batch_keeps_few_flows_of_a_key(monkeypatch):
+    """Flows of one key that are over do not pile up before its next ones."""
+    monkeypatch.setattr(flow_table, "_joined", lambda *_: pytest.fail("no two packets are near"))
+    state = FlowTable(True, 30, 0, None)
+    state.flows, state.due = Store(), Store()
+    sweep = _Sweep(state, None, [])
+    frame = pd.DataFrame([("k", i, 0, 60, 40 * i) for i in range(3000)], columns=["key", "seq", "us", "len", "sec"])
+    sweep.take(frame, frame[["seq", "sec"]])
+    assert len(state.flows.held) <= 2
+    sweep.end()
+    assert len(sweep.done) == 2999
+
+
 @pytest.mark.parametrize("mode", ["arrival", "eager"])
 def test_clocks_sent_to_the_shards_are_few(spark, mode):
     """Although each frame moves the clock."""
