@@ -176,21 +176,26 @@ def _write_captures(folder: str):
         target = None
         system, root = locate(folder)
         current = name = None
-        written = 0
+        written, held = 0, bytearray()
         for batch in batches:
             for row in batch.to_pylist():
                 if row["capture_id"] != current:
                     if target is not None:
+                        target.write(bytes(held))
+                        held.clear()
                         target.close()
                     current = row["capture_id"]
                     system.create_dir(f"{root}/{current}", recursive=True)
                     name = f"{root}/{current}/{row['seq']:020d}.pcap"
                     target = system.open_output_stream(name)
-                    target.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, 1))
+                    held += struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, 1)
                 seconds, micros = divmod(row["us"], 1_000_000)
-                target.write(struct.pack("<IIII", seconds, micros, len(row["frame"]), row["len"]))
-                target.write(row["frame"])
+                held += struct.pack("<IIII", seconds, micros, len(row["frame"]), row["len"])
+                held += row["frame"]
                 written += 1
+            if target is not None:
+                target.write(bytes(held))
+                held.clear()
         if target is not None:
             target.close()
         yield pa.RecordBatch.from_pydict({"frames": pa.array([written], pa.int64())})

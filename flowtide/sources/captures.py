@@ -35,8 +35,13 @@ from .scratch import shared_folder
 SPLIT_BYTES = 128 << 20
 #: Tasks that a read is dealt to at most; a task reads several splits if need be.
 MOST_TASKS = 1 << 14
+#: Small splits share a task up to so many bytes, as far as that leaves work for all cores.
+TASK_BYTES = 8 << 20
 
 _CHUNK = 4 << 20
+#: What is read behind a split for its last record, and at first to guess a record.
+_BEHIND = 4096
+_GLANCE = 1 << 16
 _BATCH_BYTES = 8 << 20
 _BATCH_RECORDS = 10_000
 _CHAIN = 16
@@ -83,8 +88,9 @@ class _Capture:
     def records(self, start: int, stop: int) -> Iterator[tuple]:
         """``(next, sec, fraction, caplen, len, bytes)`` of each whole record
         that begins in ``[start, stop)``; ends at a record cut by end of file."""
-        size = _CHUNK
+        size = 0
         while start < stop:
+            size = size or min(_CHUNK, stop - start + _BEHIND)
             chunk = self.file.read_at(size, start)
             at = 0
             while start + at < stop and at + RECORD_HEADER <= len(chunk):
@@ -97,7 +103,7 @@ class _Capture:
                 at = body + caplen
                 yield start + at, sec, fraction, caplen, wire, chunk[body:at]
             if at:
-                start, size = start + at, _CHUNK
+                start, size = start + at, 0
             elif len(chunk) < size:
                 return
             else:
@@ -105,18 +111,23 @@ class _Capture:
 
     def guess(self, start: int) -> int | None:
         """Offset of a likely first record at or after ``start``."""
-        chunk = self.file.read_at(_CHUNK, start)
-        ended = len(chunk) < _CHUNK
-        for candidate in range(len(chunk) - RECORD_HEADER + 1):
-            at, links = candidate, 0
-            while links < _CHAIN and at + RECORD_HEADER <= len(chunk):
-                _, fraction, caplen, wire = self.header.unpack_from(chunk, at)
-                if fraction >= self.unit or not caplen <= min(wire, self.limit) or wire == 0:
-                    break
-                at, links = at + RECORD_HEADER + caplen, links + 1
-            else:
-                if links == _CHAIN or not ended or at == len(chunk):
-                    return start + candidate
+        for size in (_GLANCE, _CHUNK):
+            chunk = self.file.read_at(size, start)
+            ended = len(chunk) < size
+            for candidate in range(len(chunk) - RECORD_HEADER + 1):
+                at, links = candidate, 0
+                while links < _CHAIN and at + RECORD_HEADER <= len(chunk):
+                    _, fraction, caplen, wire = self.header.unpack_from(chunk, at)
+                    if fraction >= self.unit or not caplen <= min(wire, self.limit) or wire == 0:
+                        break
+                    at, links = at + RECORD_HEADER + caplen, links + 1
+                else:
+                    if links == _CHAIN or (at == len(chunk) if ended else size == _CHUNK):
+                        return start + candidate
+                    if not ended:
+                        break  # the chain goes on behind the glance
+            if ended:
+                return None
         return None
 
 
@@ -301,8 +312,10 @@ def read_captures(
         raise ValueError(f"unknown capture_by {capture_by!r}: use 'file' or 'directory'")
     ship_package(spark)
     splits = plan_splits(capture_files(spark, path), capture_by, split_bytes)
-    sizes = splits.agg(F.count(F.lit(1)).alias("splits"), F.max("split").alias("last")).first()
-    tasks = min(max(sizes["splits"], 1), most_tasks)
+    length = F.sum(F.col("split_stop") - F.col("split_start")).alias("bytes")
+    sizes = splits.agg(F.count(F.lit(1)).alias("splits"), F.max("split").alias("last"), length).first()
+    useful = max((sizes["bytes"] or 0) // TASK_BYTES, 4 * spark.sparkContext.defaultParallelism)
+    tasks = min(max(sizes["splits"], 1), useful, most_tasks)
     if sizes["last"]:
         before = (
             Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowtide.sources.capture_stream import stream_captures
-from flowtide.sources.captures import MOST_TASKS, natural_order, plan_splits, read_captures
+from flowtide.sources.captures import MOST_TASKS, _Capture, _walk, natural_order, plan_splits, read_captures
 from flowtide.sources.frames import with_snaplen
 
 HEADS = {  # byte order, magic, fraction units per second
@@ -226,3 +226,33 @@ def test_capture_stream(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out"))) == want("a.pcap", records["a.pcap"]) + want(
         "b.pcap", records["b.pcap"]
     )
+
+
+def test_small_splits_read_little_more_than_themselves(tmp_path):
+    """To guess and walk the splits of a file reads it about twice, not once more per split."""
+    (tmp_path / "a.pcap").write_bytes(pcap(make(8000)))
+    length, split, asked = (tmp_path / "a.pcap").stat().st_size, 1 << 16, []
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def read_at(self, size, start):
+            chunk = self.file.read_at(size, start)
+            asked.append(len(chunk))
+            return chunk
+
+    expected = 24
+    with _Capture(str(tmp_path / "a.pcap")) as capture:
+        whole, capture.file = capture.file, Counted(capture.file)
+        for start in range(0, length, split):
+            found = capture.guess(start) if start else expected
+            assert found == expected
+            expected, _ = _walk(capture, found, min(start + split, length))
+        capture.file = whole
+    assert expected == length and length > 20 * split and sum(asked) < 3 * length
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    (tmp_path / "a.pcap").write_bytes(pcap(make(4000)))
+    assert read_captures(spark, str(tmp_path), split_bytes=1000).rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
